@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits
 from .langid import held_out, identify
+from .ngram_join import link_near_duplicates
 from .storage import shared_folder
 from .substrings import remove_repeats
 from .token_counts import count_tokens
@@ -32,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labelled_urls(spark)).drop("score")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_url_filter, op6_token_files, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_url_filter, op5_ngram_jaccard_join, op6_token_files, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
