@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits
+from .fingerprints import fingerprint_neighbours
 from .langid import held_out, identify
 from .ngram_join import link_near_duplicates
 from .storage import shared_folder
@@ -33,6 +34,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labelled_urls(spark)).drop("score")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_neighbours(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_url_filter, op5_ngram_jaccard_join, op6_token_files, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
