@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import partitions
@@ -20,17 +20,17 @@ from .storage import partitions
 SHORT = 5
 _LOW = np.uint64((1 << 8 * SHORT) - 1)
 
-#: Chunks and parts for each of the session's shuffle partitions, so that a task gets several small ones.
+#: Chunks and parts for each of the session's shuffle partitions. A chunk sends a row to each part, so few are enough.
 CHUNKS, PARTS = 4, 2
 
 ROWS = "part int, chunk int, keys binary, extra binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """chunk, doc_id and text of docs, dealt to chunks by id and text."""
+def chunked(docs: DataFrame, *more: Column) -> DataFrame:
+    """chunk, doc_id and text of docs, dealt to chunks by id and text; more: further columns."""
     n = CHUNKS * partitions(docs.sparkSession)
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
 def parts_of(docs: DataFrame) -> int:
@@ -67,11 +67,16 @@ def send(chunk: int, keys: np.ndarray, extra: np.ndarray, parts: int, short: boo
     return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk), pa.int32()), pa.array([_pack(keys[a:b], short) for a, b in cut], pa.binary()), pa.array([extra[a:b].tobytes() for a, b in cut], pa.binary())], schema=_SCHEMA)
 
 
-def answered(sent: DataFrame, kind: np.dtype, short: bool, answer: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+#: The chunk number of a part's summary.
+SUMMARY = -1
+
+
+def answered(sent: DataFrame, kind: np.dtype, short: bool, answer: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """sent with each part's answers instead: those keys a chunk is told of, with their new extra values.
 
     answer(at, extra): of all rows of a part, in the order of keys, the number of each one's distinct key, rising from
     0, and the chunks' values. It returns which rows are answered, and a value for each of these.
+    summary: from the same, numbers of the part that make a row of their own, with SUMMARY as chunk.
     """
 
     def of_part(table: pa.Table) -> pa.Table:
@@ -91,7 +96,10 @@ def answered(sent: DataFrame, kind: np.dtype, short: bool, answer: Callable[[np.
         edges = np.searchsorted(owner[rows], np.arange(len(keys) + 1))
         full = np.flatnonzero(np.diff(edges))
         number = table.column("part")[0].as_py()
-        return pa.table([pa.array(np.full(len(full), number), pa.int32()), pa.array(chunks[full], pa.int32()), pa.array([_pack(whole[rows[edges[i] : edges[i + 1]]], short) for i in full], pa.binary()), pa.array([values[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())], schema=_SCHEMA)
+        out = [(number, int(chunks[i]), _pack(whole[rows[edges[i] : edges[i + 1]]], short), values[edges[i] : edges[i + 1]].tobytes()) for i in full]
+        if summary is not None:
+            out.append((number, SUMMARY, b"", summary(np.cumsum(new) - 1, extra[order]).tobytes()))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
     return sent.groupBy("part").applyInArrow(of_part, ROWS)
 

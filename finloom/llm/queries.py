@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .decontaminate import benchmark_hits
 from .fingerprints import fingerprint_neighbours
 from .langid import held_out, identify
+from .lattice_lm import score_texts
+from .mixing import mix_sources, taken_words
 from .ngram_join import link_near_duplicates
 from .storage import shared_folder
 from .substrings import remove_repeats
@@ -16,13 +18,17 @@ from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .urls import judge_urls, labelled_urls
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix_sources(table(spark, sf_dir, "documents")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = docs.where(~held_out("doc_id", 3, 1))
@@ -53,6 +59,10 @@ def token_file_digest(docs: DataFrame) -> DataFrame:
     return read_token_files(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), held_out("doc_id", 7, 2))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -67,6 +77,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op7_lm_scores, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
