@@ -1,16 +1,55 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: language, near duplicates, benchmark passages, mixture, token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from finloom.llm.decontaminate import benchmark_hits
+from finloom.llm.langid import UNKNOWN, held_out, identify
+from finloom.llm.mixing import mix_sources, mixed_documents
+from finloom.llm.ngram_join import link_near_duplicates
+from finloom.llm.queries import token_file_digest
+from finloom.llm.storage import written
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those of no language: null texts and texts without a letter."""
+    found = identify(docs, docs.where(~held_out("doc_id", 3, 1)), carry=True)
+    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one of each component of near duplicates, that of the smallest doc_id. Null ids stay."""
+    linked = link_near_duplicates(docs)
+    return docs.join(linked.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return benchmark_hits(docs, benchmark, carry=True).where("n_hit = 0").select("row.*")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs mixed to the sources' targets: of each document a row for each round that takes words of it, with these."""
+    return mixed_documents(docs, mix_sources(docs))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row of docs, read back from the token files written of them."""
+    return token_file_digest(docs)
+
+
+STAGES = [("language id", languages), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_passages), ("mixing sources", mixture), ("token files", token_ids)]
+
+#: Suffix automata, permutations and tokenizers have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

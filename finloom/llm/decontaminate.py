@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import row_column, with_row
+
 #: A-Z become a-z, other ASCII characters than letters and digits become blanks; bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in a text whose A-Z are as they were
@@ -82,9 +84,10 @@ def _scanner(items: tuple[tuple[str, str | None], ...], size: int) -> Scanner:
     return Scanner(items, size)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES, carry: bool = False) -> DataFrame:
     """Of every whole text: doc_id, n_words, n_hit (words in any occurrence of a window), item_ids (with an occurring
-    window, sorted as strings) and spans (of the hit words in the original, in characters).
+    window, sorted as strings) and spans (of the hit words in the original, in characters); with carry also row, all
+    columns of docs in one.
 
     Null and empty texts have no words; items without words never occur; a null item_id counts as ''; repeated items
     and rows are all used. An empty benchmark hits nothing. Other columns aren't read. The benchmark goes to every
@@ -104,6 +107,6 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = [(d, n, k, ids, [{"start": a, "end": b} for a, b in spans]) for d, (n, k, ids, spans) in zip(part.column(0).to_pylist(), map(scanner.scan, part.column(1).to_pylist()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *part.columns[2:]], ["doc_id", "n_words", "n_hit", "item_ids", "spans", "row"][: 5 + carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scanned, HITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_column(carry)).mapInArrow(scanned, with_row(HITS, docs, carry))

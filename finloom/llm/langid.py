@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import row_column, with_row
+
 SEGMENT = 1024
 #: Characters that are parsed together.
 BLOCK_CHARS = 3_000_000
@@ -181,8 +183,8 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
 
-def identify(docs: DataFrame, labelled: DataFrame, total_chars: int = 160_000, row_chars: int = 4_000) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every whole text.
+def identify(docs: DataFrame, labelled: DataFrame, total_chars: int = 160_000, row_chars: int = 4_000, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score (0 to 1) of every whole text; with carry also row, all columns of docs in one.
 
     labelled: text and lang to learn from. The samples share total_chars characters, which bounds the automata in each
     worker (about 1 kB a character); row_chars is the most that one labelled row gives.
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, labelled: DataFrame, total_chars: int = 160_000, r
                 if b > a:
                     part = batch.slice(a, b - a)
                     languages, scores = parser.predict(part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), *part.columns[3:]], ["doc_id", "lang_pred", "score", "row"][: 3 + carry])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
-    return read.mapInArrow(parsed, "doc_id long, lang_pred string, score double")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), *row_column(carry))
+    return read.mapInArrow(parsed, with_row("doc_id long, lang_pred string, score double", docs, carry))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -29,3 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which users size to their data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def row_column(carry: bool) -> list[Column]:
+    """All columns of a row in one, row, if they are to be carried through an operator."""
+    return [F.struct("*").alias("row")] if carry else []
+
+
+def with_row(schema: str, docs: DataFrame, carry: bool) -> StructType:
+    """The schema of an operator's result, with row if that is carried."""
+    out = StructType.fromDDL(schema)
+    return out.add("row", docs.schema) if carry else out
