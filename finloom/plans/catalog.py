@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import basic, domain
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "quality_scores"
 
-FLAGSHIP = "calibration_profiles"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = basic.QUERIES | domain.QUERIES
+ORACLES = basic.ORACLES | domain.ORACLES
