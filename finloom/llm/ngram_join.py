@@ -5,19 +5,21 @@
    its rarest shared shingles, so many that two linked documents have one in common.
 2. Documents with equal sets become one class; classes with the same prefix and size one group.
 3. In a few rounds, groups are compared with one leader of each prefix shingle (and of their size), members with one of
-   their group. Linked classes become one component.
-4. The rest: all pairs of groups with a prefix shingle in common and sizes near enough are expanded to members and
-   verified, but for members that are in one component already. So no link between components is lost, and a large
-   group of near copies isn't paired with itself.
+   their group. The first leader is the group whose shingles most documents hold: that of the original, where others
+   are edits of it. Linked classes become one component.
+4. The rest: all pairs of groups that pass the filters of size and position are expanded to members and verified, but
+   for members that are in one component already: first one pair for each two components, then what those leave. So no
+   link between components is lost, and a large group of near copies isn't paired with itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import joined
@@ -25,7 +27,7 @@ from .packed import ROWS, answered, chunked, codes, found, parts_of, received, s
 from .storage import written
 from .words import shingle_sets
 
-SETS = "doc_id long, n int, v long, prefix array<long>, shingles binary"
+SETS = "doc_id long, n int, v long, common long, shared int, prefix array<long>, shingles binary"
 
 #: Rounds in which groups are compared with leaders alone. More rounds leave less to the last step; none is needed for
 #: the result.
@@ -38,7 +40,8 @@ def _need(n: int, percent: int) -> int:
 
 
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set) and, where links are possible, v (a hash of the set), with prefix and shingles in one
+    """doc_id, n (size of the set) and, where links are possible, v (a hash of the set), common (how many documents hold
+    a shingle of it on average), shared (how many shingles other documents hold), with prefix and shingles in one
     document at least of each v of a chunk."""
     parts, dealt = parts_of(docs), chunked(docs).groupBy("chunk")
 
@@ -53,14 +56,14 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         known, held_by = received(answers, np.uint32, True)
-        rows: dict[str, list] = {"n": [], "v": [], "prefix": [], "shingles": []}
+        rows: dict[str, list] = {"n": [], "v": [], "common": [], "shared": [], "prefix": [], "shingles": []}
         seen: set[int] = set()
         for shingles in shingle_sets(table.column("text"), words):
-            n, v, prefix, raw = len(shingles), None, None, None
+            n, v, common, prefix, raw = len(shingles), None, None, None, None
             shared, at = found(known, codes(shingles, parts))
             spare = int(shared.sum()) - _need(n, percent)
             if n and spare >= 0:
-                raw = shingles.tobytes()
+                raw, common = shingles.tobytes(), int(held_by[at[shared]].sum(dtype=np.int64)) // n
                 v = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
                 if v in seen:
                     raw = None
@@ -68,10 +71,10 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     seen.add(v)
                     rare, often = shingles[shared], held_by[at[shared]]
                     prefix = rare[np.lexsort((rare, often))[: spare + 1]].view(np.int64)
-            for name, value in (("n", n), ("v", v), ("prefix", prefix), ("shingles", raw)):
+            for name, value in (("n", n), ("v", v), ("common", common), ("shared", spare + _need(n, percent)), ("prefix", prefix), ("shingles", raw)):
                 rows[name].append(value)
         doc_id = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
-        return pa.table([doc_id, pa.array(rows["n"], pa.int32()), pa.array(rows["v"], pa.int64()), pa.array(rows["prefix"], pa.list_(pa.int64())), pa.array(rows["shingles"], pa.binary())], names=["doc_id", "n", "v", "prefix", "shingles"])
+        return pa.table([doc_id, pa.array(rows["n"], pa.int32()), pa.array(rows["v"], pa.int64()), pa.array(rows["common"], pa.int64()), pa.array(rows["shared"], pa.int32()), pa.array(rows["prefix"], pa.list_(pa.int64())), pa.array(rows["shingles"], pa.binary())], names=["doc_id", "n", "v", "common", "shared", "prefix", "shingles"])
 
     shared = answered(dealt.applyInArrow(own, ROWS), np.dtype(np.uint32), True, totals)
     return dealt.cogroup(shared.groupBy("chunk")).applyInArrow(prefixes, SETS)
@@ -104,28 +107,35 @@ def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, lea
     Shingles are compared by 64-bit hashes.
     """
     table = written(shingle_table(docs, words, percent), "shingles")
-    classes = written(table.where("shingles IS NOT NULL").select("v", "n", "prefix", "shingles").dropDuplicates(["v"]).withColumn("g", F.xxhash64("n", "prefix")), "classes")
-    members = classes.select("v", "n", "g")
-    tokens = written(classes.dropDuplicates(["g"]).select("g", "n", F.explode("prefix").alias("token")), "prefixes")
+    own = table.where("shingles IS NOT NULL").select("v", "n", "common", "shared", "prefix", "shingles").dropDuplicates(["v"])
+    classes = written(own.withColumn("g", F.xxhash64("n", "prefix")), "classes")
+    members = written(classes.select("v", "n", "g", "common", "shared"), "members")
+    heads = members.groupBy("g").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max_by("v", F.struct("common", "v")).alias("v"))
+    # rest: the shared shingles after one of the prefix, which bound what two documents that meet there have in common
+    tokens = classes.dropDuplicates(["g"]).select("g", "n", "common", F.posexplode("prefix").alias("place", "token"), "shared")
+    tokens = written(tokens.select("g", "n", "common", "token", (F.col("shared") - F.col("place") - 1).alias("rest")), "prefixes")
     labels = members.select("v", F.col("v").alias("label"))
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    ends = members.groupBy("g").agg(F.min("v").alias("v"))
+
+    def possible(n, rest, m, other) -> Column:
+        """Whether sets of sizes n and m that first meet at a shingle can be linked."""
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((1 + F.least(rest, other)) * (100 + percent) >= percent * (n + m))
+
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+    places = tokens.withColumn("band", F.explode(F.array(band, band + 1)))  # sizes that may be linked share a band
     for r in range(leader_rounds):
-        order = F.struct(F.xxhash64(F.lit(r), "g"), F.col("g"), F.col("n"))
-        places = tokens.withColumn("band", band)
-        leaders = places.groupBy("token", "band").agg(F.count("*").alias("size"), F.min(order).alias("l")).where("size > 1").select("token", "band", F.col("l.g").alias("h"), F.col("l.n").alias("m"))
-        groups = places.join(leaders, ["token", "band"]).where(near(F.col("n"), F.col("m")) & (F.col("g") != F.col("h"))).select("g", "h").distinct()
-        across = groups.join(ends.withColumnRenamed("v", "a"), "g").join(ends.select(F.col("g").alias("h"), F.col("v").alias("b")), "h").select("a", "b")
-        chosen = members.groupBy("g").agg(F.count("*").alias("size"), F.min_by("v", F.xxhash64(F.lit(r), "v")).alias("a")).where("size > 1").select("g", "a")
+        first = (lambda key: F.struct(-F.col("common"), F.col(key))) if r == 0 else (lambda key, r=r: F.struct(F.xxhash64(F.lit(r), key), F.col(key)))
+        leaders = places.groupBy("token", "band").agg(F.count("*").alias("size"), F.min(F.struct(first("g").alias("o"), "g", "n", "rest")).alias("l")).where("size > 1").select("token", "band", F.col("l.g").alias("h"), F.col("l.n").alias("m"), F.col("l.rest").alias("other"))
+        met = places.join(leaders, ["token", "band"]).where((F.col("g") != F.col("h")) & possible(F.col("n"), F.col("rest"), F.col("m"), F.col("other")))
+        groups = met.select("g", "h").distinct()
+        across = groups.join(heads.select("g", F.col("v").alias("a")), "g").join(heads.select(F.col("g").alias("h"), F.col("v").alias("b")), "h").select("a", "b")
+        chosen = members.groupBy("g").agg(F.count("*").alias("size"), F.min_by("v", first("v")).alias("a")).where("size > 1").select("g", "a")
         inside = members.join(chosen, "g").select("a", F.col("v").alias("b"))
         pairs = across.union(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if r:
-            pairs = _apart(pairs, labels)
-        edges = written(_verified(pairs, classes, percent), "edges")
+        edges = written(_verified(_apart(pairs, labels) if r else pairs, classes, percent), "edges")
+        labels = joined(labels, edges)
+    for whole in (False, True):
+        edges = written(_verified(_remaining(members, tokens, labels, possible, whole), classes, percent), "edges")
         labels = joined(labels, edges)
-    edges = written(_verified(_remaining(members, tokens, labels, near), classes, percent), "edges")
-    labels = joined(labels, edges)
     ids = table.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("low"))
     lows = labels.join(ids, "v")
     lows = lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("v", "component")
@@ -139,8 +149,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select("a", "b")
 
 
-def _remaining(members: DataFrame, tokens: DataFrame, labels: DataFrame, near) -> DataFrame:
-    """Pairs of classes that a link may join and no label does.
+def _remaining(members: DataFrame, tokens: DataFrame, labels: DataFrame, possible: Callable[..., Column], whole: bool) -> DataFrame:
+    """Pairs of classes that a link may join and no label does; unless whole, one of each two labels.
 
     Of what meets in a bucket (a prefix shingle, or a group), all but the largest component are paired with all others.
     """
@@ -156,12 +166,17 @@ def _remaining(members: DataFrame, tokens: DataFrame, labels: DataFrame, near) -
         return mixed.where("label <> largest"), mixed
 
     few, many = crossing(spots, "token")
-    far = many.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("label").alias("other"))
-    groups = few.join(far, "token").where((F.col("label") != F.col("other")) & (F.col("g") != F.col("h")) & near(F.col("n"), F.col("m")))
-    groups = groups.select("g", "label", "h", "other").distinct()
-    left = placed.select("g", "label", F.col("v").alias("a"))
-    right = placed.select(F.col("g").alias("h"), F.col("label").alias("other"), F.col("v").alias("b"))
+    far = many.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("label").alias("other"))
+    meet = (few["token"] == far["token"]) & (few["label"] != far["other"]) & (few["g"] != far["h"]) & possible(few["n"], few["rest"], far["m"], far["after"])
+    groups = few.join(far, meet).select("g", "label", "h", "other").distinct()
+    if not whole:
+        low, high = F.least("label", "other").alias("x"), F.greatest("label", "other").alias("y")
+        ends = F.when(F.col("label") < F.col("other"), F.struct("g", "label", "h", "other")).otherwise(F.struct(F.col("h").alias("g"), F.col("other").alias("label"), F.col("g").alias("h"), F.col("label").alias("other")))
+        groups = groups.groupBy(low, high).agg(F.min(ends).alias("e")).select("e.*")
+    each = placed if whole else placed.groupBy("g", "label").agg(F.max_by("v", F.struct("common", "v")).alias("v"))
+    left = each.select("g", "label", F.col("v").alias("a"))
+    right = each.select(F.col("g").alias("h"), F.col("label").alias("other"), F.col("v").alias("b"))
     across = groups.join(left, ["g", "label"]).join(right, ["h", "other"]).select("a", "b")
-    few, many = crossing(placed, "g")
+    few, many = crossing(placed if whole else each, "g")
     inside = few.select("g", "label", F.col("v").alias("a")).join(many.select("g", F.col("label").alias("other"), F.col("v").alias("b")), "g").where("label <> other").select("a", "b")
     return across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
