@@ -12,6 +12,7 @@ from .langid import held_out, identify
 from .lattice_lm import score_texts
 from .mixing import mix_sources, taken_words
 from .ngram_join import link_near_duplicates
+from .oracles import ORACLES
 from .storage import shared_folder
 from .substrings import remove_repeats
 from .token_counts import count_tokens
@@ -79,4 +80,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op7_lm_scores, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
