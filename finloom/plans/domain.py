@@ -10,6 +10,7 @@ from ..functions import texts as X
 from ..operators import chunks as C
 from ..operators import earnings as Q
 from ..operators import evaluation as V
+from ..operators import financials as B
 from ..operators import keyed as K
 from ..operators import relations as R
 from ..operators import statements as S
@@ -72,6 +73,26 @@ def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     return Q.quality_scores(firms, Q.calibrated(firms)).select("corp", *(F.round(c, 4).alias(c) for c in ("m1", "m2", "m3", "m4", "m5", "total")), "grade")
 
 
+FINANCIAL_METRICS = {"roe": True, "capital": True, "income": True, "growth": True}
+
+
+@query(f"""
+WITH panel AS ({PANEL_SQL}), y AS (SELECT *, CASE WHEN total_equity > 0 THEN net_income / total_equity * 100 END AS q, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel),
+r AS (SELECT corp, sum(q * w) / sum(w) AS roe FROM (SELECT corp, q, least(3, count(*) OVER (PARTITION BY corp)) - row_number() OVER (PARTITION BY corp ORDER BY year DESC) + 1 AS w FROM y WHERE q IS NOT NULL) WHERE w >= 1 GROUP BY 1),
+l AS (SELECT corp, g1, g3, total_equity / nullif(total_liabilities + total_equity, 0) AS capital, CASE WHEN operating_income > 0 THEN net_income / operating_income END AS income FROM y WHERE b = 1),
+c AS (SELECT corp, CASE WHEN count(*) >= 3 AND min_by(total_equity, year) > 0 AND max_by(total_equity, year) > 0 THEN pow(max_by(total_equity, year) / min_by(total_equity, year), 1.0 / (max(year) - min(year))) - 1 END AS growth FROM y WHERE b <= 3 GROUP BY 1),
+i AS (SELECT l.*, roe, growth FROM l LEFT JOIN r USING (corp) LEFT JOIN c USING (corp)),
+u AS (SELECT corp, g1, g3, metric, value FROM (UNPIVOT i ON roe, capital, income, growth INTO NAME metric VALUE value)),
+g AS (SELECT *, unnest([g1, g3]) AS grp, unnest([0, 1]) AS pos FROM u),
+p AS (SELECT grp, metric, quantile_cont(value, 0.1) AS p1, quantile_cont(value, 0.25) AS p2, quantile_cont(value, 0.5) AS p3, quantile_cont(value, 0.75) AS p4, quantile_cont(value, 0.9) AS p5 FROM g GROUP BY 1, 2 HAVING count(*) >= CASE WHEN grp = 'MARKET' THEN 5 ELSE 20 END),
+s AS (SELECT corp, metric, min_by({_interpolated(True)}, pos) AS score FROM g JOIN p USING (grp, metric) GROUP BY 1, 2),
+f AS (SELECT i.corp, max(score) FILTER (WHERE metric = 'roe') AS roe, max(score) FILTER (WHERE metric = 'capital') AS capital, max(score) FILTER (WHERE metric = 'income') AS income, max(score) FILTER (WHERE metric = 'growth') AS growth FROM i LEFT JOIN s ON s.corp = i.corp GROUP BY 1)
+SELECT corp, round(roe, 4) AS roe, round(capital, 4) AS capital, round(income, 4) AS income, round(growth, 4) AS growth, round(list_avg(list_filter([roe, capital, income, growth], lambda z: z IS NOT NULL)), 4) AS total FROM f""")
+def financial_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = B.financial_scores(B.financial_inputs(panel(spark, d)), FINANCIAL_METRICS)
+    return found.select("corp", *(F.round(c, 4).alias(c) for c in (*FINANCIAL_METRICS, "total")))
+
+
 @query(f"""
 WITH panel AS ({PANEL_SQL}), w AS (SELECT *, lag(receivable) OVER o AS r0, lag(revenue) OVER o AS v0, lag(total_liabilities) OVER o AS l0, lag(total_equity) OVER o AS e0, lag(operating_income) OVER o AS o0, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel WINDOW o AS (PARTITION BY corp ORDER BY year)),
 h AS (SELECT corp, list_filter([CASE WHEN total_equity < 0 THEN 'negative_equity' END, CASE WHEN operating_income < 0 THEN 'operating_loss' END, CASE WHEN net_income > 0 AND operating_cashflow < net_income * 0.5 THEN 'cash_gap' END,
