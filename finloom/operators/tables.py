@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import amount
 from ..functions.texts import first_match
-from .keyed import first_by_priority
 
 #: A cell may span so many rows and columns at most, as browsers have it.
 MOST_SPAN = 1000
@@ -203,8 +202,3 @@ def shares_of_products(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = with_heads(table_cells(docs, key, text), key).where(F.col("text").rlike(r"^\s*\(?[0-9.,]+\s*%\)?\s*$"))
     value = F.regexp_replace("text", r"[%()\s,]", "").try_cast("double") / 100
     return rows.where("label NOT RLIKE '합계|총계|계$'").groupBy(key, F.col("label").alias("product")).agg(F.max(value).alias("share"))
-
-
-def first_parsed(layouts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """The rows of the first layout that gives a key any."""
-    return first_by_priority(layouts, keys)
