@@ -25,6 +25,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it survives lost executors, and later reads don't compute df again."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led to the table
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
