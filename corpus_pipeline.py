@@ -10,34 +10,39 @@ from finloom.llm.langid import UNKNOWN, held_out, identify
 from finloom.llm.mixing import mix_sources, mixed_documents
 from finloom.llm.ngram_join import link_near_duplicates
 from finloom.llm.queries import token_file_digest
-from finloom.llm.storage import written
+from finloom.llm.storage import bounded_batches, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those of no language: null texts and texts without a letter."""
+    bounded_batches(spark)
     found = identify(docs, docs.where(~held_out("doc_id", 3, 1)), carry=True)
     return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one of each component of near duplicates, that of the smallest doc_id. Null ids stay."""
+    bounded_batches(spark)
     linked = link_near_duplicates(docs)
     return docs.join(linked.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item."""
+    bounded_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return benchmark_hits(docs, benchmark, carry=True).where("n_hit = 0").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs mixed to the sources' targets: of each document a row for each round that takes words of it, with these."""
+    bounded_batches(spark)
     return mixed_documents(docs, mix_sources(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row of docs, read back from the token files written of them."""
+    bounded_batches(spark)
     return token_file_digest(docs)
 
 

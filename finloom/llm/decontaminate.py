@@ -106,7 +106,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(d, n, k, ids, [{"start": a, "end": b} for a, b in spans]) for d, (n, k, ids, spans) in zip(part.column(0).to_pylist(), map(scanner.scan, part.column(1).to_pylist()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *part.columns[2:]], ["doc_id", "n_words", "n_hit", "item_ids", "spans", "row"][: 5 + carry])
+                rows = [(d, n, k, ids, [{"start": a, "end": b} for a, b in spans]) for d, (n, k, ids, spans) in zip(part.column(0).to_pylist(), map(scanner.scan, (part.column(1).field("text") if carry else part.column(1)).to_pylist()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *part.columns[1 : 1 + carry]], ["doc_id", "n_words", "n_hit", "item_ids", "spans", "row"][: 5 + carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_column(carry)).mapInArrow(scanned, with_row(HITS, docs, carry))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(row_column(carry) or ["text"])).mapInArrow(scanned, with_row(HITS, docs, carry))

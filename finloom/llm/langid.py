@@ -199,14 +199,15 @@ def identify(docs: DataFrame, labelled: DataFrame, total_chars: int = 160_000, r
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(held.value)
         for batch in batches:
-            sizes = np.array(batch.column(2).to_pylist(), np.int64)
+            sizes = np.array(batch.column(1).to_pylist(), np.int64)
             cut = np.cumsum(sizes) // BLOCK_CHARS
             edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if b > a:
                     part = batch.slice(a, b - a)
-                    languages, scores = parser.predict(part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), *part.columns[3:]], ["doc_id", "lang_pred", "score", "row"][: 3 + carry])
+                    texts = part.column(2).field("text") if carry else part.column(2)  # a row that is carried has its text
+                    languages, scores = parser.predict(texts.to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), *part.columns[2 : 2 + carry]], ["doc_id", "lang_pred", "score", "row"][: 3 + carry])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), *row_column(carry))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), *(row_column(carry) or ["text"]))
     return read.mapInArrow(parsed, with_row("doc_id long, lang_pred string, score double", docs, carry))

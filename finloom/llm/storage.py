@@ -43,3 +43,16 @@ def with_row(schema: str, docs: DataFrame, carry: bool) -> StructType:
     """The schema of an operator's result, with row if that is carried."""
     out = StructType.fromDDL(schema)
     return out.add("row", docs.schema) if carry else out
+
+
+#: Rows of text that Spark hands to a Python worker at once: with its default of 10,000 a batch of long texts, copied on
+#: the way in and out, is the largest thing in a worker.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name, "10000"))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
