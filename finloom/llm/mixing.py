@@ -132,7 +132,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     drawn = spark.createDataFrame(draw_shards(slots, shard_blocks, seed), "shard int, number int, count long, first long")
     each = drawn.repartition(max(1, min(len(slots), 64))).select("shard", "number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j"))
     chosen = each.mapInArrow(mapped, "shard int, number int, j long, block long, round int")
-    taken = pieces.join(chosen, ["number", "block"]).withColumn("slot", F.xxhash64(F.lit(seed), "shard", "number", "j"))
+    # the slots grow with the corpus, which Spark can't tell from the few rows that they are spread from
+    taken = pieces.join(chosen.hint("merge"), ["number", "block"]).withColumn("slot", F.xxhash64(F.lit(seed), "shard", "number", "j"))
     return Mix(sources, rows, taken, seed)
 
 
@@ -155,7 +156,7 @@ def mixed_documents(docs: DataFrame, mix_: Mix) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h2"), "spans", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy("nth")).alias("_nth"))
     marked = docs.withColumns({"_h": F.xxhash64(F.lit(mix_.seed), F.col("doc_id"), F.col("text"))})
     marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(0))))
-    met = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")) & (F.col("_copy") == F.col("_nth")))
+    met = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")) & (F.col("_copy") == F.col("_nth")))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     text = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["at"] + 1, s["n"]))), "")), F.lit(0))
     return met.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*names)
