@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PieceValues
+from .pieces import REMEMBERED, PieceValues
 
 #: Rows that are counted at once.
 ROWS = 500
@@ -75,7 +75,7 @@ class MergeCounter:
         for part in parts:
             for word in self.words(part):
                 if (n := self.known.get(word)) is None:
-                    if len(self.known) >= self.pieces.remembered:
+                    if len(self.known) >= REMEMBERED:
                         self.known.clear()
                     n = self.known[word] = self.merge_count(word)
                 total += n

@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .packed import found
 from .pieces import PieceValues
 from .storage import partitions
+from .words import mix, word_blocks
 
 #: Ids after which a block is closed; a longer document has a block of its own.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: Rows that are encoded at once.
 ROWS = 500
 
@@ -34,11 +36,21 @@ _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranked, control, data) of ids."""
-    distinct, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 22:  # the ids of any vocabulary: counted by place
+        counts = np.bincount(ids)
+        distinct = np.flatnonzero(counts)
+        counts = counts[distinct]
+    else:
+        distinct, counts = np.unique(ids, return_counts=True)
     order = np.lexsort((distinct, -counts))
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = place[at] if len(at) else np.zeros(0, np.uint32)
+    table = np.zeros(int(distinct[-1]) + 1 if len(distinct) and distinct[-1] < 1 << 22 else 0, np.uint32)
+    if len(table):
+        table[distinct] = place
+        ranks = table[ids]
+    else:
+        ranks = place[np.searchsorted(distinct, ids)]
     sizes = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = sizes
@@ -60,13 +72,121 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranked, "<u4")[ranks]
 
 
-@lru_cache(maxsize=2)
-def _encoder(vocabulary: str) -> PieceValues:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Library:
+    """Ids of pieces by the tokenizers library: of many pieces that follow each other safely in one call."""
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        added = self.tokenizer.get_added_tokens_decoder()
+        held = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(held.values(), default=0) + 1, np.int64)
+        for token, i in held.items():  # a byte-level token has a letter for each byte
+            self.bytes[i] = len(token.encode()) if i in added else len(token)
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def find(self, pieces: list[str]) -> list[bytes]:
+        safe = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()]
+        rest = sorted({*range(len(pieces))}.difference(safe))
+        out: list[bytes] = [b""] * len(pieces)
+        for i, ids in zip(rest, self._each([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        for at in range(0, len(safe), 20_000):
+            part = safe[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.bytes[ids])
+            wanted = np.cumsum([len(pieces[i].encode()) for i in part])
+            edges = np.searchsorted(ends, wanted)
+            if len(ids) and ends[-1] == wanted[-1] and (ends[np.minimum(edges, len(ends) - 1)] == wanted).all():
+                raw, cut = ids.tobytes(), [0, *(4 * (edges + 1)).tolist()]
+                for i, a, b in zip(part, cut, cut[1:], strict=False):
+                    out[i] = raw[a:b]
+            else:  # the vocabulary changes the text first
+                for i, own in zip(part, self._each([pieces[i] for i in part]), strict=True):
+                    out[i] = own
+        return out
+
+
+class TextEncoder:
+    """Ids of texts by the tokenizers library, which is asked once for each distinct word that is remembered.
+
+    In a text whose words stand between single blanks or line ends, a byte-level pre-tokenizer ends a token before each
+    of these, so a word with the one before it has ids of its own. Such words are found by a hash of their bytes in
+    sorted arrays (about 40 bytes for a word); other texts go by pieces (pieces.py).
+    """
+
+    def __init__(self, vocabulary: str, most: int = 400_000):
+        self.library, self.most = _Library(vocabulary), most
+        self.pieces = PieceValues(self.library.find)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint16 if len(self.library.bytes) <= 1 << 16 else np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        values = self.library.find(words)
+        sizes = np.array([len(b) // 4 for b in values], np.int32)
+        ids = np.frombuffer(b"".join(values), "<u4")
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        whole = np.concatenate([self.known, keys])
+        order = np.argsort(whole, kind="stable")
+        self.known, self.at, self.size = whole[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without white space but single blanks and line ends between words."""
+        out = []
+        for first, last, words in word_blocks(pa.array(texts, pa.string())):
+            before = np.where(words.start > 0, words.raw[np.maximum(words.start - 1, 0)], 0).astype(np.uint64)
+            before[words.first[:-1][words.first[:-1] < len(before)]] = 0  # nothing stands before a text's first word
+            keys, place, at = np.unique(mix(words.hash + (before << np.uint64(56))), return_index=True, return_inverse=True)
+            lacking = np.flatnonzero(~found(self.known, keys)[0])
+            if len(lacking):
+                raw = words.raw.tobytes()
+                mark = ["" if b == 0 else chr(b) for b in before[place[lacking]].tolist()]
+                if len(self.known) + len(lacking) > self.most:
+                    self._forget()
+                    lacking = np.arange(len(keys))
+                    mark = ["" if b == 0 else chr(b) for b in before[place].tolist()]
+                spans = zip(words.start[place[lacking]].tolist(), words.end[place[lacking]].tolist(), strict=True)
+                self._learn(keys[lacking], [m + raw[s:e].decode() for m, (s, e) in zip(mark, spans, strict=True)])
+            spot = found(self.known, keys)[1]
+            sizes, begin = self.size[spot][at].astype(np.int64), self.at[spot][at]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            edges = np.concatenate([[0], ends])[words.first]
+            out += [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return out
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
+        odd = [i for i, t in enumerate(texts) if _odd(t)]
+        plain = sorted({*range(len(texts))}.difference(odd))
+        out = [b""] * len(texts)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+            out[i] = ids.astype("<u4").tobytes()
+        for i, values in zip(odd, self.pieces.of([texts[i] for i in odd]), strict=True):
+            out[i] = b"".join(values)
+        return out
+
+
+def _odd(text: str) -> bool:
+    """Whether a text has white space at its ends, two of it together, or other than blanks and line ends."""
+    words, marks = text.split(), text.count(" ") + text.count("\n")
+    return len(words) != marks + 1 or sum(map(len, words)) + marks != len(text) if words else bool(text)
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    return PieceValues(lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str) -> TextEncoder:
+    return TextEncoder(vocabulary)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shards: int | None = None) -> None:
@@ -79,7 +199,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, shard, number, first = _encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, number, first = _encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -93,8 +213,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                for doc_id, values in zip(part.column(0).to_pylist(), pieces.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = b"".join(values) + end
+                for doc_id, own in zip(part.column(0).to_pylist(), encoder.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids = own + end
                     if held and size + len(ids) // 4 > BLOCK_IDS:
                         yield block()
                         number, first, size = number + 1, first + size, 0
