@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from .storage import partitions
 
-#: Bytes of a short key; with the part's number, enough to make false matches rare.
-SHORT = 5
+#: Bytes of a short key; with the part's number, a key has a false match in its part once in some thousands, which costs
+#: work alone.
+SHORT = 4
 _LOW = np.uint64((1 << 8 * SHORT) - 1)
 
 #: Chunks and parts for each of the session's shuffle partitions. A chunk sends a row to each part, so few are enough.
-CHUNKS, PARTS = 4, 2
+CHUNKS, PARTS = 2, 1
 
 ROWS = "part int, chunk int, keys binary, extra binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
