@@ -1,9 +1,9 @@
 """Document fingerprints: digests of improbable features.
 
 Every window of WINDOW bytes has an entropy; windows whose entropy is rare in the corpus rank first. The window that
-ranks first in a stretch of WINDOW neighbours gets a vote, and those with VOTES become features: their hashes set bits
-of a Bloom filter, and a new one is chained on after FEATURES of them. Likeness is the overlap of the filters' bits,
-above what chance brings.
+ranks first in a stretch of WINDOW neighbours gets a vote, and those with VOTES become features (where a text has none,
+those with its most votes): their hashes set bits of a Bloom filter, and a new one is chained on after FEATURES of them.
+Likeness is the overlap of the filters' bits, above what chance brings.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ WINDOW, VOTES, FEATURES, FILTER_BYTES, HASHES, CUTOFF = 64, 16, 160, 256, 5, 0.3
 STEPS = 1000
 #: Windows that a lane of work holds, and bytes that are worked on together.
 LANE, BLOCK_BYTES = 1024, 2_000_000
+#: Features that are hashed together: a text of short periods has nearly as many tied winners as bytes.
+HASHED = 1 << 16
 
 _COUNTS = np.arange(WINDOW + 1)
 _WEIGHT = np.round(_COUNTS * np.log2(np.maximum(_COUNTS, 1)) * 4096).astype(np.int32)
@@ -69,8 +71,9 @@ def entropies(raw: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarr
     return out[np.arange(LANE) < windows[:, None]]
 
 
-def _features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """The features' hashes of each text, in order, each once."""
+def _features(texts: list[bytes], rank: np.ndarray, some: bool = False) -> list[np.ndarray]:
+    """The features' hashes of each text, in order, each once. Where no window has the votes: none, or with some those
+    with the most, so that every text but an empty one has a feature."""
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -94,13 +97,17 @@ def _features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     if len(short):
         best = np.minimum.reduceat(key, first)[short] & 0xFFFFFFFF
         votes[best] = VOTES
-    needed = np.repeat(np.minimum(VOTES, np.maximum(1, count - WINDOW + 1)), count)
-    picked = np.flatnonzero(votes >= needed)
+    needed = np.minimum(VOTES, np.maximum(1, count - WINDOW + 1))
+    if some:
+        needed = np.minimum(needed, np.maximum.reduceat(votes, first))
+    picked = np.flatnonzero(votes >= np.repeat(needed, count))
     owner = np.searchsorted(first, picked, "right") - 1
     place = begin[long][owner] + picked - first[owner]
-    with np.errstate(over="ignore"):
-        eight = raw[place[:, None] + np.arange(WINDOW)].view("<u8")
-        hashes = mix((mix(eight) * _FACTORS).sum(1, dtype=np.uint64))
+    hashes = np.empty(len(place), np.uint64)
+    for a in range(0, len(place), HASHED):
+        with np.errstate(over="ignore"):
+            eight = raw[place[a : a + HASHED, None] + np.arange(WINDOW)].view("<u8")
+            hashes[a : a + HASHED] = mix((mix(eight) * _FACTORS).sum(1, dtype=np.uint64))
     edges = np.searchsorted(owner, np.arange(len(long) + 1))
     for i, k in enumerate(long):
         own = hashes[edges[i] : edges[i + 1]]
@@ -111,7 +118,7 @@ def _features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
 def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[bytes]:
     """The digest of each text: features in the last filter, then the filters; nothing for an empty text."""
     out = []
-    for features in _features(texts, rank):
+    for features in _features(texts, rank, some=True):
         if not len(features):
             out.append(b"")
             continue

@@ -51,6 +51,30 @@ def test_likeness():
     assert fp.likeness(da, dc) > 0.4 and fp.likeness(da, db) < 0.1 and fp.likeness(da, dc) == fp.likeness(dc, da)
 
 
+def test_only_empty_texts_have_no_feature():
+    rng = random.Random(5)
+    rank = np.array(rng.sample(range(1001), 1001), np.int32)
+    texts = [bytes(rng.choice(b"etaoin shrdlu") for _ in range(n)) for n in range(127, 201)]
+    texts += [bytes(rng.sample(range(97, 123), p)) * 2000 for p in range(1, 16)]
+    digests = fp.fingerprints([*texts, b""], rank)
+    assert all(digests[:-1]) and digests[-1] == b""
+    for i, d in enumerate(digests):
+        assert all(fp.likeness(d, e) < 1 for e in digests[:i])
+    votes = fp._features(texts, rank)
+    assert sum(not len(f) for f in votes) > 20  # those that the votes alone leave out
+    for f, g in zip(votes, fp._features(texts, rank, some=True), strict=True):
+        assert not len(f) or f.tolist() == g.tolist()
+    # no window wins all stretches of this text: the most votes count, all that have them
+    text = next(t for t, f in zip(texts, votes, strict=True) if len(t) < 142 and not len(f))
+    r = rank[fp.entropies(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text) - 63]))].tolist()
+    won = Counter(min(range(i, i + 64), key=lambda j: (r[j], j)) for i in range(len(r) - 63))
+    assert len(fp._features([text], rank, some=True)[0]) == len({text[p : p + 64] for p, n in won.items() if n == max(won.values())})
+    near = text[:-1] + b"#"
+    assert fp.likeness(*fp.fingerprints([text, near], rank)) > 0
+    many = b"ab" * 200_000  # more tied winners than are hashed together
+    assert len(fp._features([many], rank, some=True)[0]) in (1, 2)
+
+
 def test_order_and_edits(spark):
     rng = random.Random(4)
     docs = [(rng.choice([i, i * 1000, -i]), "".join(rng.choice("ab é🙂c ") for _ in range(rng.randrange(300)))) for i in range(1, 80)]
