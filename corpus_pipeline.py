@@ -21,10 +21,24 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one of each component of near duplicates, that of the smallest doc_id. Null ids stay."""
+    """docs with one row of each component of near duplicates: that of the smallest doc_id, null last; of several texts
+    under that id one, and any of the rows that repeat it. Texts without words link with nothing and stay.
+
+    Rows are told apart by a 64-bit hash of id and text, so neither null nor repeated ids matter.
+    """
     bounded_batches(spark)
-    linked = link_near_duplicates(docs)
-    return docs.join(linked.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    linked = link_near_duplicates(keyed.select(F.col("_k").alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = linked.groupBy(F.col("doc_id").alias("_k")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = keyed.groupBy("_k").agg(F.min("doc_id").alias("id"))
+    rows = written(rows.join(ids, "_k"), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_k")).alias("f")).select("f._k", F.lit(True).alias("stays"))
+    verdicts = written(rows.join(first, "_k", "left").where("stays IS NULL OR n > 1").select("_k", F.col("stays").isNotNull().alias("once")), "verdicts")
+    once = verdicts.where("once").select("_k")
+    left = keyed.join(verdicts.select("_k"), "_k", "left_anti")
+    if not once.isEmpty():
+        left = left.unionByName(keyed.join(once, "_k", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

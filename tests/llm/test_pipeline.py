@@ -46,5 +46,30 @@ def test_stages(spark):
         docs = out
 
 
+def test_one_row_of_each_component(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [
+        (None, a, "s1"), (None, a, "s2"), (None, a + " more", "s3"),  # copies without ids: one stays
+        (5, b, "s1"), (5, b, "s1"), (5, b, "s2"),  # one id, repeated rows: one stays
+        (7, c, "s1"), (8, c, "s1"), (8, "quite another text with words of its own", "s1"),  # the copy of 7 goes, not the other text under 8
+        (None, "alone", "s1"), (None, None, "s1"), (9, "", "s1"), (9, "", "s1"), (9, None, "s1"),  # nothing links with these
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = p.near_duplicates(spark, docs, FOLDER)
+    assert got.columns == docs.columns
+    got = sorted(got.select("doc_id", "text").collect(), key=str)
+    kept = [r for r in got if (r["text"] or "")[:3] == "a0 "]
+    assert len(kept) == 1 and kept[0]["doc_id"] is None
+    rest = [tuple(r) for r in got if r not in kept]
+    want = [(5, b), (7, c), (8, "quite another text with words of its own"), (None, "alone"), (None, None), (9, ""), (9, ""), (9, None)]
+    assert sorted(rest, key=str) == sorted(want, key=str)
+
+
+def test_null_id_gives_way(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, text), (4, text), (3, text + " x")], "doc_id long, text string")
+    assert [r["doc_id"] for r in p.near_duplicates(spark, docs, FOLDER).collect()] == [3]
+
+
 def test_run(spark):
     assert p.run(spark, FOLDER).count() > 0 and [n for n, _ in p.STAGES] and all(re.match("[a-z]", n) for n, _ in p.STAGES)
