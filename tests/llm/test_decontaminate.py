@@ -53,6 +53,20 @@ def test_cases(spark):
     assert benchmark_hits(d.limit(0), b).collect() == []
 
 
+def test_parts(spark):
+    many = " ".join(f"w{i}" for i in range(60))
+    items = [(1, many), (2, "short Item!"), (None, "é1 ß-x"), (4, "short item"), (5, None), (6, "w3 w4 w5 w6 other"), (7, "w7 w8 w9 w10")]
+    docs = [(0, "x " + many.upper() + " y"), (1, "a short\n item, w3 w4 w5 w6 w7 w8 w9 w10"), (2, None), (3, ""), (None, "..É1 é1 ß  X.."), (4, "w58-w59"), (5, "w20 w21 w22 w23"), (5, "w20 w21 w22 w23")]
+    d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id long, text string, lang string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: str(r)
+    whole = benchmark_hits(d, b, 4).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in whole], key=key) == sorted(brute(docs, items, 4), key=key)
+    assert sorted(benchmark_hits(d, b, 4, most_bytes=40).collect(), key=key) == sorted(whole, key=key)
+    carried = benchmark_hits(d, b, 4, most_bytes=40, carry=True)
+    assert sorted([tuple(r) for r in carried.select("row.*").collect()], key=key) == sorted([(*x, "k") for x in docs], key=key)
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
