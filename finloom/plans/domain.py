@@ -287,7 +287,7 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return V.bootstrap_mean(table(spark, d, "labels"), "doc_id", "quality", 200, "b1")
+    return V.bootstrap_mean(table(spark, d, "labels"), "doc_id", "quality", 1000, "b1")
 
 
 @query("""
