@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import row_column, with_row, written
+from .storage import row_column, with_row, worker_held, written
 
 #: A-Z become a-z, other ASCII characters than letters and digits become blanks; bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -87,11 +87,6 @@ class Scanner:
         return [(int(character[a]) - 1, int(character[b - 1])) for a, b in at]
 
 
-@lru_cache(maxsize=1)
-def _scanner(items: tuple[tuple[str, str | None], ...], size: int) -> Scanner:
-    return Scanner(items, size)
-
-
 def _pieces(text: str | None, size: int, most_bytes: int) -> Iterator[str]:
     """The text, or over most_bytes pieces of it that hold each of its windows (one at least, whatever its size)."""
     if len(text or "") <= most_bytes and len((text or "").encode("utf-8", "surrogatepass")) <= most_bytes:
@@ -135,7 +130,7 @@ def _hits_by_part(docs: DataFrame, items: DataFrame, window: int, most_bytes: in
         held = spark.sparkContext.broadcast(items_of_part)
 
         def marked(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            scanner = _scanner(held.value, window)
+            scanner = worker_held(("windows", held.value, window), lambda: Scanner(held.value, window))
             kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
             for batch in batches:
                 rows = [(h, *scanner.found(normal_words(t))) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
@@ -182,7 +177,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(((r["i"], r["text"]) for r in items.collect()), key=str)))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(held.value, window)
+        scanner = worker_held(("windows", held.value, window), lambda: Scanner(held.value, window))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

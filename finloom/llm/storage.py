@@ -1,9 +1,10 @@
-"""Folders in the shared checkpoint place, and tables written there to cut lineage."""
+"""Folders in the shared checkpoint place, tables written there to cut lineage, and what Python workers hold."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +12,48 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset (tests), one of this machine is set."""
+    """A new folder's path under spark.checkpoint.dir, else under the context's checkpoint folder.
+
+    Where neither is set, a session whose executors are threads of this process (tests) gets a folder of this machine;
+    on a cluster that would be another folder on each executor, so ValueError is raised.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        if not held.isDefined():
+        if held.isDefined():
+            root = held.get()
+        elif not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        else:
+            root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it survives lost executors, and later reads don't compute df again."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led to the table
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: it survives lost executors, and later reads don't compute df again.
+
+    For this one write, Spark is told to drop the shuffle files that led to the table once it is there.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    held = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, held)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -45,14 +72,13 @@ def with_row(schema: str, docs: DataFrame, carry: bool) -> StructType:
     return out.add("row", docs.schema) if carry else out
 
 
-#: Rows of text that Spark hands to a Python worker at once: with its default of 10,000 a batch of long texts, copied on
-#: the way in and out, is the largest thing in a worker.
-BATCH_ROWS = 2_000
+_HELD: dict[Hashable, object] = {}
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows at most; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name, "10000"))
-    if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+def worker_held(key: Hashable, make: Callable[[], object]):
+    """What make() gives for key: made once in a Python worker and kept until something else is asked for, so that a
+    worker which Spark uses for one operator after the other holds the tables of one."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -5,13 +5,13 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import REMEMBERED, PieceValues
+from .storage import worker_held
 
 #: Rows that are counted at once.
 ROWS = 500
@@ -85,11 +85,6 @@ class MergeCounter:
         return [*map(sum, self.pieces.of(texts))]
 
 
-@lru_cache(maxsize=2)
-def _counter(vocabulary: str, pattern: str) -> MergeCounter:
-    return MergeCounter(vocabulary, pattern)
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every row's whole text.
 
@@ -98,7 +93,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary, pattern)
+        counter = worker_held(("counts", vocabulary, pattern), lambda: MergeCounter(vocabulary, pattern))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

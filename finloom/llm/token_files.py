@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .packed import found
 from .pieces import PieceValues
-from .storage import partitions
+from .storage import partitions, worker_held
 from .words import mix, word_blocks
 
 #: Ids after which a block is closed; a longer document has a block of its own.
@@ -184,11 +183,6 @@ def _odd(text: str) -> bool:
     return len(words) != marks + 1 or sum(map(len, words)) + marks != len(text) if words else bool(text)
 
 
-@lru_cache(maxsize=2)
-def _encoder(vocabulary: str) -> TextEncoder:
-    return TextEncoder(vocabulary)
-
-
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shards: int | None = None) -> None:
     """Writes the ids of every whole text, each followed by end_id, in ascending doc_id order (null first, ties by text).
 
@@ -199,7 +193,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number, first = _encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, number, first = worker_held(("ids", vocabulary), lambda: TextEncoder(vocabulary)), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
         size = 0
