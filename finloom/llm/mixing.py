@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by blocks of words.
 
 The words of each source, its rows in the order of a hash, are packed into blocks of one length. Output shards draw how
-many blocks of each source they take, multinomially by what the sources have left of their targets. A source's slots,
-over all shards, are mapped to its blocks through pseudorandom permutations, one for each time round, and joined to
-the blocks by number. No source goes round more than cap times, so no document is taken more often.
+many blocks of each source they take, multinomially by what the sources have left of their targets: in halves, from all
+shards down to one, each draw seeded by the shards it parts, so that any task finds the counts of its own shards. A
+source's slots, over all shards, are mapped to its blocks through pseudorandom permutations, one for each time round,
+and joined to the blocks by number. No source goes round more than cap times, so no document is taken more often.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import partitions, written
 from .words import mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Parts of each source's hash order in which words are summed before positions are known; 2 to the power.
 RANGE_BITS = 12
+#: Shards whose slots are drawn in one go.
+RUN = 8
 #: Most sources: a row for each comes to the driver and goes to every task.
 MOST_SOURCES = 100_000
 
@@ -42,22 +45,27 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: f
     return out
 
 
-def draw_shards(slots: Sequence[int], shard_slots: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, count, first): multinomial counts by the slots left, so that each source gets slots of its own."""
-    rng, left = np.random.default_rng(seed), np.array(slots, np.int64)
-    first = np.zeros_like(left)
-    out: list[tuple[int, int, int, int]] = []
-    shard = 0
-    while left.sum():
-        taken, open_ = np.zeros_like(left), int(min(shard_slots, left.sum()))
-        while open_:
-            rest = left - taken
+def shard_counts(slots: Sequence[int], shard_slots: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, count of each source, its first slot) of the shards from low to high. All shards' counts of a source add up
+    to its slots, and a shard's of all sources to shard_slots (the last's to what is left)."""
+    whole = np.array(slots, np.int64)
+    shards = -(-int(whole.sum()) // shard_slots)
+    todo = [(0, shards, whole, np.zeros_like(whole))] if shards else []
+    while todo:
+        a, b, held, first = todo.pop()
+        if b <= low or a >= high:
+            continue
+        if b - a == 1:
+            yield a, held, first
+            continue
+        middle = (a + b) // 2
+        rng, taken, open_ = np.random.default_rng([seed, a, b]), np.zeros_like(held), (middle - a) * shard_slots
+        while open_:  # what a source hasn't left is drawn again
+            rest = held - taken
             more = np.minimum(rng.multinomial(open_, rest / rest.sum()), rest)
             taken += more
             open_ -= int(more.sum())
-        out += [(shard, int(i), int(taken[i]), int(first[i])) for i in np.flatnonzero(taken)]
-        first, left, shard = first + taken, left - taken, shard + 1
-    return out
+        todo += [(middle, b, held - taken, first + taken), (a, middle, taken, first)]
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -89,9 +97,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
     Null and blank texts have no words and are never taken; a null source is one of its own; repeated rows are packed
     each. Without words nothing is taken. Other columns aren't read. More than MOST_SOURCES sources raise ValueError.
-    Reruns agree: the order is by a hash of id and text, draws and permutations by seed.
+    Reruns agree: the order is by a hash of id and text, draws and permutations by seed. A very long text is as many
+    pieces as it has blocks, wherever it is cut.
     Work: words are counted where texts are read; what is shuffled has no text. A source's words are summed by ranges
-    of its hash order, so that no task gets a source.
+    of its hash order, so that no task gets a source; slots are drawn and permuted by tasks for a few shards each. The
+    driver holds a row for each source.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -119,19 +129,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, j = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            block, turn = np.zeros(len(j), np.int64), np.zeros(len(j), np.int32)
-            for s in np.unique(number):
-                at = np.flatnonzero(number == s)
-                turn[at] = j[at] // blocks[s]
-                for t in np.unique(turn[at]):
-                    these = at[turn[at] == t]
-                    block[these] = permuted(j[these] % blocks[s], blocks[s], seed + 1000 * int(s) + int(t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(block), pa.array(turn)], ["shard", "number", "j", "block", "round"])
-
-    drawn = spark.createDataFrame(draw_shards(slots, shard_blocks, seed), "shard int, number int, count long, first long")
-    each = drawn.repartition(max(1, min(len(slots), 64))).select("shard", "number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j"))
-    chosen = each.mapInArrow(mapped, "shard int, number int, j long, block long, round int")
+            for low in batch.column(0).to_pylist():
+                for shard, counts, first in shard_counts(slots, shard_blocks, seed, low, low + RUN):
+                    for s in np.flatnonzero(counts).tolist():
+                        j = np.arange(first[s], first[s] + counts[s])
+                        turn = j // blocks[s]
+                        block = np.concatenate([permuted(j[turn == t] % blocks[s], blocks[s], seed + 1000 * s + t) for t in np.unique(turn).tolist()])
+                        kept = [np.full(len(j), shard, np.int64), np.full(len(j), s, np.int32), j, block, turn.astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["shard", "number", "j", "block", "round"])
+
+    shards = -(-sum(slots) // shard_blocks)
+    runs = spark.range(0, shards, RUN, max(1, min(-(-shards // RUN), 4 * partitions(spark))))
+    chosen = runs.mapInArrow(mapped, "shard long, number int, j long, block long, round int")
     # the slots grow with the corpus, which Spark can't tell from the few rows that they are spread from
     taken = pieces.join(chosen.hint("merge"), ["number", "block"]).withColumn("slot", F.xxhash64(F.lit(seed), "shard", "number", "j"))
     return Mix(sources, rows, taken, seed)
@@ -151,12 +160,12 @@ def mixed_documents(docs: DataFrame, mix_: Mix) -> DataFrame:
 
     Work: one shuffle of the texts, to meet the word ranges taken of them.
     """
-    names = docs.columns
     spans = mix_.taken.groupBy("doc_id", "h", "nth", "round").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("at"), F.col("n_words").cast("int").alias("n")))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h2"), "spans", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy("nth")).alias("_nth"))
-    marked = docs.withColumns({"_h": F.xxhash64(F.lit(mix_.seed), F.col("doc_id"), F.col("text"))})
-    marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(0))))
-    met = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")) & (F.col("_copy") == F.col("_nth")))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
+    spans = spans.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "spans", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy("nth")).alias("nth"))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(mix_.seed), "doc_id", "text").alias("h"))
+    marked = marked.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0))))
+    met = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")) & (F.col("copy") == F.col("nth")))
+    words = F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     text = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["at"] + 1, s["n"]))), "")), F.lit(0))
-    return met.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    changed = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return met.select("row", text.alias("mixed")).select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from finloom.llm import queries
-from finloom.llm.mixing import draw_shards, mix_sources, mixed_documents, permuted, taken_words, targets
+from finloom.llm.mixing import mix_sources, mixed_documents, permuted, shard_counts, taken_words, targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -28,16 +28,17 @@ def test_permutations():
 
 def test_draws():
     slots = [1000, 10, 0, 333]
-    got = draw_shards(slots, 100, 3)
-    assert [sum(c for _, s, c, _ in got if s == i) for i in range(4)] == slots
-    assert all(sum(c for k, _, c, _ in got if k == shard) == 100 for shard in range(13))
-    for i in range(4):
-        at = 0
-        for _, s, c, first in got:
-            if s == i:
-                assert first == at
-                at += c
-    assert draw_shards([], 5, 1) == [] and draw_shards([0], 5, 1) == []
+    got = [*shard_counts(slots, 100, 3, 0, 99)]
+    assert [k for k, *_ in got] == [*range(14)] and [int(c.sum()) for _, c, _ in got] == [100] * 13 + [43]
+    assert sum(c for _, c, _ in got).tolist() == slots
+    for (_, counts, first), (_, _, onward) in zip(got, got[1:], strict=False):
+        assert (first + counts == onward).all()
+    for low in (0, 4, 13):  # a task that draws some shards alone finds the same
+        for (k, c, f), (m, d, g) in zip(got[low : low + 3], shard_counts(slots, 100, 3, low, low + 3), strict=True):
+            assert k == m and (c == d).all() and (f == g).all()
+    assert [*shard_counts([], 5, 1, 0, 9)] == [] and [*shard_counts([0], 5, 1, 0, 9)] == []
+    shares = np.array([c[0] for _, c, _ in shard_counts([10_000, 30_000], 100, 8, 0, 400)])
+    assert abs(shares.mean() - 25) < 0.1 and 3 < shares.std() < 6  # of 100 draws at a quarter: 4.3
 
 
 def totals(docs, rows):
