@@ -1,26 +1,25 @@
 """LM scoring: the probability of a text over all ways to cut its words into pieces of a subword vocabulary.
 
-A word's lattice has an edge for each piece of the vocabulary at each place, one for each byte, and one for the whole
-word if the training texts hold it. Piece scores are relative frequencies in the training texts, of pieces that begin
-a word and of others apart; the whole word has the training words' share of it. Which of the two makes a word is
-decided with the share of words seen once. The forward recursion adds, in logarithms, the edges that end at each place;
-its last value is the word's marginal probability, and a text has the product of its words' and the end's.
+A word's lattice has an edge for each piece of the vocabulary at each place, and one for each byte, so that any word has
+a path. One table scores the edges: relative frequencies of the pieces in the training texts, of those that begin a word
+and of others apart, with the chance that a word goes on. The forward recursion adds, in logarithms, the edges that end
+at each place; its last value is the word's marginal probability. A text is a run of words and one end: each word has
+the chance of a token other than the end, times its marginal; so all texts together have a probability of 1 at most.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from math import log
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packed import ROWS, SUMMARY, answered, chunked, found, parts_of, received, send
-from .storage import written
+from .packed import ROWS, SUMMARY, answered, chunked, found, layout, received, send
+from .storage import worker_held, written
 from .words import _LOWER, word_blocks
 
 #: Added to the count of each byte, so that each word has a path.
@@ -34,18 +33,13 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 _MARK = "▁"
 
 
-@lru_cache(maxsize=2)
-def _cutter(vocabulary: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-
-
 def piece_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
     """piece and n: how often the words of texts, cut by the vocabulary's own rule, hold each of its pieces."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, words = _cutter(vocabulary), Counter()
+        import sentencepiece
+
+        cutter, words = worker_held(("pieces", vocabulary), lambda: sentencepiece.SentencePieceProcessor(model_file=vocabulary)), Counter()
         total = np.zeros(cutter.get_piece_size(), np.int64)
 
         def cut() -> None:
@@ -163,25 +157,20 @@ class Lattice:
         return out
 
 
-@lru_cache(maxsize=2)
-def _lattice(counts: tuple[tuple[str, int], ...]) -> Lattice:
-    return Lattice(dict(counts))
-
-
 def score_texts(docs: DataFrame, vocabulary: str, held_out: Column) -> DataFrame:
     """Of every whole text (null: empty): doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are the words, with A-Z as a-z, and one end; those of the rows not held out are learned from (a null
     held_out counts as false). n_known: tokens that are; train_tokens: all that are. base_score: log10 by add-one
     frequencies of tokens; score: log10 by the lattice. Without training rows only bytes score. Repeated rows count as
-    often; other columns aren't read.
+    often; a very long text or word is scored whole; other columns aren't read.
     vocabulary: path of a sentencepiece model, whose pieces come to the driver with their counts, as many as it has.
     Work: one pass to count pieces; the texts are dealt once to chunks, and word counts go packed between them.
     """
-    spark, parts = docs.sparkSession, parts_of(docs)
+    spark, (chunks, parts) = docs.sparkSession, layout(docs)
     marked = docs.withColumn("_out", F.coalesce(held_out, F.lit(False)))
     pieces = {r["piece"]: r["n"] for r in piece_counts(marked.where("NOT _out"), vocabulary).collect()}
-    dealt = chunked(marked, F.col("_out").alias("held_out")).groupBy("chunk")
+    dealt = chunked(marked, chunks, F.col("_out").alias("held_out")).groupBy("chunk")
 
     def own(table: pa.Table) -> pa.Table:
         """The chunk's distinct words, with how often its training rows have them; key 0 stands for the end."""
@@ -200,35 +189,29 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: Column) -> DataFrame
 
     def summary(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.bincount(at, counts).astype(np.int64)
-        return np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])
+        return np.array([total.sum(), (total > 0).sum()])
 
     answers = written(answered(dealt.applyInArrow(own, ROWS), np.dtype(np.uint32), False, totals, summary), "word-counts")
     sums = [np.frombuffer(r["extra"], np.int64) for r in answers.where(F.col("chunk") == SUMMARY).select("extra").collect()]
-    n_all, n_types, n_once = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0)
-    spelled = (n_once + 1) / (n_all + 2)
+    n_all, n_types = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     held = spark.sparkContext.broadcast(tuple(sorted(pieces.items())))
 
     def scored(table: pa.Table, told: pa.Table) -> pa.Table:
         keys, totals = received(told, np.dtype(np.int64), False)
-        lattice, floor = _lattice(held.value), n_all + n_types + 1
+        lattice, floor = worker_held(("lattice", held.value), lambda: Lattice(dict(held.value))), n_all + n_types + 1
         out: list[np.ndarray] = []
-        value = lambda c: np.log10((1 - spelled) * c / max(n_all, 1) if n_all else np.zeros(np.shape(c)))
-        end = int(totals[found(keys, np.zeros(1, np.uint64))[1][0]]) if len(keys) else 0
-        with np.errstate(divide="ignore"):
-            for a, b, words in word_blocks(table.column("text"), lower=True):
-                distinct, place, at = np.unique(words.hash, return_index=True, return_inverse=True)
-                count = totals[found(keys, distinct)[1]]
-                raw = words.raw.tobytes()
-                spell = lattice.words([raw[s:e] for s, e in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)]) / log(10) + np.log10(spelled)
-                whole = value(count)
-                high = np.maximum(spell, whole)
-                score = high + np.log10(10 ** (spell - high) + 10 ** (whole - high))
-                base = np.log10((count + 1) / floor)
-                row = np.repeat(np.arange(b - a), np.diff(words.first))
-                sums = [np.bincount(row, x[at], b - a).astype(float) for x in (np.ones(len(distinct)), count > 0, base, score)]
-                out.append(np.stack(sums, 1))
-            total = np.concatenate(out) if out else np.zeros((0, 4))
-            total += [1, end > 0, np.log10((end + 1) / floor), float(np.log10(np.maximum(end, 0.5) / max(n_all, 1)))]
+        ends = int(totals[found(keys, np.zeros(1, np.uint64))[1][0]]) if len(keys) else 0
+        end = (ends + 1) / (n_all + 2)
+        for a, b, words in word_blocks(table.column("text"), lower=True):
+            distinct, place, at = np.unique(words.hash, return_index=True, return_inverse=True)
+            count = totals[found(keys, distinct)[1]]
+            raw = words.raw.tobytes()
+            spelled = lattice.words([raw[s:e] for s, e in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)])
+            row = np.repeat(np.arange(b - a), np.diff(words.first))
+            each = (np.ones(len(distinct)), count > 0, np.log10((count + 1) / floor), spelled / log(10) + log10(1 - end))
+            out.append(np.stack([np.bincount(row, x[at], b - a).astype(float) for x in each], 1))
+        total = np.concatenate(out) if out else np.zeros((0, 4))
+        total += [1, ends > 0, log10((ends + 1) / floor), log10(end)]
         doc_id = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         flags = table.column("held_out").combine_chunks() if table.num_rows else pa.array([], pa.bool_())
         whole = lambda k: pa.array(total[:, k].astype(np.int64))
