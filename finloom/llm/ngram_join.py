@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import joined
-from .packed import ROWS, answered, chunked, codes, found, parts_of, received, send
-from .storage import written
+from .packed import ROWS, answered, chunked, codes, found, layout, received, send
+from .storage import dropped, written
 from .words import shingle_sets
 
-SETS = "doc_id long, n int, v long, common long, shared int, prefix array<long>, shingles binary"
+SETS = "doc_id long, n int, v binary, common long, shared int, prefix array<long>, shingles binary"
 
 #: Rounds in which groups are compared with leaders alone. More rounds leave less to the last step; none is needed for
 #: the result.
@@ -43,7 +43,8 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n (size of the set) and, where links are possible, v (a hash of the set), common (how many documents hold
     a shingle of it on average), shared (how many shingles other documents hold), with prefix and shingles in one
     document at least of each v of a chunk."""
-    parts, dealt = parts_of(docs), chunked(docs).groupBy("chunk")
+    chunks, parts = layout(docs)
+    dealt = chunked(docs, chunks).groupBy("chunk")
 
     def own(table: pa.Table) -> pa.Table:
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(table.column("text"), words)]), return_counts=True)
@@ -57,14 +58,14 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         known, held_by = received(answers, np.uint32, True)
         rows: dict[str, list] = {"n": [], "v": [], "common": [], "shared": [], "prefix": [], "shingles": []}
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for shingles in shingle_sets(table.column("text"), words):
             n, v, common, prefix, raw = len(shingles), None, None, None, None
             shared, at = found(known, codes(shingles, parts))
             spare = int(shared.sum()) - _need(n, percent)
             if n and spare >= 0:
                 raw, common = shingles.tobytes(), int(held_by[at[shared]].sum(dtype=np.int64)) // n
-                v = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                v = hashlib.blake2b(raw, digest_size=16).digest()
                 if v in seen:
                     raw = None
                 else:
@@ -74,7 +75,7 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for name, value in (("n", n), ("v", v), ("common", common), ("shared", spare + _need(n, percent)), ("prefix", prefix), ("shingles", raw)):
                 rows[name].append(value)
         doc_id = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
-        return pa.table([doc_id, pa.array(rows["n"], pa.int32()), pa.array(rows["v"], pa.int64()), pa.array(rows["common"], pa.int64()), pa.array(rows["shared"], pa.int32()), pa.array(rows["prefix"], pa.list_(pa.int64())), pa.array(rows["shingles"], pa.binary())], names=["doc_id", "n", "v", "common", "shared", "prefix", "shingles"])
+        return pa.table([doc_id, pa.array(rows["n"], pa.int32()), pa.array(rows["v"], pa.binary()), pa.array(rows["common"], pa.int64()), pa.array(rows["shared"], pa.int32()), pa.array(rows["prefix"], pa.list_(pa.int64())), pa.array(rows["shingles"], pa.binary())], names=["doc_id", "n", "v", "common", "shared", "prefix", "shingles"])
 
     shared = answered(dealt.applyInArrow(own, ROWS), np.dtype(np.uint32), True, totals)
     return dealt.cogroup(shared.groupBy("chunk")).applyInArrow(prefixes, SETS)
@@ -95,7 +96,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     of = lambda side, name: classes.select(F.col("v").alias(side), F.col("shingles").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(alike, "a long, b long")
+    return both.mapInArrow(alike, "a binary, b binary")
 
 
 def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
@@ -103,8 +104,11 @@ def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, lea
 
     Two documents link when 100 * common shingles >= percent * shingles of both together. A text of fewer words than a
     shingle is one shingle; null, empty and blank texts have none and link with nothing. A-Z count as a-z. Repeated
-    rows link like copies. A component whose ids are all null has a null component_id. Other columns aren't read.
-    Shingles are compared by 64-bit hashes.
+    rows link like copies. A component whose ids are all null has a null component_id. A very long text lies whole in
+    one chunk. Other columns aren't read. Shingles are compared by 64-bit hashes, sets by 128 bits; groups of one
+    64-bit number are taken together, whatever their prefixes.
+    A bucket that many groups share is split by Spark's adaptive skew join; what is made of it are its groups times
+    leaders, then only pairs of different components.
     """
     table = written(shingle_table(docs, words, percent), "shingles")
     own = table.where("shingles IS NOT NULL").select("v", "n", "common", "shared", "prefix", "shingles").dropDuplicates(["v"])
@@ -112,9 +116,9 @@ def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, lea
     members = written(classes.select("v", "n", "g", "common", "shared"), "members")
     heads = members.groupBy("g").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max_by("v", F.struct("common", "v")).alias("v"))
     # rest: the shared shingles after one of the prefix, which bound what two documents that meet there have in common
-    tokens = classes.dropDuplicates(["g"]).select("g", "n", "common", F.posexplode("prefix").alias("place", "token"), "shared")
+    tokens = classes.dropDuplicates(["g", "n", "prefix"]).select("g", "n", "common", F.posexplode("prefix").alias("place", "token"), "shared")
     tokens = written(tokens.select("g", "n", "common", "token", (F.col("shared") - F.col("place") - 1).alias("rest")), "prefixes")
-    labels = members.select("v", F.col("v").alias("label"))
+    labels = written(members.select("v", F.col("v").alias("label")), "labels")
 
     def possible(n, rest, m, other) -> Column:
         """Whether sets of sizes n and m that first meet at a shingle can be linked."""
@@ -131,11 +135,12 @@ def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, lea
         chosen = members.groupBy("g").agg(F.count("*").alias("size"), F.min_by("v", first("v")).alias("a")).where("size > 1").select("g", "a")
         inside = members.join(chosen, "g").select("a", F.col("v").alias("b"))
         pairs = across.union(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = written(_verified(_apart(pairs, labels) if r else pairs, classes, percent), "edges")
-        labels = joined(labels, edges)
+        labels = _linked(labels, _verified(_apart(pairs, labels) if r else pairs, classes, percent))
     for whole in (False, True):
-        edges = written(_verified(_remaining(members, tokens, labels, possible, whole), classes, percent), "edges")
-        labels = joined(labels, edges)
+        placed, pairs = _remaining(members, tokens, labels, possible, whole)
+        labels = _linked(labels, _verified(pairs, classes, percent))
+        dropped(placed)
+    dropped(classes, members, tokens)
     ids = table.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("low"))
     lows = labels.join(ids, "v")
     lows = lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("v", "component")
@@ -143,18 +148,28 @@ def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, lea
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """labels after the links of pairs, which are written first."""
+    edges = written(pairs, "edges")
+    out = joined(labels, edges)
+    dropped(edges)
+    return out
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose classes have different labels."""
     of = lambda side, name: labels.select(F.col("v").alias(side), F.col("label").alias(name))
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select("a", "b")
 
 
-def _remaining(members: DataFrame, tokens: DataFrame, labels: DataFrame, possible: Callable[..., Column], whole: bool) -> DataFrame:
-    """Pairs of classes that a link may join and no label does; unless whole, one of each two labels.
+def _remaining(members: DataFrame, tokens: DataFrame, labels: DataFrame, possible: Callable[..., Column], whole: bool) -> tuple[DataFrame, DataFrame]:
+    """A written table, and from it pairs of classes that a link may join and no label does; unless whole, one of each
+    two labels.
 
     Of what meets in a bucket (a prefix shingle, or a group), all but the largest component are paired with all others.
     """
-    placed = written(members.join(labels, "v"), "placed")
+    # two labels that are compared here are alike in 64 bits by a chance that needs no more of them
+    placed = written(members.join(labels.select("v", F.xxhash64("label").alias("label")), "v"), "placed")
     kinds = placed.select("g", "label").distinct()
     spots = tokens.join(kinds, "g")
 
@@ -179,4 +194,4 @@ def _remaining(members: DataFrame, tokens: DataFrame, labels: DataFrame, possibl
     across = groups.join(left, ["g", "label"]).join(right, ["h", "other"]).select("a", "b")
     few, many = crossing(placed if whole else each, "g")
     inside = few.select("g", "label", F.col("v").alias("a")).join(many.select("g", F.col("label").alias("other"), F.col("v").alias("b")), "g").where("label <> other").select("a", "b")
-    return across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return placed, across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

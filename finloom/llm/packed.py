@@ -3,6 +3,7 @@
 Documents are dealt to chunks by a hash. A chunk sends its sorted distinct keys, packed, to the part of the key space
 each belongs to; a part sees a key once for each chunk that holds it, however many rows do, and answers each chunk.
 So a key that a third of all rows hold is no more work than others, and no row is made for a pair of documents.
+Chunks and parts are as many as the texts' bytes ask for, so what a task holds at once doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -21,21 +22,25 @@ from .storage import partitions
 SHORT = 4
 _LOW = np.uint64((1 << 8 * SHORT) - 1)
 
-#: Chunks and parts for each of the session's shuffle partitions. A chunk sends a row to each part, so few are enough.
+#: Chunks and parts for each of the session's shuffle partitions at least. A chunk sends a row to each part, so few are enough.
 CHUNKS, PARTS = 2, 1
+#: Bytes of text in a chunk, on average, at most; a part holds the keys of twice that.
+CHUNK_BYTES = 256 << 20
 
 ROWS = "part int, chunk int, keys binary, extra binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 
 
-def chunked(docs: DataFrame, *more: Column) -> DataFrame:
-    """chunk, doc_id and text of docs, dealt to chunks by id and text; more: further columns."""
-    n = CHUNKS * partitions(docs.sparkSession)
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+def layout(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
+    """The numbers of chunks and of parts for docs, from the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(CHUNKS * partitions(docs.sparkSession), -(-size // chunk_bytes))
+    return chunks, max(1, chunks * PARTS // CHUNKS)
 
 
-def parts_of(docs: DataFrame) -> int:
-    return PARTS * partitions(docs.sparkSession)
+def chunked(docs: DataFrame, n: int, *more: Column) -> DataFrame:
+    """chunk, doc_id and text of docs, dealt to n chunks by id and text; more: further columns."""
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
 def part(keys: np.ndarray, parts: int) -> np.ndarray:

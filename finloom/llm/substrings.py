@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packed import ROWS, answered, chunked, codes, first_values, found, parts_of, received, run_starts, send
+from .packed import ROWS, answered, chunked, codes, first_values, found, layout, received, run_starts, send
 from .words import blocks, text_buffers, Words
 
 #: A difference cover of 7.
@@ -56,14 +56,16 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     A word goes if a window of that many words over it also starts in a document with a smaller doc_id; all windows are
     judged on the input. A null id is larger than any other. Equal ids don't remove each other's words. Null and empty
-    texts, and texts shorter than a window, keep all they have. Other columns aren't read.
+    texts, and texts shorter than a window, keep all they have. A very long text lies whole in one chunk. Other columns
+    aren't read.
     Words are compared by 64-bit hashes of windows. Work: the texts are dealt once to chunks; anchors and windows go
     packed between chunks (packed.py), windows only around anchors of several documents.
     """
     anchor = window - PERIOD + 1
     if anchor < 2:
         raise ValueError(f"a window has {PERIOD + 1} words at least")
-    parts, dealt = parts_of(docs), chunked(docs)
+    chunks, parts = layout(docs)
+    dealt = chunked(docs, chunks)
     in_cover = np.zeros(PERIOD, bool)
     in_cover[list(COVER)] = True
 
