@@ -10,12 +10,11 @@ from finloom.llm.langid import UNKNOWN, held_out, identify
 from finloom.llm.mixing import mix_sources, mixed_documents
 from finloom.llm.ngram_join import link_near_duplicates
 from finloom.llm.queries import token_file_digest
-from finloom.llm.storage import bounded_batches, written
+from finloom.llm.storage import dropped, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those of no language: null texts and texts without a letter."""
-    bounded_batches(spark)
     found = identify(docs, docs.where(~held_out("doc_id", 3, 1)), carry=True)
     return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
@@ -26,37 +25,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a 64-bit hash of id and text, so neither null nor repeated ids matter.
     """
-    bounded_batches(spark)
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    linked = link_near_duplicates(keyed.select(F.col("_k").alias("doc_id"), "text")).where("n_shingles > 0")
-    rows = linked.groupBy(F.col("doc_id").alias("_k")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
-    ids = keyed.groupBy("_k").agg(F.min("doc_id").alias("id"))
-    rows = written(rows.join(ids, "_k"), "rows")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_k")).alias("f")).select("f._k", F.lit(True).alias("stays"))
-    verdicts = written(rows.join(first, "_k", "left").where("stays IS NULL OR n > 1").select("_k", F.col("stays").isNotNull().alias("once")), "verdicts")
-    once = verdicts.where("once").select("_k")
-    left = keyed.join(verdicts.select("_k"), "_k", "left_anti")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text", F.struct("*").alias("row"))
+    linked = link_near_duplicates(keyed.select(F.col("k").alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = linked.groupBy(F.col("doc_id").alias("k")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = keyed.groupBy("k").agg(F.min("doc_id").alias("id"))
+    rows = written(rows.join(ids, "k"), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("f")).select("f.k", F.lit(True).alias("stays"))
+    verdicts = written(rows.join(first, "k", "left").where("stays IS NULL OR n > 1").select("k", F.col("stays").isNotNull().alias("once")), "verdicts")
+    dropped(rows)
+    once = verdicts.where("once").select("k")
+    left = keyed.join(verdicts.select("k"), "k", "left_anti")
     if not once.isEmpty():
-        left = left.unionByName(keyed.join(once, "_k", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return left.select(*docs.columns)
+        left = left.unionByName(keyed.join(once, "k", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select("row.*")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item."""
-    bounded_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return benchmark_hits(docs, benchmark, carry=True).where("n_hit = 0").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs mixed to the sources' targets: of each document a row for each round that takes words of it, with these."""
-    bounded_batches(spark)
     return mixed_documents(docs, mix_sources(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row of docs, read back from the token files written of them."""
-    bounded_batches(spark)
     return token_file_digest(docs)
 
 
