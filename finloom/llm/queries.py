@@ -13,7 +13,7 @@ from .lattice_lm import score_texts
 from .mixing import mix_sources, taken_words
 from .ngram_join import link_near_duplicates
 from .oracles import ORACLES
-from .storage import shared_folder
+from .storage import shared_folder, small_batches
 from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -23,6 +23,7 @@ VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

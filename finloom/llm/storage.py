@@ -82,3 +82,17 @@ def worker_held(key: Hashable, make: Callable[[], object]):
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+#: Rows of text that Spark hands to a Python worker at once. Its default, 10,000 rows or 64 MB, is held several times in
+#: buffers outside the heap, which executors with little memory beside it can't spare.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For the queries and the pipeline, not for operators: bounds the session's Arrow batches to BATCH_ROWS rows. Spark
+    reads this setting when a result is written, so it can't be given back before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -118,9 +118,9 @@ class TextEncoder:
     sorted arrays (about 40 bytes for a word); other texts go by pieces (pieces.py).
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 250_000):
         self.library, self.most = _Library(vocabulary), most
-        self.pieces = PieceValues(self.library.find)
+        self.pieces = PieceValues(self.library.find, most // 4)
         self._forget()
 
     def _forget(self) -> None:
