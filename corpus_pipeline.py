@@ -10,11 +10,12 @@ from finloom.llm.langid import UNKNOWN, held_out, identify
 from finloom.llm.mixing import mix_sources, mixed_documents
 from finloom.llm.ngram_join import link_near_duplicates
 from finloom.llm.queries import token_file_digest
-from finloom.llm.storage import dropped, written
+from finloom.llm.storage import dropped, small_batches, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those of no language: null texts and texts without a letter."""
+    small_batches(spark)
     found = identify(docs, docs.where(~held_out("doc_id", 3, 1)), carry=True)
     return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
@@ -25,6 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a 64-bit hash of id and text, so neither null nor repeated ids matter.
     """
+    small_batches(spark)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text", F.struct("*").alias("row"))
     linked = link_near_duplicates(keyed.select(F.col("k").alias("doc_id"), "text")).where("n_shingles > 0")
     rows = linked.groupBy(F.col("doc_id").alias("k")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
@@ -42,17 +44,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return benchmark_hits(docs, benchmark, carry=True).where("n_hit = 0").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs mixed to the sources' targets: of each document a row for each round that takes words of it, with these."""
+    small_batches(spark)
     return mixed_documents(docs, mix_sources(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row of docs, read back from the token files written of them."""
+    small_batches(spark)
     return token_file_digest(docs)
 
 
