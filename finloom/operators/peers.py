@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import PEER_PERCENTILES
 
 
-def profiles(values: DataFrame, groups: Column, metric: str, value: str, fewest: int = 20) -> DataFrame:
+def profiles(values: DataFrame, groups: Column, metric: str, value: str, fewest: int | Column = 20) -> DataFrame:
     """group, metric, n and profile (the values at PEER_PERCENTILES, interpolated) of groups with fewest values.
 
     groups: an array of the groups that a row belongs to. Null values and groups don't count.

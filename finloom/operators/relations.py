@@ -42,11 +42,11 @@ def current(edges: DataFrame, reporter: Column, lineage: str, year: str, keys: S
 
 
 def fresh(edges: DataFrame, today: Column, window_years: int = 1) -> DataFrame:
-    """edges that are fresh: notes of their reporter's newest year, contracts until their end (without one like prose),
-    prose of this year or window_years before, others always. edges: source_kind, src, dst, edge_type, year, valid_until.
-    """
+    """Active edges that are fresh: notes of their reporter's newest year with an active one, contracts until their end
+    (without one like prose), prose of this year or window_years before, others always. edges: source_kind, src, dst,
+    edge_type, year, valid_until, status."""
     own = F.when(F.col("edge_type").isin("customer", "capital_out"), F.col("src")).otherwise(F.col("dst"))
-    dated = edges.withColumn("_self", own)
+    dated = edges.where("status = 'active'").withColumn("_self", own)
     newest = F.max(F.when(F.col("source_kind") == "note", F.col("year"))).over(Window.partitionBy("_self"))
     recent = F.col("year") >= F.year(today) - window_years
     contract = F.when(F.col("valid_until").isNotNull(), F.col("valid_until") >= today).otherwise(recent)

@@ -107,7 +107,7 @@ def sector_percentiles(spark: SparkSession, d: str) -> DataFrame:
 SELECT s_suppkey, CASE WHEN s_acctbal > 9000 THEN 'subsidiary' END AS big, CASE WHEN b > 50 THEN 'subsidiary' WHEN b >= 20 THEN 'associate' WHEN b >= 5 THEN 'investment' END AS class,
        CASE WHEN b < 15 THEN 'low' WHEN b < 25 THEN 'medium' ELSE 'high' END AS volatility, CASE WHEN b - 40 >= 2 THEN 'positive' WHEN b - 40 <= -2 THEN 'negative' ELSE 'neutral' END AS label,
        CASE WHEN s_acctbal * 1e9 >= 5e12 THEN 3 WHEN s_acctbal * 1e9 >= 1e12 THEN 2 WHEN s_acctbal * 1e9 >= 2e11 THEN 1 ELSE 0 END AS bucket,
-       CASE WHEN s_acctbal > 0 THEN round(greatest(least(sqrt(s_acctbal / 1000.0), 3.5), 0.5), 6) ELSE 0.5 END AS size, CASE WHEN s_acctbal * 1e9 >= 3e12 THEN '조' ELSE '억' END AS unit
+       CASE WHEN s_acctbal > 0 THEN round(least(sqrt(s_acctbal / 1000.0) * 0.3 + 0.5, 3.5), 6) ELSE 0.5 END AS size, CASE WHEN s_acctbal * 1e9 >= 3e12 THEN '조' ELSE '억' END AS unit
 FROM (SELECT *, s_acctbal / 100 AS b FROM supplier)""")
 def value_classes(spark: SparkSession, d: str) -> DataFrame:
     b, cap = F.col("s_acctbal") / 100, F.col("s_acctbal") * 1e9

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import industries as I
 from ..functions import numbers as N
 from ..functions import texts as X
 from ..operators import chunks as C
@@ -14,7 +15,7 @@ from ..operators import financials as B
 from ..operators import keyed as K
 from ..operators import relations as R
 from ..operators import statements as S
-from .tables import EDGES_SQL, PANEL_SQL, cents, edges, panel, table
+from .tables import EDGES_SQL, PANEL_SQL, cents, edges, firms, panel, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,26 +32,28 @@ def query(sql: str | None = None):
 
 
 METRICS_SQL = f"""
-WITH panel AS ({PANEL_SQL}), b AS (SELECT *, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel), l AS (SELECT *, operating_income / nullif(revenue, 0) * 100 AS mg FROM b WHERE b <= 3),
+WITH panel AS ({PANEL_SQL}), b AS (SELECT *, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel), l AS (SELECT *, operating_income / nullif(revenue, 0) AS mg FROM b WHERE b <= 3),
 w AS (SELECT *, CASE WHEN mg IS NOT NULL THEN row_number() OVER (PARTITION BY corp, mg IS NULL ORDER BY year) END AS w FROM l),
 a AS (SELECT corp, max_by(g1, year) AS g1, max_by(g2, year) AS g2, max_by(g3, year) AS g3, count(*) AS years,
   sum(operating_cashflow) AS ocf, sum(operating_income) AS oi, count(operating_income) AS pairs,
   max(CASE WHEN b = 1 THEN receivable END) AS r1, max(CASE WHEN b = 2 THEN receivable END) AS r2, max(CASE WHEN b = 1 THEN revenue END) AS v1, max(CASE WHEN b = 2 THEN revenue END) AS v2,
   max(CASE WHEN b = 1 THEN total_liabilities END) AS debt, max(CASE WHEN b = 1 THEN total_equity END) AS e1, max(CASE WHEN b = 2 THEN total_equity END) AS e2, max(CASE WHEN b = 3 THEN total_equity END) AS e3,
   count(mg) AS margins, sum(mg * w) / sum(w) AS mean, max(mg) - min(mg) AS rng FROM w GROUP BY corp),
-m AS (SELECT corp, g1, g2, g3, years >= 3 AS three, e1, CASE WHEN pairs >= 2 AND oi > 0 THEN ocf / oi END AS cash_ratio,
-  (r1 - r2) / nullif(abs(r2), 0) * 100 - (v1 - v2) / nullif(abs(v2), 0) * 100 AS receivable_gap, CASE WHEN e1 > 0 THEN debt / e1 END AS leverage,
+c AS (SELECT *, CASE WHEN years >= 3 THEN e3 ELSE e2 END AS early FROM a),
+m AS (SELECT corp, g1, g2, g3, years >= 3 AS three, e1, early, CASE WHEN pairs >= 2 AND oi > 0 THEN ocf / oi END AS cash_ratio,
+  CASE WHEN g3 <> 'FINANCIAL' AND v1 <> 0 THEN r1 / nullif(r2, 0) - 1 - (v1 / nullif(v2, 0) - 1) END AS receivable_gap, CASE WHEN e1 > 0 THEN debt / e1 END AS leverage,
   CASE WHEN margins >= 2 THEN mean END AS margin, CASE WHEN margins >= 2 THEN rng END AS margin_range,
-  CASE WHEN e1 > 0 AND CASE WHEN years >= 3 THEN e3 ELSE e2 END > 0 THEN (pow(e1 / CASE WHEN years >= 3 THEN e3 ELSE e2 END, CASE WHEN years >= 3 THEN 0.5 ELSE 1.0 END) - 1) * 100 END AS equity_growth FROM a),
+  CASE WHEN e1 > 0 AND early > 0 THEN pow(e1 / early, CASE WHEN years >= 3 THEN 0.5 ELSE 1.0 END) - 1 END AS equity_growth FROM c),
 u AS (SELECT corp, g1, g2, g3, three, metric, value FROM (UNPIVOT m ON receivable_gap, leverage, margin, margin_range, equity_growth INTO NAME metric VALUE value)),
 x AS (SELECT corp, metric, unnest([g1, g2, g3]) AS grp, unnest([0, 1, 2]) AS pos, CASE WHEN metric = 'equity_growth' AND NOT three THEN NULL ELSE value END AS fit, value FROM u),
-p AS (SELECT grp, metric, count(fit) AS n, quantile_cont(fit, 0.1) AS p1, quantile_cont(fit, 0.25) AS p2, quantile_cont(fit, 0.5) AS p3, quantile_cont(fit, 0.75) AS p4, quantile_cont(fit, 0.9) AS p5 FROM x WHERE fit IS NOT NULL GROUP BY 1, 2 HAVING count(fit) >= 20)"""
+p AS (SELECT grp, metric, count(fit) AS n, quantile_cont(fit, 0.1) AS p1, quantile_cont(fit, 0.25) AS p2, quantile_cont(fit, 0.5) AS p3, quantile_cont(fit, 0.75) AS p4, quantile_cont(fit, 0.9) AS p5 FROM x WHERE fit IS NOT NULL GROUP BY 1, 2
+  HAVING count(fit) >= CASE WHEN grp = 'FINANCIAL' OR grp LIKE 'KSIC-64%' OR grp LIKE 'KSIC-65%' OR grp LIKE 'KSIC-66%' THEN 8 ELSE 20 END)"""
 
 
-@query(METRICS_SQL + ' SELECT grp AS "group", metric, n, round(p1, 4) AS p10, round(p2, 4) AS p25, round(p3, 4) AS p50, round(p4, 4) AS p75, round(p5, 4) AS p90 FROM p')
+@query(METRICS_SQL + ' SELECT grp AS "group", metric, n, round(p1, 6) AS p10, round(p2, 6) AS p25, round(p3, 6) AS p50, round(p4, 6) AS p75, round(p5, 6) AS p90 FROM p')
 def calibration_profiles(spark: SparkSession, d: str) -> DataFrame:
-    found = Q.calibrated(panel(spark, d))
-    return found.select("group", "metric", "n", *(F.round(F.col("profile")[i], 4).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))))
+    found = Q.calibrated(panel(spark, d), 20, 8)
+    return found.select("group", "metric", "n", *(F.round(F.col("profile")[i], 6).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))))
 
 
 def _interpolated(high: bool) -> str:
@@ -59,55 +62,94 @@ def _interpolated(high: bool) -> str:
     return f"CASE WHEN value <= p1 THEN {scores[0]} {cases} ELSE {scores[4]} END"
 
 
-@query(METRICS_SQL + f""", s AS (SELECT corp, x.metric, min_by(CASE WHEN x.metric IN ('margin', 'equity_growth') THEN {_interpolated(True)} ELSE {_interpolated(False)} END, pos) AS score
+def _knots(value: str, knots) -> str:
+    """piecewise() in SQL."""
+    cases = " ".join(f"WHEN {value} <= {x1!r} THEN {y0!r} + ({value} - {x0!r}) / {x1 - x0!r} * {y1 - y0!r}" for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False))
+    return f"CASE WHEN {value} IS NULL THEN NULL WHEN {value} <= {knots[0][0]!r} THEN {knots[0][1]!r} {cases} ELSE {knots[-1][1]!r} END"
+
+
+#: From modules m1 to m5 of t, with e1 and early, to the scores' rows.
+MODULES_SQL = """
+v AS (SELECT corp, round_even(m1, 1) AS m1, round_even(m2, 1) AS m2, CASE WHEN e1 <= 0 THEN 0 ELSE round_even(m3, 1) END AS m3, round_even(m4, 1) AS m4,
+  CASE WHEN e1 IS NOT NULL AND early IS NOT NULL AND (e1 <= 0 OR early <= 0) THEN 0 ELSE round_even(m5, 1) END AS m5 FROM t),
+f AS (SELECT *, round_even(list_avg(list_filter([m1, m2, m3, m4, m5], lambda z: z IS NOT NULL)), 1) AS total FROM v)
+SELECT corp, m1, m2, m3, m4, m5, total, CASE WHEN total IS NULL THEN NULL WHEN total >= 75 THEN 'A' WHEN total >= 60 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 25 THEN 'D' ELSE 'F' END AS grade,
+  array_to_string(list_filter([CASE WHEN m1 IS NULL THEN 'm1' END, CASE WHEN m2 IS NULL THEN 'm2' END, CASE WHEN m3 IS NULL THEN 'm3' END, CASE WHEN m4 IS NULL THEN 'm4' END, CASE WHEN m5 IS NULL THEN 'm5' END], lambda z: z IS NOT NULL), ',') AS excluded FROM f"""
+
+
+@query(METRICS_SQL + f""", s AS (SELECT corp, x.metric, round_even(min_by(CASE WHEN x.metric IN ('margin', 'equity_growth') THEN {_interpolated(True)} ELSE {_interpolated(False)} END, pos), 1) AS score
   FROM x JOIN p ON p.grp = x.grp AND p.metric = x.metric WHERE value IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT m.corp, CASE WHEN cash_ratio IS NULL THEN NULL WHEN cash_ratio <= 0 THEN 0 WHEN cash_ratio <= 0.5 THEN cash_ratio / 0.5 * 25 WHEN cash_ratio <= 0.8 THEN 25 + (cash_ratio - 0.5) / 0.3 * 25 WHEN cash_ratio <= 1 THEN 50 + (cash_ratio - 0.8) / 0.2 * 30 WHEN cash_ratio <= 1.2 THEN 80 + (cash_ratio - 1) / 0.2 * 20 ELSE 100 END AS m1,
-  max(score) FILTER (WHERE metric = 'receivable_gap') AS m2, CASE WHEN any_value(e1) <= 0 THEN 0 ELSE max(score) FILTER (WHERE metric = 'leverage') END AS m3,
-  max(score) FILTER (WHERE metric = 'margin') * 0.7 + max(score) FILTER (WHERE metric = 'margin_range') * 0.3 AS m4, CASE WHEN any_value(e1) <= 0 THEN 0 ELSE max(score) FILTER (WHERE metric = 'equity_growth') END AS m5
-  FROM m LEFT JOIN s ON s.corp = m.corp GROUP BY m.corp, cash_ratio),
-f AS (SELECT *, list_avg(list_filter([m1, m2, m3, m4, m5], lambda z: z IS NOT NULL)) AS total FROM t)
-SELECT corp, round(m1, 4) AS m1, round(m2, 4) AS m2, round(m3, 4) AS m3, round(m4, 4) AS m4, round(m5, 4) AS m5, round(total, 4) AS total,
-  CASE WHEN total IS NULL THEN NULL WHEN total >= 75 THEN 'A' WHEN total >= 60 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 25 THEN 'D' ELSE 'F' END AS grade FROM f""")
+t AS (SELECT m.corp, any_value(e1) AS e1, any_value(early) AS early, any_value({_knots("cash_ratio", Q.CASH_KNOTS)}) AS m1, max(score) FILTER (WHERE metric = 'receivable_gap') AS m2, max(score) FILTER (WHERE metric = 'leverage') AS m3,
+  max(score) FILTER (WHERE metric = 'margin') * 0.7 + max(score) FILTER (WHERE metric = 'margin_range') * 0.3 AS m4, max(score) FILTER (WHERE metric = 'equity_growth') AS m5
+  FROM m LEFT JOIN s ON s.corp = m.corp GROUP BY m.corp),""" + MODULES_SQL)
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     firms = panel(spark, d)
-    return Q.quality_scores(firms, Q.calibrated(firms)).select("corp", *(F.round(c, 4).alias(c) for c in ("m1", "m2", "m3", "m4", "m5", "total")), "grade")
+    return Q.quality_scores(firms, Q.calibrated(firms, 20, 8))
+
+
+def _bucket_case(value: str, bucket: str, table: dict, default: str, scores, first=()) -> str:
+    of = lambda name: _knots(value, [*first, *zip(table[name], scores, strict=True)])
+    return "CASE " + " ".join(f"WHEN {bucket} = '{name}' THEN {of(name)}" for name in table if name != default) + f" ELSE {of(default)} END"
+
+
+#: A rule table of the firms' buckets by name, for some of them.
+BUCKETS_SQL = "SELECT s_name || ['금융지주', '증권', '카드', '투자', '리츠', ''][CAST(s_suppkey % 6 AS INTEGER) + 1] AS name, ['retail', 'construction', 'bank', 'chemicals'][CAST(s_suppkey % 4 AS INTEGER) + 1] AS lb, ['retail', 'biotech', 'bank', 'utility'][CAST(s_suppkey % 4 AS INTEGER) + 1] AS mb, ['stable', 'cyclic', 'fin_stable', 'general'][CAST(s_suppkey % 4 AS INTEGER) + 1] AS rb FROM supplier WHERE s_suppkey % 5 <> 0"
+
+
+@query(METRICS_SQL + f""", k AS ({BUCKETS_SQL}), o AS (SELECT DISTINCT corp, name FROM panel), q AS (SELECT m.*, lb, mb, rb FROM m JOIN o USING (corp) LEFT JOIN k USING (name)),
+t AS (SELECT corp, e1, early, {_knots("cash_ratio", Q.CASH_KNOTS)} AS m1, {_knots("receivable_gap", Q.GAP_KNOTS)} AS m2, {_bucket_case("leverage", "lb", Q.LEVERAGE_BOUNDS, "manufacturing", Q.LEVERAGE_SCORES, ((0.0, 100.0),))} AS m3,
+  {_bucket_case("margin", "mb", Q.MARGIN_BOUNDS, "manufacturing", Q.MARGIN_SCORES)} * 0.7 + {_bucket_case("margin_range", "rb", Q.RANGE_BOUNDS, "general", Q.RANGE_SCORES)} * 0.3 AS m4, {_knots("equity_growth", Q.GROWTH_KNOTS)} AS m5 FROM q),""" + MODULES_SQL)
+def absolute_scores(spark: SparkSession, d: str) -> DataFrame:
+    held = firms(spark, d)
+    kinds = (("retail", "retail", "stable"), ("construction", "biotech", "cyclic"), ("bank", "bank", "fin_stable"), ("chemicals", "utility", "general"))
+    of = lambda i: F.get(F.lit([k[i] for k in kinds]), (F.col("corp") % 4).cast("int"))
+    book = held.where("corp % 5 <> 0").select("name", of(0).alias("leverage_bucket"), of(1).alias("margin_bucket"), of(2).alias("range_bucket"))
+    return Q.absolute_scores(panel(spark, d), Q.with_buckets(held.select("corp", "name"), book))
 
 
-FINANCIAL_METRICS = {"roe": True, "capital": True, "income": True, "growth": True}
+_KIND = "CASE WHEN name LIKE '%금융지주%' THEN 'bank_holding' WHEN code LIKE '641%' OR code LIKE '642%' THEN 'bank' WHEN code LIKE '65%' THEN 'insurance' WHEN code LIKE '661%' OR name LIKE '%증권%' THEN 'securities' WHEN name LIKE '%카드%' THEN 'card' WHEN name LIKE '%투자%' THEN 'capital_investment' WHEN name LIKE '%리츠%' THEN 'reit' WHEN code LIKE '66%' THEN 'financial_service' ELSE 'other_financial' END"
 
 
 @query(f"""
-WITH panel AS ({PANEL_SQL}), y AS (SELECT *, CASE WHEN total_equity > 0 THEN net_income / total_equity * 100 END AS q, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel),
-r AS (SELECT corp, sum(q * w) / sum(w) AS roe FROM (SELECT corp, q, least(3, count(*) OVER (PARTITION BY corp)) - row_number() OVER (PARTITION BY corp ORDER BY year DESC) + 1 AS w FROM y WHERE q IS NOT NULL) WHERE w >= 1 GROUP BY 1),
-l AS (SELECT corp, g1, g3, total_equity / nullif(total_liabilities + total_equity, 0) AS capital, CASE WHEN operating_income > 0 THEN net_income / operating_income END AS income FROM y WHERE b = 1),
-c AS (SELECT corp, CASE WHEN count(*) >= 3 AND min_by(total_equity, year) > 0 AND max_by(total_equity, year) > 0 THEN pow(max_by(total_equity, year) / min_by(total_equity, year), 1.0 / (max(year) - min(year))) - 1 END AS growth FROM y WHERE b <= 3 GROUP BY 1),
-i AS (SELECT l.*, roe, growth FROM l LEFT JOIN r USING (corp) LEFT JOIN c USING (corp)),
-u AS (SELECT corp, g1, g3, metric, value FROM (UNPIVOT i ON roe, capital, income, growth INTO NAME metric VALUE value)),
-g AS (SELECT *, unnest([g1, g3]) AS grp, unnest([0, 1]) AS pos FROM u),
-p AS (SELECT grp, metric, quantile_cont(value, 0.1) AS p1, quantile_cont(value, 0.25) AS p2, quantile_cont(value, 0.5) AS p3, quantile_cont(value, 0.75) AS p4, quantile_cont(value, 0.9) AS p5 FROM g GROUP BY 1, 2 HAVING count(*) >= CASE WHEN grp = 'MARKET' THEN 5 ELSE 20 END),
-s AS (SELECT corp, metric, min_by({_interpolated(True)}, pos) AS score FROM g JOIN p USING (grp, metric) GROUP BY 1, 2),
-f AS (SELECT i.corp, max(score) FILTER (WHERE metric = 'roe') AS roe, max(score) FILTER (WHERE metric = 'capital') AS capital, max(score) FILTER (WHERE metric = 'income') AS income, max(score) FILTER (WHERE metric = 'growth') AS growth FROM i LEFT JOIN s ON s.corp = i.corp GROUP BY 1)
-SELECT corp, round(roe, 4) AS roe, round(capital, 4) AS capital, round(income, 4) AS income, round(growth, 4) AS growth, round(list_avg(list_filter([roe, capital, income, growth], lambda z: z IS NOT NULL)), 4) AS total FROM f""")
+WITH panel AS (SELECT *, industry_code AS code, round(net_income / 1000000, 4) AS dps FROM ({PANEL_SQL}) WHERE regexp_matches(industry_code, '^(641|642|65|661|662)')),
+y AS (SELECT *, net_income / nullif(total_equity, 0) AS q, net_income / nullif(operating_income, 0) AS i, CASE WHEN revenue > 0 THEN dps / (revenue / 10000000) ELSE 0 END AS dy, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel),
+r AS (SELECT corp, metric, sum(v * w) / sum(w) AS v FROM (SELECT corp, metric, v, least(3, count(*) OVER (PARTITION BY corp, metric)) - row_number() OVER (PARTITION BY corp, metric ORDER BY year DESC) + 1 AS w FROM (UNPIVOT (SELECT corp, year, q AS roe, i AS income, dy AS dividend_yield FROM y) ON roe, income, dividend_yield INTO NAME metric VALUE v)) WHERE w >= 1 GROUP BY 1, 2),
+g AS (SELECT corp, 'growth' AS metric, CASE WHEN count(*) >= 3 AND min_by(total_equity, year) > 0 AND max_by(total_equity, year) > 0 THEN pow(max_by(total_equity, year) / min_by(total_equity, year), 1.0 / (max(year) - min(year))) - 1 END AS v FROM y WHERE b <= 3 GROUP BY 1),
+l AS (SELECT corp, {_KIND} AS kind, total_equity / nullif(total_assets, 0) AS capital FROM y WHERE b = 1),
+u AS (SELECT corp, kind, metric, v FROM (SELECT * FROM r UNION ALL SELECT * FROM g UNION ALL SELECT corp, 'capital', capital FROM l) JOIN l USING (corp) WHERE v IS NOT NULL),
+e AS (SELECT *, unnest([kind, CASE WHEN metric = 'capital' AND kind IN ('bank_holding', 'bank') THEN 'banks' END, 'all']) AS grp FROM u),
+p AS (SELECT grp, metric, quantile_cont(v, 0.1) AS p1, quantile_cont(v, 0.25) AS p2, quantile_cont(v, 0.5) AS p3, quantile_cont(v, 0.75) AS p4, quantile_cont(v, 0.9) AS p5 FROM e WHERE grp IS NOT NULL GROUP BY 1, 2
+  HAVING count(*) >= CASE WHEN grp IN ('all', 'banks') OR (grp = 'bank_holding' AND metric = 'capital') THEN 5 ELSE 20 END),
+w AS (SELECT corp, metric, v AS value, unnest(CASE WHEN metric = 'capital' AND kind = 'bank_holding' THEN ['bank_holding', 'banks'] ELSE [kind, 'all'] END) AS grp, unnest([0, 1]) AS pos FROM u),
+s AS (SELECT corp, metric, round_even(min_by({_interpolated(True)}, pos), 1) AS score FROM w JOIN p USING (grp, metric) GROUP BY 1, 2),
+d AS (SELECT corp, greatest(dps, 0) AS dps, year, lag(greatest(dps, 0)) OVER (PARTITION BY corp ORDER BY year) AS d0 FROM y WHERE b <= 3),
+c AS (SELECT corp, CASE WHEN count(*) FILTER (WHERE dps > 0) = 0 THEN 0 ELSE greatest(0, least(100, CASE count(*) FILTER (WHERE dps > 0) WHEN 3 THEN 75 WHEN 2 THEN 60 ELSE 35 END - 20 * count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) + 7.5 * count(*) FILTER (WHERE dps > d0 * 1.05) + CASE WHEN min(dps) > 0 AND count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) = 0 THEN 10 ELSE 0 END)) END AS dc FROM d GROUP BY 1),
+f AS (SELECT l.corp, any_value(kind) AS kind, any_value(dc) AS dc, max(score) FILTER (WHERE metric = 'dividend_yield') AS fy, max(score) FILTER (WHERE metric = 'roe') AS f2, max(score) FILTER (WHERE metric = 'capital') AS f3, max(score) FILTER (WHERE metric = 'income') AS f4, max(score) FILTER (WHERE metric = 'growth') AS f5 FROM l LEFT JOIN s ON s.corp = l.corp LEFT JOIN c ON c.corp = l.corp GROUP BY 1),
+z AS (SELECT *, round_even(coalesce(fy * 0.7 + dc * 0.3, fy, dc), 1) AS f1 FROM f), t AS (SELECT *, round_even(list_avg(list_filter([f1, f2, f3, f4, f5], lambda z: z IS NOT NULL)), 1) AS total FROM z)
+SELECT corp, kind, CAST(f1 AS DOUBLE) AS f1, f2, f3, f4, f5, total, CASE WHEN total IS NULL THEN NULL WHEN total >= 75 THEN 'A' WHEN total >= 60 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 25 THEN 'D' ELSE 'F' END AS grade,
+  array_to_string(list_filter([CASE WHEN f1 IS NULL THEN 'f1' END, CASE WHEN f2 IS NULL THEN 'f2' END, CASE WHEN f3 IS NULL THEN 'f3' END, CASE WHEN f4 IS NULL THEN 'f4' END, CASE WHEN f5 IS NULL THEN 'f5' END], lambda z: z IS NOT NULL), ',') AS missing FROM t""")
 def financial_scores(spark: SparkSession, d: str) -> DataFrame:
-    found = B.financial_scores(B.financial_inputs(panel(spark, d)), FINANCIAL_METRICS)
-    return found.select("corp", *(F.round(c, 4).alias(c) for c in (*FINANCIAL_METRICS, "total")))
+    held = panel(spark, d).where(I.financial_firm("industry_code", "name"))
+    dps = F.round(F.col("net_income") / 1000000, 4)
+    yields = held.select("corp", "year", dps.alias("dps"), F.when(F.col("revenue") > 0, dps / (F.col("revenue") / 10000000)).otherwise(0.0).alias("dividend_yield"))
+    return B.financial_scores(B.financial_inputs(held, yields))
 
 
 @query(f"""
 WITH panel AS ({PANEL_SQL}), w AS (SELECT *, lag(receivable) OVER o AS r0, lag(revenue) OVER o AS v0, lag(total_liabilities) OVER o AS l0, lag(total_equity) OVER o AS e0, lag(operating_income) OVER o AS o0, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel WINDOW o AS (PARTITION BY corp ORDER BY year)),
-h AS (SELECT corp, list_filter([CASE WHEN total_equity < 0 THEN 'negative_equity' END, CASE WHEN operating_income < 0 THEN 'operating_loss' END, CASE WHEN net_income > 0 AND operating_cashflow < net_income * 0.5 THEN 'cash_gap' END,
-  CASE WHEN (receivable - r0) / nullif(abs(r0), 0) - (revenue - v0) / nullif(abs(v0), 0) > 0.3 THEN 'receivable_gap' END, CASE WHEN total_liabilities / nullif(total_equity, 0) - l0 / nullif(e0, 0) > 0.5 THEN 'debt_jump' END,
-  CASE WHEN o0 / nullif(v0, 0) - operating_income / nullif(revenue, 0) > 0.05 THEN 'margin_drop' END, CASE WHEN total_equity > 0 AND total_liabilities / nullif(total_equity, 0) > 2 THEN 'leverage' END,
-  CASE WHEN net_income > 0 AND operating_cashflow >= net_income * 1.2 THEN 'strong_cash' END], lambda z: z IS NOT NULL) AS l FROM w WHERE b = 1)
+h AS (SELECT corp, list_filter([CASE WHEN total_equity < 0 THEN 'negative_equity' END, CASE WHEN operating_income < 0 THEN 'operating_loss' END, CASE WHEN net_income > 0 AND operating_cashflow / net_income < 0.3 THEN 'cash_gap' END,
+  CASE WHEN receivable <> 0 AND revenue <> 0 AND (receivable - r0) / nullif(r0, 0) - (revenue - v0) / nullif(v0, 0) >= 0.15 THEN 'receivable_gap' END, CASE WHEN total_liabilities <> 0 AND (total_liabilities - l0) / nullif(l0, 0) >= 0.30 THEN 'debt_jump' END,
+  CASE WHEN o0 / nullif(v0, 0) - operating_income / nullif(revenue, 0) >= 0.05 THEN 'margin_drop' END, CASE WHEN total_liabilities / nullif(total_assets, 0) >= 0.70 THEN 'leverage' END,
+  CASE WHEN net_income > 0 AND operating_cashflow / net_income >= 1.2 THEN 'strong_cash' END], lambda z: z IS NOT NULL) AS l FROM w WHERE b = 1)
 SELECT corp, coalesce(array_to_string(l[1:3], ','), '') AS highlights FROM h""")
 def highlights(spark: SparkSession, d: str) -> DataFrame:
     return Q.highlights(panel(spark, d))
 
 
 @query(f"""
-WITH panel AS ({PANEL_SQL}), y AS (SELECT corp, year, round(net_income / 1000000, 4) AS dps FROM panel), c AS (SELECT *, dps - lag(dps) OVER (PARTITION BY corp ORDER BY year) AS g, lag(dps) OVER (PARTITION BY corp ORDER BY year) AS b FROM y),
-a AS (SELECT corp, count(*) AS n, count(*) FILTER (WHERE dps > 0) AS paid, count(*) FILTER (WHERE g / nullif(b, 0) < -0.1) AS cuts, count(*) FILTER (WHERE g / nullif(b, 0) > 0.05) AS rises FROM c GROUP BY 1)
-SELECT corp, CAST(CASE WHEN paid > 0 THEN greatest(0, least(100, CASE WHEN paid >= 3 THEN 75 WHEN paid = 2 THEN 60 ELSE 35 END - 20 * cuts + 7.5 * rises + CASE WHEN n >= 3 AND paid = n THEN 10 ELSE 0 END)) ELSE 0 END AS DOUBLE) AS continuity FROM a""")
+WITH panel AS ({PANEL_SQL}), y AS (SELECT corp, year, greatest(round(net_income / 1000000, 4), 0) AS dps, row_number() OVER (PARTITION BY corp ORDER BY year DESC) AS b FROM panel), d AS (SELECT *, lag(dps) OVER (PARTITION BY corp ORDER BY year) AS d0 FROM y WHERE b <= 3),
+a AS (SELECT corp, count(*) AS n, count(*) FILTER (WHERE dps > 0) AS paid, count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) AS cuts, count(*) FILTER (WHERE dps > d0 * 1.05) AS rises FROM d GROUP BY 1)
+SELECT corp, CAST(CASE WHEN paid > 0 THEN greatest(0, least(100, CASE WHEN paid >= 3 THEN 75 WHEN paid = 2 THEN 60 ELSE 35 END - 20 * cuts + 7.5 * rises + CASE WHEN paid = n AND cuts = 0 THEN 10 ELSE 0 END)) ELSE 0 END AS DOUBLE) AS continuity FROM a""")
 def dividend_continuity(spark: SparkSession, d: str) -> DataFrame:
     yearly = panel(spark, d).select("corp", "year", F.round(F.col("net_income") / 1000000, 4).alias("dps"))
     return Q.dividend_score(yearly, "corp", "year", "dps")
@@ -133,11 +175,11 @@ def current_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH e AS ({EDGES_SQL}), k AS (SELECT *, CASE CAST(src % 4 AS INTEGER) WHEN 0 THEN 'note' WHEN 1 THEN 'contract' WHEN 2 THEN 'prose' ELSE 'api' END AS kind, CASE WHEN dst % 2 = 0 THEN make_date(year + 2, 6, 30) END AS until, CASE WHEN dst % 3 = 0 THEN 'customer' ELSE 'supply' END AS t FROM e),
-s AS (SELECT *, max(CASE WHEN kind = 'note' THEN year END) OVER (PARTITION BY CASE WHEN t = 'customer' THEN src ELSE dst END) AS newest FROM k)
+s AS (SELECT *, max(CASE WHEN kind = 'note' THEN year END) OVER (PARTITION BY CASE WHEN t = 'customer' THEN src ELSE dst END) AS newest FROM k WHERE (src + dst + year) % 7 <> 0)
 SELECT src, dst, year FROM s WHERE CASE kind WHEN 'note' THEN year = newest WHEN 'contract' THEN CASE WHEN until IS NOT NULL THEN until >= DATE '2000-03-01' ELSE year >= 1999 END WHEN 'prose' THEN year >= 1999 ELSE true END""")
 def fresh_relations(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("src") % 4 == 0, "note").when(F.col("src") % 4 == 1, "contract").when(F.col("src") % 4 == 2, "prose").otherwise("api")
-    held = edges(spark, d).select("src", "dst", "year", kind.alias("source_kind"), F.when(F.col("dst") % 2 == 0, F.make_date(F.col("year") + 2, F.lit(6), F.lit(30))).alias("valid_until"), F.when(F.col("dst") % 3 == 0, "customer").otherwise("supply").alias("edge_type"))
+    held = edges(spark, d).select("src", "dst", "year", kind.alias("source_kind"), F.when(F.col("dst") % 2 == 0, F.make_date(F.col("year") + 2, F.lit(6), F.lit(30))).alias("valid_until"), F.when(F.col("dst") % 3 == 0, "customer").otherwise("supply").alias("edge_type"), F.when((F.col("src") + F.col("dst") + F.col("year")) % 7 == 0, "terminated").otherwise("active").alias("status"))
     return R.fresh(held, F.lit("2000-03-01").cast("date")).select("src", "dst", "year")
 
 
@@ -231,7 +273,8 @@ def preferred_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS t, CASE CAST(l_partkey % 6 AS INTEGER) WHEN 0 THEN l_extendedprice WHEN 1 THEN l_extendedprice * 1000 WHEN 2 THEN -l_extendedprice WHEN 3 THEN l_extendedprice * 1.0005 WHEN 4 THEN l_extendedprice * 1.03 END AS p FROM lineitem)
-SELECT CASE WHEN t IS NULL OR p IS NULL THEN 'missing' WHEN t = p THEN 'exact' WHEN (t * 1000 = p OR p * 1000 = t OR t * 1e6 = p OR p * 1e6 = t) AND t <> 0 THEN 'unit' WHEN t = -p THEN 'sign' WHEN abs(t - p) / abs(t) <= 0.001 THEN 'near' WHEN abs(t - p) / abs(t) <= 0.05 THEN 'off' ELSE 'wrong' END AS verdict, count(*) AS n FROM v GROUP BY 1""")
+SELECT CASE WHEN p IS NULL THEN 'missing' WHEN t = p THEN 'exact' WHEN t = 0 OR p = 0 THEN 'zero' WHEN abs(p / t - 1e3) < 1e-3 OR abs(p / t - 1e-3) < 1e-9 OR abs(p / t - 1e6) < 1 OR abs(p / t - 1e-6) < 1e-12 THEN 'unit' WHEN abs(p / t + 1) < 1e-9 THEN 'sign'
+  WHEN abs(p - t) / greatest(abs(t), 1) < 0.001 THEN 'near' WHEN abs(p - t) / greatest(abs(t), 1) < 0.05 THEN 'off' ELSE 'wrong' END AS verdict, count(*) AS n FROM (SELECT round_even(t, 0) AS t, round_even(p, 0) AS p FROM v) GROUP BY 1""")
 def parse_verdicts(spark: SparkSession, d: str) -> DataFrame:
     t, k = F.col("l_extendedprice"), F.col("l_partkey") % 6
     p = F.when(k == 0, t).when(k == 1, t * 1000).when(k == 2, -t).when(k == 3, t * 1.0005).when(k == 4, t * 1.03)

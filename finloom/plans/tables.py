@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.industries import peer_groups
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,13 +26,23 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
         (F.sum(price * (5 - off)) / 10000.0).alias("net_income"), (F.sum(price * flag("l_returnflag", "R")) / 100.0).alias("receivable"),
         (F.sum(cents("l_quantity") * 900 * flag("l_linestatus", "O")) / 100.0).alias("total_liabilities"), (F.sum(price * 3 - cents("l_quantity") * 3300) / 1000.0).alias("total_equity"),
     )
-    firms = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    groups = F.array(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit("MARKET"))
-    return years.join(firms.select(F.col("s_suppkey").alias("corp"), groups.alias("groups")), "corp")
+    return years.withColumn("total_assets", F.col("total_liabilities") + F.col("total_equity")).join(firms(spark, folder), "corp")
+
+
+#: Endings of the suppliers' names, by key.
+NAME_ENDS = ("금융지주", "증권", "카드", "투자", "리츠", "")
+
+
+def firms(spark: SparkSession, folder: str) -> DataFrame:
+    """Each supplier as a firm: corp, name, an industry code of four digits by nation and key, and its peer groups."""
+    code = F.concat((F.col("s_nationkey") % 8 + 60).cast("string"), (F.col("s_suppkey") % 3 + 1).cast("string"), (F.col("s_suppkey") % 2).cast("string"))
+    name = F.concat("s_name", F.get(F.lit([*NAME_ENDS]), (F.col("s_suppkey") % len(NAME_ENDS)).cast("int")))
+    return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("corp"), name.alias("name"), code.alias("industry_code"), peer_groups(code).alias("groups"))
 
 
 PANEL_SQL = """
-  SELECT y.*, 'N' || n_nationkey AS g1, 'R' || n_regionkey AS g2, 'MARKET' AS g3
+  SELECT y.*, total_liabilities + total_equity AS total_assets, name, code AS industry_code, 'KSIC-' || left(code, 3) AS g1, 'KSIC-' || left(code, 2) AS g2,
+         CASE WHEN left(code, 2) IN ('64', '65', '66') THEN 'FINANCIAL' ELSE 'MARKET' END AS g3
   FROM (
     SELECT l_suppkey AS corp, year(l_shipdate) AS year,
            CAST(sum(p * (100 - d)) AS DOUBLE) / 10000.0 AS revenue, CAST(sum(p * (6 - d)) AS DOUBLE) / 10000.0 AS operating_income,
@@ -41,7 +53,8 @@ PANEL_SQL = """
     FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) p, CAST(round(l_discount * 100) AS BIGINT) d,
                  CAST(round(l_tax * 100) AS BIGINT) t, CAST(round(l_quantity * 100) AS BIGINT) q FROM lineitem)
     GROUP BY 1, 2) y
-  JOIN supplier ON s_suppkey = corp JOIN nation ON s_nationkey = n_nationkey"""
+  JOIN (SELECT s_suppkey, s_name || ['금융지주', '증권', '카드', '투자', '리츠', ''][CAST(s_suppkey % 6 AS INTEGER) + 1] AS name,
+               CAST(s_nationkey % 8 + 60 AS VARCHAR) || CAST(s_suppkey % 3 + 1 AS VARCHAR) || CAST(s_suppkey % 2 AS VARCHAR) AS code FROM supplier) ON s_suppkey = corp"""
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:

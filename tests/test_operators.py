@@ -22,7 +22,7 @@ def test_numbers(spark):
     score = lambda v: N.piecewise(lit(v), ((0, 0), (10, 50), (10, 60), (20, 100)))
     got = one(spark, a=score(-1), b=score(5), c=score(10), d=score(15), e=score(99), f=score(None), g=N.ratio(F.lit(1), F.lit(0)), h=N.grade(lit(75)), i=N.grade(lit(None)), j=N.ownership(lit(50)), k=N.ownership(lit(50.1)), l=N.ownership(lit(4.9)))
     assert got == {"a": 0, "b": 25, "c": 50, "d": 80, "e": 100, "f": None, "g": None, "h": "A", "i": None, "j": "associate", "k": "subsidiary", "l": None}
-    texts = {"1,234.5": 1234.5, "(1,234)": -1234, "△5": -5, "-": None, "": None, "-7": -7, " 12 ": 12, "abc": None}
+    texts = {"1,234.5": 1234.5, "(1,234)": -1234, "△5": -5, "-": None, "": None, "-7": -7, " 12 ": 12, "abc": None, "(1,234": None, "<b>7</b>": 7, "&nbsp;3": 3, "−8": -8, "▵(9)": None, "(△4)": -4, "—": None, "1.": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.amount("t").alias("v")).collect()
     assert {r["t"]: r["v"] for r in rows} == texts
     got = one(spark, a=N.won_amount(F.lit("1,210.2조")), b=N.won_amount(F.lit("350억")), c=N.won_amount(F.lit("x")), d=N.won_label(lit(1.5e12)), e=N.won_label(lit(3e8)), f=N.cagr(lit(1), lit(4), 2.0), g=N.cagr(lit(-1), lit(4), 2.0), h=N.peer_score(lit(3), F.array(*map(lit, (1, 2, 3, 4, 5)))), i=N.peer_score(lit(9), F.array(*map(lit, (1, 2, 3, 4, 5))), False))
@@ -61,23 +61,23 @@ def test_events(spark):
 
 
 def test_earnings(spark):
-    fields = "corp string, year int, groups array<string>, revenue double, operating_income double, operating_cashflow double, net_income double, receivable double, total_liabilities double, total_equity double"
+    fields = "corp string, year int, groups array<string>, revenue double, operating_income double, operating_cashflow double, net_income double, receivable double, total_liabilities double, total_equity double, total_assets double"
     g = ["X", "MARKET"]
-    rows = [("a", y, g, 100.0 * 1.1**i, 10.0, 6.0, 5.0, 10.0, 50.0, 100.0 + i) for i, y in enumerate((2020, 2021, 2022))] + [("b", 2022, g, 10.0, None, 1.0, 1.0, 1.0, 5.0, -1.0)]
+    rows = [("a", y, g, 100.0 * 1.1**i, 10.0, 6.0, 5.0, 10.0, 50.0, 100.0 + i, 150.0 + i) for i, y in enumerate((2020, 2021, 2022))] + [("b", 2022, g, 10.0, None, 1.0, 1.0, 1.0, 5.0, -1.0, 4.0)]
     panel = spark.createDataFrame(rows, fields)
     m = {r["corp"]: r for r in earnings.firm_metrics(panel).collect()}
-    assert m["a"]["cash_ratio"] == pytest.approx(0.6) and m["a"]["equity_growth"] == pytest.approx((1.02**0.5 - 1) * 100) and m["b"]["cash_ratio"] is None and m["b"]["leverage"] is None
-    margins = [10 / (100 * 1.1**i) * 100 for i in range(3)]
+    assert m["a"]["cash_ratio"] == pytest.approx(0.6) and m["a"]["equity_growth"] == pytest.approx(1.02**0.5 - 1) and m["b"]["cash_ratio"] is None and m["b"]["leverage"] is None
+    margins = [10 / (100 * 1.1**i) for i in range(3)]
     assert m["a"]["margin"] == pytest.approx(sum(x * (i + 1) for i, x in enumerate(margins)) / 6)
     s = {r["corp"]: r for r in earnings.quality_scores(panel, earnings.calibrated(panel)).collect()}
-    assert s["a"]["m1"] == pytest.approx(25 + 0.1 / 0.3 * 25) and s["a"]["m2"] is None and s["b"]["m3"] == 0 and s["b"]["total"] == 0 and s["b"]["grade"] == "F" and s["a"]["excluded"] == "m2,m3,m4,m5"
-    few = [(f"c{i}", y, g, 100.0 + i, 5.0 + i % 7, 4.0, 3.0, 10.0, 40.0 + i, 90.0) for i in range(25) for y in (2020, 2021, 2022)]
+    assert s["a"]["m1"] == 33.3 and s["a"]["m2"] is None and s["b"]["m3"] == 0 and s["b"]["total"] == 0 and s["b"]["grade"] == "F" and s["a"]["excluded"] == "m2,m3,m4,m5"
+    few = [(f"c{i}", y, g, 100.0 + i, 5.0 + i % 7, 4.0, 3.0, 10.0, 40.0 + i, 90.0, 130.0 + i) for i in range(25) for y in (2020, 2021, 2022)]
     more = panel.union(spark.createDataFrame(few, fields))
     found = {(r["group"], r["metric"]): r["n"] for r in earnings.calibrated(more).collect()}
     assert found["MARKET", "margin"] == 26 and found["X", "leverage"] == 26
-    assert {r["corp"]: r["highlights"] for r in earnings.highlights(panel).collect()} == {"a": "strong_cash", "b": "negative_equity"}
-    paid = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 110.0), ("a", 3, 80.0), ("b", 1, 0.0), ("c", 1, 5.0)], "k string, y int, d double")
-    assert {r["k"]: r["continuity"] for r in earnings.dividend_score(paid, "k", "y", "d").collect()} == {"a": 72.5, "b": 0, "c": 35}
+    assert {r["corp"]: r["highlights"] for r in earnings.highlights(panel).collect()} == {"a": "strong_cash", "b": "negative_equity,leverage"}
+    paid = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 110.0), ("a", 3, 80.0), ("b", 1, 0.0), ("c", 1, 5.0), ("d", 0, 900.0), ("d", 1, 0.0), ("d", 2, 10.0), ("d", 3, 10.2), ("e", 1, 1.0), ("e", 2, 1.0)], "k string, y int, d double")
+    assert {r["k"]: r["continuity"] for r in earnings.dividend_score(paid, "k", "y", "d").collect()} == {"a": 62.5, "b": 0, "c": 45, "d": 67.5, "e": 70}
 
 
 def test_relations(spark):
