@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import row_column, with_row, worker_held, written
+from .storage import of_batches, row_column, with_row, worker_held, written
 
 #: A-Z become a-z, other ASCII characters than letters and digits become blanks; bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -137,7 +137,7 @@ def _hits_by_part(docs: DataFrame, items: DataFrame, window: int, most_bytes: in
                 rows = [(h, ids, [{"a": a, "b": b} for a, b in _runs(at)]) for h, at, ids in rows if ids]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "ids", "runs"])
 
-        found = texts.mapInArrow(marked, "h string, ids array<string>, runs array<struct<a:long,b:long>>")
+        found = texts.mapInArrow(of_batches(marked), "h string, ids array<string>, runs array<struct<a:long,b:long>>")
         hits.append(written(found.dropDuplicates(["h"]), "benchmark-part"))
         held.unpersist()
     every = reduce(DataFrame.union, hits)
@@ -157,7 +157,7 @@ def _hits_by_part(docs: DataFrame, items: DataFrame, window: int, most_bytes: in
 
     read = docs.select(F.md5(F.col("text").cast("binary")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), *(row_column(carry) or ["text"]))
     joined = read.join(merged, "h", "left").select("doc_id", "ids", "runs", "row" if carry else "text")
-    return joined.mapInArrow(counted, with_row(HITS, docs, carry))
+    return joined.mapInArrow(of_batches(counted), with_row(HITS, docs, carry))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES, carry: bool = False) -> DataFrame:
@@ -185,4 +185,4 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
                 rows = [(d, n, k, ids, [{"start": a, "end": b} for a, b in spans]) for d, (n, k, ids, spans) in zip(part.column(0).to_pylist(), map(scanner.scan, (part.column(1).field("text") if carry else part.column(1)).to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *part.columns[1 : 1 + carry]], ["doc_id", "n_words", "n_hit", "item_ids", "spans", "row"][: 5 + carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(row_column(carry) or ["text"])).mapInArrow(scanned, with_row(HITS, docs, carry))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(row_column(carry) or ["text"])).mapInArrow(of_batches(scanned), with_row(HITS, docs, carry))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import row_column, with_row
+from .storage import of_batches, row_column, with_row
 
 LANE = 512
 #: Characters that are parsed together.
@@ -275,4 +275,4 @@ def identify(docs: DataFrame, labelled: DataFrame, total_chars: int = 160_000, r
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), *part.columns[2 : 2 + carry]], ["doc_id", "lang_pred", "score", "row"][: 3 + carry])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), *(row_column(carry) or ["text"]))
-    return read.mapInArrow(parsed, with_row("doc_id long, lang_pred string, score double", docs, carry))
+    return read.mapInArrow(of_batches(parsed), with_row("doc_id long, lang_pred string, score double", docs, carry))

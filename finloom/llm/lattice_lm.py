@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import ROWS, SUMMARY, answered, chunked, found, layout, received, send
-from .storage import worker_held, written
+from .storage import of_batches, of_group, of_groups, worker_held, written
 from .words import _LOWER, word_blocks
 
 #: Added to the count of each byte, so that each word has a path.
@@ -61,7 +61,7 @@ def piece_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([cutter.id_to_piece(int(i)) for i in held], pa.string()), pa.array(total[held])], ["piece", "n"])
 
-    return texts.select("text").mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(of_batches(counted), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 class Lattice:
@@ -191,7 +191,7 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: Column) -> DataFrame
         total = np.bincount(at, counts).astype(np.int64)
         return np.array([total.sum(), (total > 0).sum()])
 
-    answers = written(answered(dealt.applyInArrow(own, ROWS), np.dtype(np.uint32), False, totals, summary), "word-counts")
+    answers = written(answered(dealt.applyInArrow(of_group(own), ROWS), np.dtype(np.uint32), False, totals, summary), "word-counts")
     sums = [np.frombuffer(r["extra"], np.int64) for r in answers.where(F.col("chunk") == SUMMARY).select("extra").collect()]
     n_all, n_types = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     held = spark.sparkContext.broadcast(tuple(sorted(pieces.items())))
@@ -217,4 +217,4 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: Column) -> DataFrame
         whole = lambda k: pa.array(total[:, k].astype(np.int64))
         return pa.table([doc_id, flags, whole(0), whole(1), pa.array(np.full(len(total), n_all)), pa.array(total[:, 2]), pa.array(total[:, 3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return dealt.cogroup(answers.where(F.col("chunk") != SUMMARY).groupBy("chunk")).applyInArrow(scored, SCORES)
+    return dealt.cogroup(answers.where(F.col("chunk") != SUMMARY).groupBy("chunk")).applyInArrow(of_groups(scored), SCORES)

@@ -13,11 +13,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .storage import partitions, written
-from .words import mix
+from .storage import of_batches, partitions, written
+from .words import mix, word_blocks
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -140,7 +142,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
     shards = -(-sum(slots) // shard_blocks)
     runs = spark.range(0, shards, RUN, max(1, min(-(-shards // RUN), 4 * partitions(spark))))
-    chosen = runs.mapInArrow(mapped, "shard long, number int, j long, block long, round int")
+    chosen = runs.mapInArrow(of_batches(mapped), "shard long, number int, j long, block long, round int")
     # the slots grow with the corpus, which Spark can't tell from the few rows that they are spread from
     taken = pieces.join(chosen.hint("merge"), ["number", "block"]).withColumn("slot", F.xxhash64(F.lit(seed), "shard", "number", "j"))
     return Mix(sources, rows, taken, seed)
@@ -165,7 +167,24 @@ def mixed_documents(docs: DataFrame, mix_: Mix) -> DataFrame:
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(mix_.seed), "doc_id", "text").alias("h"))
     marked = marked.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0))))
     met = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")) & (F.col("copy") == F.col("nth")))
-    words = F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
-    text = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["at"] + 1, s["n"]))), "")), F.lit(0))
-    changed = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
-    return met.select("row", text.alias("mixed")).select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    schema = StructType([StructField(f.name, {"text": StringType(), "n_chars": LongType()}.get(f.name, f.dataType), True) for f in docs.schema.fields])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, names = batch.column(0), schema.names
+            mixed = pa.array(_cut(row.field(names.index("text")), batch.column(1).to_pylist()), pa.string())
+            new = {"text": mixed, "n_chars": pa.compute.utf8_length(mixed).cast(pa.int64())}
+            yield pa.RecordBatch.from_arrays([new.get(n, row.field(i)) for i, n in enumerate(names)], names)
+
+    return met.select("row", "spans").mapInArrow(of_batches(cut), schema)
+
+
+def _cut(texts: pa.Array, spans: list[list[dict[str, int]]]) -> Iterator[str]:
+    """Of each text its spans of n words from word at on, one after the other, each word with the white space after it."""
+    for first, last, words in word_blocks(texts):
+        raw, starts = words.raw.tobytes(), [*words.start.tolist(), 0]
+        for i in range(first, last):
+            low, high = words.first[i - first : i - first + 2].tolist()
+            end = int(words.ends[i - first])
+            cuts = ((low + s["at"], low + s["at"] + s["n"]) for s in spans[i])
+            yield b"".join(raw[starts[a] : starts[b] if b < high else end] for a, b in cuts).decode("utf-8", "replace")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import joined
 from .packed import ROWS, answered, chunked, codes, found, layout, received, send
-from .storage import dropped, written
+from .storage import dropped, of_batches, of_group, of_groups, written
 from .words import shingle_sets
 
 SETS = "doc_id long, n int, v binary, common long, shared int, prefix array<long>, shingles binary"
@@ -77,8 +77,8 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
         doc_id = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         return pa.table([doc_id, pa.array(rows["n"], pa.int32()), pa.array(rows["v"], pa.binary()), pa.array(rows["common"], pa.int64()), pa.array(rows["shared"], pa.int32()), pa.array(rows["prefix"], pa.list_(pa.int64())), pa.array(rows["shingles"], pa.binary())], names=["doc_id", "n", "v", "common", "shared", "prefix", "shingles"])
 
-    shared = answered(dealt.applyInArrow(own, ROWS), np.dtype(np.uint32), True, totals)
-    return dealt.cogroup(shared.groupBy("chunk")).applyInArrow(prefixes, SETS)
+    shared = answered(dealt.applyInArrow(of_group(own), ROWS), np.dtype(np.uint32), True, totals)
+    return dealt.cogroup(shared.groupBy("chunk")).applyInArrow(of_groups(prefixes), SETS)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -96,7 +96,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     of = lambda side, name: classes.select(F.col("v").alias(side), F.col("shingles").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(alike, "a binary, b binary")
+    return both.mapInArrow(of_batches(alike), "a binary, b binary")
 
 
 def link_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:

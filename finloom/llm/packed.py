@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import partitions
+from .storage import of_group, partitions
 
 #: Bytes of a short key; with the part's number, a key has a false match in its part once in some thousands, which costs
 #: work alone.
@@ -107,7 +107,7 @@ def answered(sent: DataFrame, kind: np.dtype, short: bool, answer: Callable[[np.
             out.append((number, SUMMARY, b"", summary(np.cumsum(new) - 1, extra[order]).tobytes()))
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
-    return sent.groupBy("part").applyInArrow(of_part, ROWS)
+    return sent.groupBy("part").applyInArrow(of_group(of_part), ROWS)
 
 
 def received(table: pa.Table, kind: np.dtype, short: bool) -> tuple[np.ndarray, np.ndarray]:

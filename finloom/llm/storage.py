@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -96,3 +97,31 @@ def small_batches(spark: SparkSession) -> None:
     held = int(spark.conf.get(name))
     if held <= 0 or held > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+
+
+def _given_back(result):
+    """result, after what this worker has freed went back to the machine: a worker waits for its next task, maybe of another
+    operator, with little memory."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+    return result
+
+
+def of_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f, for applyInArrow, giving memory back after each group."""
+    return lambda table: _given_back(f(table))
+
+
+def of_groups(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """f, for applyInArrow on two groups, giving memory back after each pair."""
+    return lambda table, other: _given_back(f(table, other))
+
+
+def of_batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, for mapInArrow, giving memory back after a task's batches."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _given_back(None)
+
+    return batches_of

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .packed import ROWS, answered, chunked, codes, first_values, found, layout, received, run_starts, send
+from .storage import of_group, of_groups
 from .words import blocks, text_buffers, Words
 
 #: A difference cover of 7.
@@ -151,7 +152,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         return pa.table([chunk.doc_id, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
     by_chunk = dealt.groupBy("chunk")
-    suspects = answered(by_chunk.applyInArrow(anchors, ROWS), np.dtype(np.uint8), True, shared)
-    held = by_chunk.cogroup(suspects.groupBy("chunk")).applyInArrow(windows, ROWS)
+    suspects = answered(by_chunk.applyInArrow(of_group(anchors), ROWS), np.dtype(np.uint8), True, shared)
+    held = by_chunk.cogroup(suspects.groupBy("chunk")).applyInArrow(of_groups(windows), ROWS)
     told = answered(held, np.dtype(np.int64), False, earlier)
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(cut, REMOVED)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(of_groups(cut), REMOVED)

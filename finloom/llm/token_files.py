@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .packed import found
 from .pieces import PieceValues
-from .storage import partitions, worker_held
+from .storage import of_batches, partitions, worker_held
 from .words import mix, word_blocks
 
 #: Ids after which a block is closed; a longer document has a block of its own.
@@ -219,7 +219,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
             yield block()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards or partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encoded, BLOCKS).write.option("compression", "zstd").parquet(folder)
+    ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(of_batches(encoded), BLOCKS).write.option("compression", "zstd").parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,4 +243,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     placed = blocks.join(F.broadcast(starts), "shard").select((F.col("shard_start") + F.col("first")).alias("start"), "n_ids", "doc_ids", "lengths", "ranked", "control", "data")
-    return placed.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(of_batches(decoded), "doc_id long, start long, n_tokens long, ids binary")

@@ -84,6 +84,7 @@ class Words:
     """The words of the rows of a block.
 
     start, end: byte positions in the block; first: index of each row's first word, with the end of the last row's;
+    ends: where each row's text ends;
     hash: 64 bits of each word's bytes.
     """
 
@@ -101,7 +102,7 @@ class Words:
         last = starts[1:][starts[1:] > 0] - 1
         ends[last] = inside[last]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.first = np.searchsorted(self.start, starts)
+        self.first, self.ends = np.searchsorted(self.start, starts), starts[1:]
         up, down = _base_powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):

@@ -89,3 +89,22 @@ def test_empty(spark):
 def test_whole_table(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text").collect()]
     check(docs, queries.op1_mix_sources(spark, "/root/testdata/sf0.01").collect(), 128)
+
+
+def test_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    gap = lambda: "".join(rng.choice(" \n\t x") for _ in range(rng.randrange(3))) + " "
+    docs = [(i, "s", gap() + "".join(f"é{i}_{k}" + gap() for k in range(rng.randrange(1, 90)))) for i in range(60)]
+    extra = ("spans", "_h", "h", "copy", "row", "nth", "id", "mixed", "g", "number", "block", "part")
+    df = spark.createDataFrame([(*d, *range(len(extra)), 0) for d in docs], "doc_id long, source string, text string, " + ", ".join(f"{c} int" for c in extra) + ", n_chars int").repartition(3)
+    mix = mix_sources(df, block_words=8, shard_blocks=50)
+    spans = {}
+    for r in mix.taken.collect():
+        spans.setdefault((r["doc_id"], r["round"]), []).append((r["from_word"], r["n_words"]))
+    held = {d: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t) for d, _, t in docs}
+    want = sorted((d, "".join("".join(held[d][a : a + n]) for a, n in sorted(s))) for (d, _), s in spans.items())
+    got = mixed_documents(df, mix)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == want
+    assert all([r[c] for c in extra] == [*range(len(extra))] and r["n_chars"] == len(r["text"]) for r in rows)
