@@ -34,13 +34,27 @@ def stratified(df: DataFrame, stratum: str, key: str, share: float, seed: str) -
     return placed.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_i", "_n")
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """mean, low and high of a value's mean over rounds of Poisson resampling: each row counts in each round as often as
-    a hash of seed, round and key tells (0 to 6). Rows meet rounds in their own task and only sums are shuffled."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_b").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+def direction_confusion(truth: DataFrame, found: DataFrame, keys: list[str], labels: list[str], most: int = 10) -> DataFrame:
+    """expected, given and n: of found rows that aren't true, how often truth has other labels under the same keys; the
+    most frequent, ties by name. Rows count once; labels are written with / between."""
+    wrong = found.select(*keys, *labels).distinct().join(truth.select(*keys, *labels).distinct(), [*keys, *labels], "left_anti")
+    text = lambda df, name: df.select(*keys, F.concat_ws("/", *labels).alias(name))
+    met = text(wrong, "given").join(text(truth.select(*keys, *labels).distinct(), "expected"), keys)
+    return met.groupBy("expected", "given").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "expected", "given").limit(most)
+
+
+def bootstrap_f1(truth: DataFrame, found: DataFrame, chunk: str, rounds: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """f1, low and high: micro F1 of two tables of like columns, and its interval over rounds of Poisson resampling of
+    chunks: each counts in each round as often as a hash of seed, round and chunk tells (0 to 6). Chunks meet rounds in
+    their own task; sums of chunks and rounds are shuffled."""
+    keys = truth.columns
+    both = truth.distinct().withColumn("_t", F.lit(1)).join(found.select(*keys).distinct().withColumn("_f", F.lit(1)), keys, "full_outer")
+    per = both.groupBy(chunk).agg(F.count_if(F.col("_t").isNotNull() & F.col("_f").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_b").cast("string"), F.col(chunk).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     # The Poisson(1) distribution's sums
     times = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940582, 5).otherwise(6)
-    each = df.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("_b")).withColumn("_k", F.when(F.col("_b") == 0, 1).otherwise(times))
-    means = each.groupBy("_b").agg(F.try_divide(F.sum(F.col(value) * F.col("_k")), F.sum("_k")).alias("_m"))  # round 0 is the table itself
-    ends = means.agg(F.max(F.when(F.col("_b") == 0, F.col("_m"))).alias("mean"), F.percentile(F.when(F.col("_b") > 0, F.col("_m")), F.lit([low, high])).alias("_e"))
-    return ends.select("mean", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))
+    each = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("_b")).withColumn("_k", F.when(F.col("_b") == 0, 1).otherwise(times))
+    sums = each.groupBy("_b").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in ("tp", "fp", "fn")))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    one = sums.agg(F.max(F.when(F.col("_b") == 0, f1)).alias("f1"), F.sort_array(F.collect_list(F.when(F.col("_b") > 0, f1))).alias("_l"))
+    return one.select("f1", F.get("_l", F.lit(int(alpha / 2 * rounds))).alias("low"), F.get("_l", F.lit(min(rounds - 1, int((1 - alpha / 2) * rounds)))).alias("high"))

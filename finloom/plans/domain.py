@@ -328,9 +328,45 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return V.stratified(table(spark, d, "customer"), "c_mktsegment", "c_custkey", 0.05, "s1").select("c_mktsegment", "c_custkey")
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, doc_id % 97 AS c FROM labels WHERE quality = 0), f AS (SELECT doc_id, doc_id % 97 AS c FROM documents JOIN labels USING (doc_id) WHERE n_chars < 400),
+p AS (SELECT coalesce(t.c, f.c) AS c, count(*) FILTER (WHERE t.c IS NOT NULL AND f.c IS NOT NULL) AS tp, count(*) FILTER (WHERE t.c IS NULL) AS fp, count(*) FILTER (WHERE f.c IS NULL) AS fn FROM t FULL JOIN f ON t.doc_id = f.doc_id GROUP BY 1),
+e AS (SELECT *, unnest(range(1001)) AS b FROM p), u AS (SELECT *, CAST('0x' || substr(md5('b1:' || b || ':' || c), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM e),
+k AS (SELECT *, CASE WHEN b = 0 THEN 1 WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 ELSE 6 END AS k FROM u),
+s AS (SELECT b, coalesce(2.0 * sum(k * tp) / nullif(2 * sum(k * tp) + sum(k * fp) + sum(k * fn), 0), 0) AS f1 FROM k GROUP BY 1), l AS (SELECT list(f1 ORDER BY f1) AS l FROM s WHERE b > 0)
+SELECT round((SELECT f1 FROM s WHERE b = 0), 9) AS f1, round(l[26], 9) AS low, round(l[976], 9) AS high FROM l""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return V.bootstrap_mean(table(spark, d, "labels"), "doc_id", "quality", 1000, "b1")
+    held, chunk = table(spark, d, "labels"), (F.col("doc_id") % 97).alias("c")
+    short = table(spark, d, "documents").where("n_chars < 400").join(held, "doc_id").select("doc_id", chunk)
+    found = V.bootstrap_f1(held.where("quality = 0").select("doc_id", chunk), short, "c", 1000, "b1")
+    return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
+
+
+@query("""
+WITH g AS (SELECT DISTINCT l_orderkey AS o, l_suppkey % 7 AS c, l_returnflag AS d, l_linestatus AS s FROM lineitem WHERE l_linenumber % 2 = 1),
+p AS (SELECT DISTINCT l_orderkey AS o, l_suppkey % 7 AS c, CASE WHEN l_partkey % 5 = 0 THEN 'A' ELSE l_returnflag END AS d, l_linestatus AS s FROM lineitem),
+w AS (SELECT * FROM p ANTI JOIN g USING (o, c, d, s))
+SELECT g.d || '/' || g.s AS expected, w.d || '/' || w.s AS given, count(*) AS n FROM w JOIN g USING (o, c) GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
+def direction_confusion(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_suppkey") % 7).alias("c"), "l_returnflag", F.col("l_linestatus").alias("s"), "l_partkey", "l_linenumber")
+    truth = rows.where("l_linenumber % 2 = 1").withColumn("d", F.col("l_returnflag"))
+    return V.direction_confusion(truth, rows.withColumn("d", F.when(F.col("l_partkey") % 5 == 0, "A").otherwise(F.col("l_returnflag"))), ["o", "c"], ["d", "s"])
+
+
+@query("""
+WITH v AS (SELECT *, [p_size, NULL, p_retailprice, p_partkey % 9, CASE WHEN p_partkey % 2 = 0 THEN 1.5 END] AS a FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 <> 4 THEN p_size * 1000.0 * CASE p_partkey % 5 WHEN 0 THEN 1e6 WHEN 1 THEN 1e8 WHEN 2 THEN 1e3 ELSE 1 END END AS issue, CASE WHEN p_partkey % 6 >= 3 THEN CAST(greatest(1, floor(100 - p_size + 0.5)) AS INTEGER) END AS top,
+  p_size < 1 OR CASE WHEN p_size > 1 THEN p_size / 100.0 ELSE p_size END < 0.01 AS small, list_filter(a, lambda z: z IS NOT NULL)[-1] AS last, CASE WHEN len(list_filter(a, lambda z: z IS NOT NULL)) >= 3 THEN CAST(list_position(a, list_min(a)) - 1 AS INTEGER) END AS valley,
+  CASE WHEN p_partkey % 5 <> 4 THEN round_even(p_size * 1000.0 / p_retailprice * 100, 4) END AS dilution, round((p_retailprice - p_size) / p_retailprice * 100, 6) AS gross FROM v""")
+def number_values(spark: SparkSession, d: str) -> DataFrame:
+    unit = F.get(F.lit(["백만원", "억원", "천원", "원"]), (F.col("p_partkey") % 5).cast("int"))
+    text = F.concat(F.lit("제3자배정 발행 예정 총 금액 : 금 "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" "), unit)
+    dbl = lambda c: F.col(c).cast("double")
+    values = F.array(dbl("p_size"), F.lit(None).cast("double"), dbl("p_retailprice"), (F.col("p_partkey") % 9).cast("double"), F.when(F.col("p_partkey") % 2 == 0, 1.5))
+    return table(spark, d, "part").select(
+        "p_partkey", N.issue_amount(text).alias("issue"), N.top_percent("p_size", F.col("p_partkey") % 6).alias("top"), N.immaterial("p_size").alias("small"), N.last_valid(values).alias("last"), N.valley(values).alias("valley"),
+        F.when(unit.isNotNull(), N.dilution(F.col("p_size") * 1000.0, "p_retailprice")).alias("dilution"), F.round(N.profitability("p_retailprice", "p_size", "p_size", "p_size", "p_size", "p_size")["gross_margin"], 6).alias("gross"),
+    )
 
 
 @query("""
