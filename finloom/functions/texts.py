@@ -34,21 +34,21 @@ def mapped(value: Column | str, table: Mapping[str, str], rest: str | None = Non
     return out.otherwise(F.lit(rest).cast("string"))
 
 
-#: Legal forms before and after company names, lower-case.
-FORMS_BEFORE = ("(주)", "㈜", "주식회사", "(유)", "유한회사")
-FORMS_AFTER = ("(주)", "㈜", "주식회사", "유한회사", "co.,ltd.", "co., ltd.", "co.,ltd", "co., ltd", "corporation", "corp.", "corp", "inc.", "inc", "limited", "ltd.", "ltd", "company", "co.", "co", "llc", "plc")
-
-
-def normal_name(name: Column | str) -> Column:
-    """A company's name for lookups: notes in brackets and legal forms at either end gone, lower-case, without blanks
-    or punctuation at the ends. Forms are taken off until none is left, the longest first."""
-    quote = lambda w: "\\Q" + w + "\\E"
-    before = "|".join(map(quote, sorted(FORMS_BEFORE, key=len, reverse=True)))
-    after = "|".join(map(quote, sorted(FORMS_AFTER, key=len, reverse=True)))
-    out = F.lower(F.regexp_replace(col(name), r"[*†]+|\(주[0-9]+\)|\[[^\]]*\]", ""))
-    out = F.regexp_replace(out, rf"^(?:\s*(?:{before}))+", "")
-    out = F.regexp_replace(out, rf"(?:[\s,.]*(?:{after}))+[\s,.]*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"\s+", ""), r"^[.,·\-]+|[.,·\-]+$", "")
+#: Legal forms at either end of company names, lower-case, and notes that don't belong to a name.
+FORMS = ("주식회사", "(주)", "㈜", "co.,ltd.", "co.,ltd", "co.ltd.", "co.ltd", "co.,", "co.", "co", "ltd.", "ltd", "inc.", "inc", "corporation", "corp.", "corp")
+NOTES = (r"\(\s*주\s*\d+\s*\)", r"\(\s*\*+\s*[\d,\s]*\)", r"※\s*\d*", r"\(\s*구[,.\s][^)]*\)", r"\(\s*(?:비상장|상장)(?:회사|법인)?\s*\)", r"[,\s]*\*+\s*\d*\s*\)?\s*$", r"[,\s]*주\s*[\d,\s]+\s*\)?\s*$", r"^\s*[*※]+\s*")
+
+
+def normal_name(name: Column | str, aliases: Mapping[str, str] | None = None) -> Column:
+    """A company's name for lookups: notes gone, then legal forms at either end until none is left, the longest first;
+    lower-case, without blanks or punctuation at the ends; and what aliases has for the result, if anything."""
+    forms = "|".join("\\Q" + w + "\\E" for w in sorted(FORMS, key=len, reverse=True))
+    out = F.trim(F.lower(F.regexp_replace(col(name), "|".join(NOTES), "")))
+    out = F.regexp_replace(out, rf"(?:[\s,.]*(?:{forms}))+$", "")
+    out = F.regexp_replace(out, rf"^(?:(?:{forms})[\s,.]*)+", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s+", ""), r"^[,.·、;:]+|[,.·、;:]+$", "")
+    short = {k.lower().replace(" ", ""): v.lower().replace(" ", "") for k, v in (aliases or {}).items()}
+    return F.coalesce(mapped(out, short, None), out) if short else out
 
 
 def short_latin_name(name: Column | str) -> Column:

@@ -9,6 +9,7 @@ from ..functions import industries as I
 from ..functions import numbers as N
 from ..functions import texts as X
 from ..operators import chunks as C
+from ..operators import disclosures as T
 from ..operators import earnings as Q
 from ..operators import evaluation as V
 from ..operators import financials as B
@@ -403,3 +404,26 @@ def valuations(spark: SparkSession, d: str) -> DataFrame:
     t = panel(spark, d).groupBy("corp").agg(F.sum("revenue").alias("cap"), F.sum("net_income").alias("income"), F.sum("total_equity").alias("equity"), F.sum("total_liabilities").alias("debt"))
     per, pbr, roe = N.valuation("cap", "income", "equity")
     return t.select("corp", F.round(per, 4).alias("per"), F.round(pbr, 4).alias("pbr"), F.round(roe, 4).alias("roe"), F.round(N.balance_gap("cap", "debt", "equity"), 6).alias("gap"))
+
+
+#: Titles of filings for the parts, by key.
+TITLES = (
+    "사업보고서 (2023.12)", "임원ㆍ주요주주특정증권등소유상황보고서", "최대주주변동", "주요사항보고서(유상증자결정)", "전환사채권발행결정", "주주총회소집공고", "회사합병결정", "단일판매ㆍ공급계약체결",
+    "신규시설투자등", "대표이사변경", "매출액또는손익구조30%변동", "자기주식취득결정", "증권발행실적보고서(회사채)", "신주인수권부사채", "capex 계획", "영업양도결정", "기타 안내", "변동 신고 최대주주등",
+)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {list(TITLES)!r}[CAST(p_partkey % {len(TITLES)} AS INTEGER) + 1] AS t FROM part),
+k AS (SELECT *, CASE WHEN regexp_matches(t, '사업보고서|분기보고서|반기보고서') THEN '정기보고서' WHEN regexp_matches(t, '임원.{{0,6}}주요주주.{{0,10}}소유상황') THEN '내부자거래' WHEN contains(t, '최대주주') AND contains(t, '변동') THEN '최대주주변동'
+  WHEN regexp_matches(t, '유상증자|무상증자') THEN '증자' WHEN contains(t, '전환사채') THEN '전환사채' WHEN contains(t, '신주인수권') THEN 'BW' WHEN regexp_matches(t, '합병|분할') THEN 'M&A/분할' WHEN regexp_matches(t, '영업양수|영업양도') THEN '영업양도'
+  WHEN regexp_matches(t, '공급계약|수주계약|계약체결') THEN '계약' WHEN contains(t, '시설투자') OR contains(upper(t), 'CAPEX') THEN 'CAPEX' WHEN regexp_matches(t, '대표이사|사내이사|임원') THEN '임원변동' WHEN regexp_matches(t, '매출액|손익|실적') THEN '실적'
+  WHEN contains(t, '자기주식') THEN '자기주식' WHEN regexp_matches(t, '회사채|기업어음') THEN '채권발행' ELSE '기타' END AS kind FROM p)
+SELECT p_partkey, kind, regexp_matches(t, '주주총회소집공고|사외이사\\s*선임|보고서\\s*제출|IR\\s*개최|소수주주권.*행사|임원주주특정증권등소유보고서|의결권대리행사권유참고서류') AS noise,
+  CASE WHEN regexp_matches(t, '최대주주등소유주식변동신고서|증권발행실적보고서') THEN 'later' WHEN regexp_matches(t, '사업보고서|분기보고서|반기보고서|유상증자|무상증자|전환사채|신주인수권|합병|분할|영업양수|영업양도|매출액.*변동|손익.*변동|실적발표') THEN 'immediate' ELSE 'normal' END AS tier,
+  CAST(list_sum(list_transform({list(T.PRIORITY)!r}, lambda w: CAST(contains(t, w) AS INTEGER))) AS INTEGER) AS priority,
+  p_partkey % 50 = 0 OR kind NOT IN ('기타', '임원변동', '최대주주변동', '내부자거래') AS shown FROM k""")
+def filing_titles(spark: SparkSession, d: str) -> DataFrame:
+    titled = table(spark, d, "part").select("p_partkey", F.get(F.lit([*TITLES]), (F.col("p_partkey") % len(TITLES)).cast("int")).alias("t"))
+    kinds = titled.withColumn("kind", T.filing_type("t"))
+    return kinds.select("p_partkey", "kind", T.is_noise("t").alias("noise"), T.tier("t").alias("tier"), T.priority("t").alias("priority"), T.is_shown("kind", "t", F.col("p_partkey") % 50 == 0).alias("shown"))

@@ -30,7 +30,7 @@ def test_numbers(spark):
 
 
 def test_texts(spark):
-    names = {"(주)한빛 Co., Ltd.": "한빛", "Acme Inc": "acme", "주식회사 가나다*": "가나다", "CO": "", None: None, "삼성전자(주)": "삼성전자"}
+    names = {"(주)한빛 Co., Ltd.": "한빛", "Acme Inc": "acme", "주식회사 가나다*": "가나다", "CO": "", None: None, "Acme Holdings Limited": "acmeholdingslimited", "한화오션 주식회사(주1)": "한화오션", "㈜포스코퓨처엠(구, ㈜포스코케미칼)": "포스코퓨처엠", "위츠(비상장)": "위츠", "DB(Philippines) Inc.": "db(philippines)", "삼성전자(주)": "삼성전자"}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", X.normal_name("n").alias("v")).collect()
     assert {r["n"]: r["v"] for r in rows} == names
     got = one(spark, a=X.short_latin_name(F.lit(" LG ")), b=X.short_latin_name(F.lit("Samsung")), c=X.group_head(F.lit("가나와 그 종속기업")), d=X.group_head(F.lit("가나")), e=X.slug(F.lit("  A b--C! ")), f=X.first_match(F.lit("정정 공시"), (("공시", "1"), ("정정", "2"))), g=X.sign_pattern(F.lit(1), F.lit(-1), F.lit(0)), h=X.hits(F.lit("ab cd"), ["ab", "x", "d"]))
