@@ -117,7 +117,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     blocks = [-(-n // block_words) for _, n in sums]
     # the last block of a source may be short, so a slot brings the mean
     slots = [min(round(t * b / n), cap * b) if n else 0 for t, b, (_, n) in zip(goal, blocks, sums, strict=True)]
-    sources = spark.createDataFrame([(s, i, n, float(t), b) for i, ((s, n), t, b) in enumerate(zip(sums, goal, blocks, strict=True))], "source string, number int, source_size long, target double, blocks long")
+    kinds = pa.schema([("source", pa.string()), ("number", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("blocks", pa.int64())])
+    columns = [[s for s, _ in sums], range(len(sums)), [n for _, n in sums], goal, blocks]
+    # as an Arrow table it reaches the JVM without Python workers of another kind, which would stay beside those in use
+    sources = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds))
     numbered = slim.join(F.broadcast(sources.select(F.col("source").alias("s"), "number")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     own = Window.partitionBy("number", "part").orderBy("h", "doc_id")
     placed = numbered.withColumn("nth", F.row_number().over(own)).withColumn("before", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
