@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
@@ -77,8 +78,9 @@ _HELD: dict[Hashable, object] = {}
 
 
 def worker_held(key: Hashable, make: Callable[[], object]):
-    """What make() gives for key: made once in a Python worker and kept until something else is asked for, so that a
-    worker which Spark uses for one operator after the other holds the tables of one."""
+    """What make() gives for key: made once in a Python worker and kept until something else is asked for, or until the
+    worker runs another function of of_batches(), of_group() or of_groups(). So a worker that Spark uses for one operator
+    after the other holds the tables of one at most."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
@@ -99,28 +101,64 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_RUNS: list[str] = []
+
+
+def _begun(f: Callable) -> None:
+    """Forgets what another function than f has left in this worker, and gives its memory back to the machine."""
+    name = f"{f.__module__}.{f.__qualname__}"
+    if _RUNS != [name]:
+        _RUNS[:] = [name]
+        _HELD.clear()
+        _given_back(None)
+
+
 def _given_back(result):
     """result, after what this worker has freed went back to the machine: a worker waits for its next task, maybe of another
     operator, with little memory."""
     pa.default_memory_pool().release_unused()
     pa.system_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
     return result
 
 
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim, where there is one: freed Python objects and numpy arrays stay with the worker without it."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+_TRIM = _trim()
+
+
 def of_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """f, for applyInArrow, giving memory back after each group."""
-    return lambda table: _given_back(f(table))
+
+    def group_of(table: pa.Table) -> pa.Table:
+        _begun(f)
+        return _given_back(f(table))
+
+    return group_of
 
 
 def of_groups(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """f, for applyInArrow on two groups, giving memory back after each pair."""
-    return lambda table, other: _given_back(f(table, other))
+
+    def groups_of(table: pa.Table, other: pa.Table) -> pa.Table:
+        _begun(f)
+        return _given_back(f(table, other))
+
+    return groups_of
 
 
 def of_batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f, for mapInArrow, giving memory back after a task's batches."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begun(f)
         yield from f(batches)
         _given_back(None)
 

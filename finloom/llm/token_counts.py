@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import REMEMBERED, PieceValues
-from .storage import worker_held
+from .storage import of_batches, worker_held
 
 #: Rows that are counted at once.
 ROWS = 500
@@ -101,5 +101,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    out = read.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
+    out = read.mapInArrow(of_batches(counted), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
