@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic, domain
+from . import basic, domain, summaries
 
 FLAGSHIP = "quality_scores"
 
-QUERIES = basic.QUERIES | domain.QUERIES
-ORACLES = basic.ORACLES | domain.ORACLES
+QUERIES = basic.QUERIES | domain.QUERIES | summaries.QUERIES
+ORACLES = basic.ORACLES | domain.ORACLES | summaries.ORACLES
