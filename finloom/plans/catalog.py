@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic, domain, summaries
+from . import basic, domain, summaries, upkeep
 
 FLAGSHIP = "quality_scores"
 
-QUERIES = basic.QUERIES | domain.QUERIES | summaries.QUERIES
-ORACLES = basic.ORACLES | domain.ORACLES | summaries.ORACLES
+QUERIES = basic.QUERIES | domain.QUERIES | summaries.QUERIES | upkeep.QUERIES
+ORACLES = basic.ORACLES | domain.ORACLES | summaries.ORACLES | upkeep.ORACLES
