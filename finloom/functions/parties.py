@@ -93,3 +93,47 @@ def party_kind(name: Column | str, relation: Column | str, may_be_person: bool =
     family = may & F.lit(by_family_name) & (signal == "neutral") & dense.rlike(f"^[{FAMILY_NAMES}][가-힣]{{2}}$")
     out = F.when(numbered | (may & (signal == "person") & dense.rlike("^[가-힣]{2,4}$")), "person")
     return out.when(_holds(s, FUND_WORDS) | F.lower(s).rlike("fund|trust"), "coop_fund").when(_holds(s, PUBLIC_WORDS), "public_org").when(family, "person").otherwise("private_corp")
+
+
+#: Marks between names of a list, brackets, where names run into each other, and legal forms that stand alone.
+SEPARATORS, OPEN, CLOSE = ",、·", "([{（［｛", ")]}）］｝"
+GLUED = ((r"((?:Inc|Ltd|Ltda|Corp|LLC|GmbH)\.)(?=[A-Z가-힣])", "$1,"), (r"\)(?=㈜|\(주\))", "),"))
+FORM_TAILS = (
+    "ltd", "inc", "llc", "llp", "co", "corp", "gmbh", "sa", "sas", "sarl", "bv", "nv", "pte", "plc", "ag", "kk", "lp", "sro", "srl", "pty", "spa",
+    "limited", "company", "corporation", "sdnbhd", "bhd", "ltda", "cv", "kg",
+)
+
+
+def _is_form(piece: Column) -> Column:
+    """Whether a piece is a legal form alone: eight Latin letters at most, with a full stop or among FORM_TAILS."""
+    letters = F.lower(F.regexp_replace(piece, "[^A-Za-z]", ""))
+    return letters.rlike("^.{1,8}$") & ~piece.rlike("[가-힣]") & (piece.contains(".") | letters.isin(*FORM_TAILS))
+
+
+def listed_names(text: Column | str) -> Column:
+    """The names of a list, between separators outside brackets, legal forms with the name before them; an empty array for
+    a null or a single name."""
+    for pattern, to in GLUED:
+        text = F.regexp_replace(col(text), pattern, to)
+    empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def marked(state: Column, c: Column) -> Column:
+        depth = F.when(c.isin(*OPEN), state["depth"] + 1).when(c.isin(*CLOSE), F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        return F.struct(depth.alias("depth"), F.concat(state["text"], F.when(c.isin(*SEPARATORS) & (depth == 0), "\n").otherwise(F.replace(c, F.lit("\n"), F.lit(" ")))).alias("text"))
+
+    pieces = F.filter(F.transform(F.split(F.aggregate(F.split(text, ""), empty, marked)["text"], "\n"), lambda p: F.trim(p)), lambda p: p != "")
+    none = F.array().cast("array<string>")
+    whole = F.aggregate(
+        pieces, none,
+        lambda held, p: F.when((F.size(held) > 0) & _is_form(p), F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat_ws(", ", F.get(held, F.size(held) - 1), p)))).otherwise(F.concat(held, F.array(p))),
+    )
+    return F.when(F.size(whole) > 1, whole).otherwise(none)
+
+
+#: Kinds of sectors by words, the first that fits.
+SECTOR_KINDS = (("금융|은행|증권|보험", "finance"), ("식품|음식료|농수산|가공식품|음료", "food"), ("반도체|전자부품|정밀기기", "semiconductor"), ("소매|유통|마트|백화점", "retail"), ("경비|경호|보안", "security"))
+
+
+def first_item(items: Column, field: str, word: str) -> Column:
+    """The first struct of an array whose field contains a word; null without one."""
+    return F.get(F.filter(items, lambda x: F.coalesce(x[field].contains(word), F.lit(False))), 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parties as P
+from ..functions.texts import first_match
 from ..operators import upkeep as U
 from .summaries import pick, pick_sql
 from .tables import EDGES_SQL, PANEL_SQL, edges, panel, table
@@ -88,3 +89,19 @@ def derived_totals(spark: SparkSession, d: str) -> DataFrame:
     lists = panel(spark, d).groupBy("corp").agg(F.sort_array(F.collect_list(F.struct("year", "revenue", part.alias("o"), "net_income"))).alias("s"))
     total = lambda s: F.round(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), 4)
     return lists.select("corp", total(U.derived_series(F.col("s.revenue"), F.col("s.o"), -1)).alias("gross"), total(U.derived_series(F.col("s.revenue"), F.col("s.net_income"), 1)).alias("whole"))
+
+
+#: Lists of names as notes write them, with the names, and sectors with their kinds.
+LISTS = (
+    ("한빛㈜, 가나㈜", ("한빛㈜", "가나㈜")), ("㈜앱(구, ㈜에이)", ()), ("Acme Co., Ltd.", ()), ("Acme Co., Ltd., Betamax Inc.", ("Acme Co., Ltd.", "Betamax Inc.")), ("Alpha Ltd.Beta Ltd.", ("Alpha Ltd.", "Beta Ltd.")),
+    ("가(나, (다), 라)·마", ("가(나, (다), 라)", "마")), ("태양광(주)(주)이노", ("태양광(주)", "(주)이노")), (" , ", ()), (None, ()),
+)
+SECTORS = (("은행과 식품", "finance"), ("음료", "food"), ("전자부품", "semiconductor"), ("백화점", "retail"), ("보안", "security"), ("기계", "general"), (None, "general"))
+
+
+@query(f"SELECT p_partkey, {pick_sql(tuple('|'.join(n) for _, n in LISTS), 'p_partkey')} AS names, {pick_sql(tuple(k for _, k in SECTORS), 'p_partkey')} AS kind, CASE WHEN p_partkey % 3 < 2 THEN p_size END AS profit FROM part")
+def listed_names(spark: SparkSession, d: str) -> DataFrame:
+    item = lambda name, v: F.struct(F.lit(name).alias("item"), v.alias("value"))
+    items = F.array(item("매출액", F.col("p_size") + 1), item(None, F.col("p_size") + 2), F.when(F.col("p_partkey") % 3 < 2, item("영업이익", F.col("p_size"))).otherwise(item("순이익", F.col("p_size"))), item("영업이익률", F.when(F.col("p_partkey") % 3 < 2, F.col("p_size"))))
+    names = F.array_join(P.listed_names(pick(tuple(t for t, _ in LISTS), "p_partkey")), "|")
+    return table(spark, d, "part").select("p_partkey", names.alias("names"), first_match(pick(tuple(t for t, _ in SECTORS), "p_partkey"), P.SECTOR_KINDS, "general").alias("kind"), P.first_item(items, "item", "영업이익")["value"].alias("profit"))
