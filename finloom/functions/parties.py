@@ -112,7 +112,7 @@ def _is_form(piece: Column) -> Column:
 
 def listed_names(text: Column | str) -> Column:
     """The names of a list, between separators outside brackets, legal forms with the name before them; an empty array for
-    a null or a single name."""
+    a null or a single name. Whatever has eight Latin letters at most and a full stop counts as a form, so Beta Inc. does."""
     for pattern, to in GLUED:
         text = F.regexp_replace(col(text), pattern, to)
     empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))

@@ -93,7 +93,7 @@ def derived_totals(spark: SparkSession, d: str) -> DataFrame:
 
 #: Lists of names as notes write them, with the names, and sectors with their kinds.
 LISTS = (
-    ("한빛㈜, 가나㈜", ("한빛㈜", "가나㈜")), ("㈜앱(구, ㈜에이)", ()), ("Acme Co., Ltd.", ()), ("Acme Co., Ltd., Betamax Inc.", ("Acme Co., Ltd.", "Betamax Inc.")), ("Alpha Ltd.Beta Ltd.", ("Alpha Ltd.", "Beta Ltd.")),
+    ("한빛㈜, 가나㈜", ("한빛㈜", "가나㈜")), ("㈜앱(구, ㈜에이)", ()), ("Acme Co., Ltd.", ()), ("Acme Co., Ltd., Betamax Inc.", ("Acme Co., Ltd.", "Betamax Inc.")), ("Alpha Ltd.Betamax Ltd.", ("Alpha Ltd.", "Betamax Ltd.")),
     ("가(나, (다), 라)·마", ("가(나, (다), 라)", "마")), ("태양광(주)(주)이노", ("태양광(주)", "(주)이노")), (" , ", ()), (None, ()),
 )
 SECTORS = (("은행과 식품", "finance"), ("음료", "food"), ("전자부품", "semiconductor"), ("백화점", "retail"), ("보안", "security"), ("기계", "general"), (None, "general"))
