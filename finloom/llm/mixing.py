@@ -163,13 +163,17 @@ def mixed_documents(docs: DataFrame, mix_: Mix) -> DataFrame:
     """docs as mixed: of each document a row for each round that takes words of it, with those words in their order as
     text (white space stays with the word before it) and n_chars theirs; the other columns as they are.
 
+    Rows of one id and text are told apart by their source, those of one source by their other columns (as JSON); rows
+    alike in all columns are any of each other.
     Work: one shuffle of the texts, to meet the word ranges taken of them.
     """
-    spans = mix_.taken.groupBy("doc_id", "h", "nth", "round").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("at"), F.col("n_words").cast("int").alias("n")))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "spans", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy("nth")).alias("nth"))
-    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(mix_.seed), "doc_id", "text").alias("h"))
-    marked = marked.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0))))
-    met = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")) & (F.col("copy") == F.col("nth")))
+    spans = mix_.taken.groupBy("doc_id", "number", "h", "nth", "round").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("at"), F.col("n_words").cast("int").alias("n")))).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("id"), F.col("number").alias("m"), F.col("h").alias("g"), "spans", F.dense_rank().over(Window.partitionBy("doc_id", "number", "h").orderBy("nth")).alias("nth"))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("s"), F.xxhash64(F.lit(mix_.seed), "doc_id", "text").alias("h"))
+    numbers = F.broadcast(mix_.sources.select(F.col("source").alias("named"), "number"))
+    marked = marked.join(numbers, F.col("s").eqNullSafe(F.col("named"))).drop("s", "named")
+    marked = marked.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "number", "h").orderBy(F.to_json(F.col("row").dropFields("text") if len(docs.columns) > 1 else F.col("row")))))
+    met = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("number") == F.col("m")) & (F.col("h") == F.col("g")) & (F.col("copy") == F.col("nth")))
     schema = StructType([StructField(f.name, {"text": StringType(), "n_chars": LongType()}.get(f.name, f.dataType), True) for f in docs.schema.fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,7 @@ def unpack(raw: bytes, short: bool) -> np.ndarray:
 
 
 def send(chunk: int, keys: np.ndarray, extra: np.ndarray, parts: int, short: bool) -> pa.Table:
-    """Rows to the parts. keys: sorted and distinct; extra: an array of as many values of any one type."""
+    """Rows to the parts. keys: sorted; extra: an array of as many values of any one type."""
     edges = np.concatenate([[0], np.searchsorted(part(keys, parts), np.arange(parts, dtype=np.uint64), "right")])
     full = np.flatnonzero(np.diff(edges))
     cut = [(edges[p], edges[p + 1]) for p in full]
@@ -128,13 +128,39 @@ def found(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return sorted_keys[at] == wanted, at
 
 
-def first_values(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys and the least value of each."""
-    order = np.lexsort((values, keys))
-    keys, values = keys[order], values[order]
+def found_pairs(keys: np.ndarray, seconds: np.ndarray, wanted: np.ndarray, wanted_seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """found() for keys of 128 bits in two numbers; keys is sorted, and may repeat with other seconds."""
+    is_there, place = np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    open_ = np.flatnonzero(at < len(keys))
+    while len(open_):
+        open_ = open_[keys[at[open_]] == wanted[open_]]
+        same = seconds[at[open_]] == wanted_seconds[open_]
+        is_there[open_[same]], place[open_[same]] = True, at[open_[same]]
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(keys)]
+    return is_there, place
+
+
+def distinct_pairs(keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct (key, second), the place of one of each, and which of them each given one is."""
+    order = np.lexsort((seconds, keys))
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return keys[new], values[new]
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    place = order[new]
+    return keys[place], seconds[place], place, at
+
+
+def first_values(keys: np.ndarray, seconds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct (key, second) and the least value of each."""
+    order = np.lexsort((values, seconds, keys))
+    keys, seconds, values = keys[order], seconds[order], values[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (seconds[1:] != seconds[:-1])
+    return keys[new], seconds[new], values[new]
 
 
 def run_starts(flags: Sequence[bool] | np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packed import ROWS, answered, chunked, codes, first_values, found, layout, received, run_starts, send
+from .packed import ROWS, answered, chunked, codes, first_values, found, found_pairs, layout, received, run_starts, send
 from .storage import of_group, of_groups
 from .words import blocks, text_buffers, Words
 
@@ -21,6 +21,9 @@ PERIOD, COVER = 7, (0, 1, 3)
 #: What stands for a null doc_id: no id is above it.
 LAST = np.iinfo(np.int64).max
 
+#: What a chunk tells of a window beside its 64-bit key: another 64 bits, and the smallest id that has it.
+HELD = np.dtype([("second", "<u8"), ("id", "<i8")])
+
 REMOVED = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"
 
 
@@ -34,8 +37,8 @@ class _Chunk:
         self.raw, self.starts = raw, starts
         self.parts = [(a, b, Words(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a])) for a, b in blocks(starts)]
 
-    def runs(self, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each block: (hash, row, position in the row) of each run of size words inside a row."""
+    def runs(self, size: int, second: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block: (hash, row, position in the row, another 64 bits if second) of each run of size words inside a row."""
         out = []
         for a, _, words in self.parts:
             n = np.diff(words.first)
@@ -43,7 +46,7 @@ class _Chunk:
             place = np.arange(len(row)) - words.first[:-1][row]
             whole = np.flatnonzero(place + size <= n[row])
             whole = whole[whole < max(0, len(words.hash) - size + 1)]
-            out.append((words.runs(size)[whole], row[whole] + a, place[whole]))
+            out.append((words.runs(size)[whole], row[whole] + a, place[whole], words.runs(size, words.second())[whole] if second else None))
         return out
 
 
@@ -59,7 +62,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     judged on the input. A null id is larger than any other. Equal ids don't remove each other's words. Null and empty
     texts, and texts shorter than a window, keep all they have. A very long text lies whole in one chunk. Other columns
     aren't read.
-    Words are compared by 64-bit hashes of windows. Work: the texts are dealt once to chunks; anchors and windows go
+    Windows are compared by 128 bits of two hashes. Work: the texts are dealt once to chunks; anchors and windows go
     packed between chunks (packed.py), windows only around anchors of several documents.
     """
     anchor = window - PERIOD + 1
@@ -73,11 +76,11 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     def anchors(table: pa.Table) -> pa.Table:
         """The chunk's anchors, each with 1 if several of its documents have it."""
         keys, rows = [], []
-        for key, row, place in _Chunk(table).runs(anchor):
+        for key, row, place, _ in _Chunk(table).runs(anchor):
             held = in_cover[place % PERIOD]
             keys.append(key[held])
             rows.append(row[held])
-        if not keys:
+        if not sum(map(len, keys)):
             return send(0, np.zeros(0, np.uint64), np.zeros(0, np.uint8), parts, True)
         keys, rows = np.concatenate(keys), np.concatenate(rows)
         order = np.lexsort((rows, keys))
@@ -94,12 +97,12 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         """The windows round shared anchors, each with the chunk's smallest id that has it."""
-        none = send(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), parts, False)
+        none = send(0, np.zeros(0, np.uint64), np.zeros(0, HELD), parts, False)
         if not table.num_rows or not answers.num_rows:
             return none
         chunk, (known, _) = _Chunk(table), received(answers, np.uint8, True)
-        keys, ids = [], []
-        for (key, row, place), (whole, whole_row, whole_place) in zip(chunk.runs(anchor), chunk.runs(window), strict=True):
+        keys, seconds, ids = [], [], []
+        for (key, row, place, _), (whole, whole_row, whole_place, second) in zip(chunk.runs(anchor), chunk.runs(window, True), strict=True):
             held = np.flatnonzero(in_cover[place % PERIOD])
             held = held[found(known, codes(key[held], parts))[0]]
             if not len(held) or not len(whole):
@@ -117,24 +120,37 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             np.add.at(near, base[r[ok]] + high[ok], -1)
             picked = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             keys.append(whole[picked])
+            seconds.append(second[picked])
             ids.append(chunk.ids[whole_row[picked]])
-        return send(_number(table), *first_values(np.concatenate(keys), np.concatenate(ids)), parts, False) if keys else none
-
-    def earlier(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows whose key another chunk has with a smaller id."""
-        least = np.full(at[-1] + 1 if len(at) else 0, LAST)
-        np.minimum.at(least, at, ids)
-        told = np.flatnonzero(least[at] < ids)
-        return told, np.zeros(len(told), np.uint8)
+        if not keys:
+            return none
+        key, second, least = first_values(np.concatenate(keys), np.concatenate(seconds), np.concatenate(ids))
+        held = np.zeros(len(key), HELD)
+        held["second"], held["id"] = second, least
+        return send(_number(table), key, held, parts, False)
+
+    def earlier(at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose window another chunk has with a smaller id, with the window's second number."""
+        order = np.lexsort((held["second"], at))
+        second = held["second"][order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[order][1:] != at[order][:-1]) | (second[1:] != second[:-1])
+        own = np.empty(len(at), np.int64)
+        own[order] = np.cumsum(new) - 1
+        least = np.full(int(new.sum()), LAST)
+        np.minimum.at(least, own, held["id"])
+        told = np.flatnonzero(least[own] < held["id"])
+        return told, held["second"][told]
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "removed": []}
-        chunk, (known, _) = _Chunk(table), received(answers, np.uint8, False)
-        runs = chunk.runs(window)
-        keys, least = first_values(np.concatenate([k for k, *_ in runs]), np.concatenate([chunk.ids[r] for _, r, _ in runs])) if runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for (a, b, words), (key, row, place) in zip(chunk.parts, runs, strict=True):
-            _, at = found(keys, key)
-            gone = found(known, key)[0] | (least[at] < chunk.ids[row] if len(key) else np.zeros(0, bool))
+        chunk, (known, known_second) = _Chunk(table), received(answers, np.uint64, False)
+        runs = chunk.runs(window, True)
+        none = np.zeros(0, np.uint64)
+        keys, seconds, least = first_values(np.concatenate([k for k, *_ in runs]), np.concatenate([s for *_, s in runs]), np.concatenate([chunk.ids[r] for _, r, *_ in runs])) if runs else (none, none, np.zeros(0, np.int64))
+        for (a, b, words), (key, row, place, second) in zip(chunk.parts, runs, strict=True):
+            _, at = found_pairs(keys, seconds, key, second)
+            gone = found_pairs(known, known_second, key, second)[0] | (least[at] < chunk.ids[row] if len(key) else np.zeros(0, bool))
             first = words.first[row[gone] - a] + place[gone]
             covered = np.zeros(len(words.hash) + 1, np.int64)
             np.add.at(covered, first, 1)
@@ -154,5 +170,5 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     by_chunk = dealt.groupBy("chunk")
     suspects = answered(by_chunk.applyInArrow(of_group(anchors), ROWS), np.dtype(np.uint8), True, shared)
     held = by_chunk.cogroup(suspects.groupBy("chunk")).applyInArrow(of_groups(windows), ROWS)
-    told = answered(held, np.dtype(np.int64), False, earlier)
+    told = answered(held, HELD, False, earlier)
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(of_groups(cut), REMOVED)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .packed import found
+from .packed import distinct_pairs, found_pairs
 from .pieces import PieceValues
 from .storage import of_batches, partitions, worker_held
 from .words import mix, word_blocks
@@ -114,8 +114,8 @@ class TextEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct word that is remembered.
 
     In a text whose words stand between single blanks or line ends, a byte-level pre-tokenizer ends a token before each
-    of these, so a word with the one before it has ids of its own. Such words are found by a hash of their bytes in
-    sorted arrays (about 40 bytes for a word); other texts go by pieces (pieces.py).
+    of these, so a word with the one before it has ids of its own. Such words are found by two hashes of their bytes, 128
+    bits together, in sorted arrays (about 50 bytes for a word); other texts go by pieces (pieces.py).
     """
 
     def __init__(self, vocabulary: str, most: int = 250_000):
@@ -124,10 +124,10 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known, self.second, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint16 if len(self.library.bytes) <= 1 << 16 else np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, seconds: np.ndarray, words: list[str]) -> None:
         values = self.library.find(words)
         sizes = np.array([len(b) // 4 for b in values], np.int32)
         ids = np.frombuffer(b"".join(values), "<u4")
@@ -138,7 +138,8 @@ class TextEncoder:
         self.used += len(ids)
         whole = np.concatenate([self.known, keys])
         order = np.argsort(whole, kind="stable")
-        self.known, self.at, self.size = whole[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+        self.known, self.second = whole[order], np.concatenate([self.second, seconds])[order]
+        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of texts without white space but single blanks and line ends between words."""
@@ -146,8 +147,8 @@ class TextEncoder:
         for first, last, words in word_blocks(pa.array(texts, pa.string())):
             before = np.where(words.start > 0, words.raw[np.maximum(words.start - 1, 0)], 0).astype(np.uint64)
             before[words.first[:-1][words.first[:-1] < len(before)]] = 0  # nothing stands before a text's first word
-            keys, place, at = np.unique(mix(words.hash + (before << np.uint64(56))), return_index=True, return_inverse=True)
-            lacking = np.flatnonzero(~found(self.known, keys)[0])
+            keys, seconds, place, at = distinct_pairs(mix(words.hash + (before << np.uint64(56))), words.second())
+            lacking = np.flatnonzero(~found_pairs(self.known, self.second, keys, seconds)[0])
             if len(lacking):
                 raw = words.raw.tobytes()
                 mark = ["" if b == 0 else chr(b) for b in before[place[lacking]].tolist()]
@@ -156,8 +157,8 @@ class TextEncoder:
                     lacking = np.arange(len(keys))
                     mark = ["" if b == 0 else chr(b) for b in before[place].tolist()]
                 spans = zip(words.start[place[lacking]].tolist(), words.end[place[lacking]].tolist(), strict=True)
-                self._learn(keys[lacking], [m + raw[s:e].decode() for m, (s, e) in zip(mark, spans, strict=True)])
-            spot = found(self.known, keys)[1]
+                self._learn(keys[lacking], seconds[lacking], [m + raw[s:e].decode() for m, (s, e) in zip(mark, spans, strict=True)])
+            spot = found_pairs(self.known, self.second, keys, seconds)[1]
             sizes, begin = self.size[spot][at].astype(np.int64), self.at[spot][at]
             ends = np.cumsum(sizes)
             ids = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]

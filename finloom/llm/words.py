@@ -1,7 +1,8 @@
 """Words, their hashes and word shingles of whole Arrow batches of text, by numpy on the UTF-8 bytes.
 
 A word is a run of bytes other than space and \\t \\n \\v \\f \\r; a null text has no words.
-Hashes have 64 bits and depend on the bytes alone, so that they agree between tasks and runs.
+Hashes have 64 bits and depend on the bytes alone, so that they agree between tasks and runs. Where a false match would
+change a result, second() gives 64 more.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once; temporaries take about 40 bytes for each.
+#: Bytes of text that are hashed at once; temporaries take about 20 bytes for each.
 BLOCK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
@@ -33,24 +34,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_BASE = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = []
-
-
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                out.append(np.multiply.accumulate(p, dtype=np.uint64))
-        _powers[:] = out
-    return _powers[0], _powers[1]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Of the eight bytes read at a place, those that belong to a word of which so many are left.
+_HELD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def byte_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of the bytes raw[start:end] of each word: of every eight bytes, mixed with their place in the word before
+    they are added up, and of the length. Another seed gives another hash."""
+    size = end - start
+    blocks_ = np.maximum(1, -(-size // 8))
+    first = np.cumsum(blocks_) - blocks_
+    nth = np.arange(int(blocks_.sum())) - np.repeat(first, blocks_)
+    at = np.repeat(start, blocks_) + 8 * nth
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+    value = eight[at] & _HELD[np.minimum(np.repeat(end, blocks_) - at, 8)]
+    with np.errstate(over="ignore"):
+        mixed = mix(mix(value + np.uint64(seed)) ^ mix((nth.astype(np.uint64) + np.uint64(1 + seed)) * _STEP))
+        return mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * _STEP) if len(start) else np.zeros(0, np.uint64)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,21 +106,22 @@ class Words:
         ends[last] = inside[last]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first, self.ends = np.searchsorted(self.start, starts), starts[1:]
-        up, down = _base_powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[self.raw] * up[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = byte_hashes(self.raw, self.start, self.end)
+
+    def second(self) -> np.ndarray:
+        """Another 64 bits of each word's bytes, which don't follow from its hash."""
+        return byte_hashes(self.raw, self.start, self.end, 1)
 
-    def runs(self, size: int) -> np.ndarray:
-        """A hash of the size words from each word on, over row ends too: read whole() for those inside a row."""
-        n = len(self.hash) - size + 1
+    def runs(self, size: int, hashes: np.ndarray | None = None) -> np.ndarray:
+        """A hash of the size words from each word on, over row ends too; of hashes, if given, instead of hash."""
+        hashes = self.hash if hashes is None else hashes
+        n = len(hashes) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(size):
-                out += self.hash[k : k + n] * _PLACE[k]
+                out += hashes[k : k + n] * _PLACE[k]
         return mix(out)
 
 

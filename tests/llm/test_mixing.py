@@ -108,3 +108,19 @@ def test_texts_and_clashing_columns(spark):
     rows = got.collect()
     assert sorted((r["doc_id"], r["text"]) for r in rows) == want
     assert all([r[c] for c in extra] == [*range(len(extra))] and r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_one_text_in_several_sources(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    docs = [(1, "a", text, "x"), (1, "b", text, "y"), (1, "b", text, "z"), *((i, "ab"[i % 2], " ".join(f"w{i}_{k}" for k in range(50)), "x") for i in range(2, 14))]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, lang string").repartition(3)
+    mix = mix_sources(df, block_words=8, shard_blocks=50)
+    taken = {s: sum(r["n_words"] for r in mix.taken.where(f"number = {n}").collect()) for n, s in enumerate("ab")}
+    got = mixed_documents(df, mix).collect()
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(WORD.findall(r["text"]))
+        assert Counter(WORD.findall(r["text"])).most_common(1)[0][1] == 1  # a row has words of one copy in one round
+    assert words == taken
+    again = mixed_documents(df, mix_sources(df.repartition(2), block_words=8, shard_blocks=50)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
