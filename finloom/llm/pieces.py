@@ -12,6 +12,12 @@ from collections.abc import Callable, Iterable
 _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
+
+def cut_pieces(text: str) -> list[str]:
+    """A text cut before each blank or line end between two characters other than white space."""
+    return _CUT.split(text)
+
+
 #: Pieces that one Python worker remembers of either kind; about 200 bytes each.
 REMEMBERED = 250_000
 

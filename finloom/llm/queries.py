@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_: each operator over its whole table, with the parameters of production."""
+"""The queries op1_ to op13_: each operator over its whole table, with the parameters of production."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .decontaminate import benchmark_hits
 from .fingerprints import fingerprint_neighbours
 from .langid import held_out, identify
@@ -13,11 +14,12 @@ from .lattice_lm import score_texts
 from .mixing import mix_sources, taken_words
 from .ngram_join import link_near_duplicates
 from .oracles import ORACLES
-from .storage import shared_folder, small_batches
+from .storage import shared_folder, small_batches, written
 from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .urls import judge_urls, labelled_urls
+from .vector_codes import compress_vectors
 
 VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -79,6 +81,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op7_lm_scores, op8_decontaminate, op9_token_counts, op10_substring_dedup)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = compress_vectors(table(spark, sf_dir, "embeddings"), ["label"])
+    coded = written(codes.vectors, "codes")
+    totals = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "l")
+    found = coded.join(totals, F.col("label").eqNullSafe(F.col("l")))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op7_lm_scores, op8_decontaminate, op9_token_counts, op10_substring_dedup, op12_vector_codes, op13_align_tokenizers)}
 
 __all__ = ["ORACLES", "QUERIES"]
