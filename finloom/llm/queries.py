@@ -14,6 +14,7 @@ from .lattice_lm import score_texts
 from .mixing import mix_sources, taken_words
 from .ngram_join import link_near_duplicates
 from .oracles import ORACLES
+from .pivot_join import link_vectors
 from .storage import shared_folder, small_batches, written
 from .substrings import remove_repeats
 from .token_counts import count_tokens
@@ -81,6 +82,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = compress_vectors(table(spark, sf_dir, "embeddings"), ["label"])
     coded = written(codes.vectors, "codes")
@@ -93,6 +98,6 @@ def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op7_lm_scores, op8_decontaminate, op9_token_counts, op10_substring_dedup, op12_vector_codes, op13_align_tokenizers)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_files, op7_lm_scores, op8_decontaminate, op9_token_counts, op10_substring_dedup, op11_embedding_dedup, op12_vector_codes, op13_align_tokenizers)}
 
 __all__ = ["ORACLES", "QUERIES"]
