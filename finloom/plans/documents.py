@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import mentions as M
 from ..operators import notes as N
 from .tables import table
 
@@ -101,3 +102,49 @@ SELECT doc_id, row_number() OVER w AS place, CAST(v AS VARCHAR) AS number, '가'
 FROM chain JOIN t USING (doc_id, i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
 def body_notes(spark: SparkSession, d: str) -> DataFrame:
     return N.chained_notes(sections_of_notes(spark, d), "doc_id", "text").select("doc_id", "place", "number", "title", F.length("body").alias("n_chars"))
+
+
+def corpus_names(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and name: for each supplier a few characters out of a document, as a name of that document's own."""
+    made = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 200).alias("doc_id"), (1 + F.col("s_suppkey") * 13 % 90).cast("int").alias("at"), (2 + F.col("s_suppkey") % 9).cast("int").alias("size"))
+    return made.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.expr("substr(text, at, size)").alias("name"))
+
+
+#: Names as DuckDB finds them: one pattern of all, the longest first.
+NAMES_SQL = r"""
+  SELECT doc_id, regexp_replace(substr(text, CAST(1 + s_suppkey * 13 % 90 AS BIGINT), CAST(2 + s_suppkey % 9 AS BIGINT)), '^\s+|\s+$', '', 'g') AS name
+  FROM (SELECT s_suppkey, s_suppkey * 7 % 200 AS doc_id FROM supplier) JOIN documents USING (doc_id)"""
+PATTERN_SQL = f"SELECT coalesce(string_agg(regexp_escape(name), '|' ORDER BY len(name) DESC, name), '$.') AS p FROM (SELECT DISTINCT name FROM ({NAMES_SQL}) WHERE len(name) >= 2)"
+
+
+@query(f"""
+SELECT doc_id, name, count(*) AS n, name IN (SELECT name FROM ({NAMES_SQL}) o WHERE o.doc_id = f.doc_id) AS own FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, p)) AS name FROM documents, ({PATTERN_SQL})) f GROUP BY doc_id, name""")
+def name_mentions(spark: SparkSession, d: str) -> DataFrame:
+    names = corpus_names(spark, d)
+    found = M.names_in_texts(table(spark, d, "documents"), ["doc_id"], "text", names, "name").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    own = names.select("doc_id", F.regexp_replace("name", r"^\s+|\s+$", "").alias("name")).distinct().withColumn("own", F.lit(True))
+    return found.join(own, ["doc_id", "name"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+
+
+#: Words whose sentences are candidates, as documents have no words of relations.
+GATE = ("the", "der", "que")
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS nth FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])(\\s+)|(\\n{{2,}})', '\\1\x01\\2\\3\x02', 'g'), '\x01') AS l FROM documents)),
+a AS (SELECT *, sum(len(replace(x, '\x02', ''))) OVER (PARTITION BY doc_id ORDER BY nth) AS e, CASE WHEN contains(x, '\x02') THEN split_part(x, '\x02', 2) ELSE x END AS s FROM c),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS i, e - len(s) AS b, e, s FROM a WHERE regexp_matches(s, '\\S')),
+f AS (SELECT doc_id, i, b, e, regexp_matches(s, '{"|".join(GATE)}') OR len(list_filter(regexp_extract_all(s, p), lambda m: NOT coalesce(list_contains(own, m), FALSE))) > 0 AS f
+      FROM n LEFT JOIN (SELECT doc_id, list(name) AS own FROM ({NAMES_SQL}) GROUP BY 1) USING (doc_id), ({PATTERN_SQL})),
+g AS (SELECT *, bool_or(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM f),
+h AS (SELECT doc_id, i, b, e, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g WHERE near),
+r AS (SELECT doc_id, run, min(i) AS f, list(b ORDER BY i) AS b, list(e ORDER BY i) AS e FROM h GROUP BY 1, 2),
+k AS (SELECT doc_id, b, e, 1 AS p, 1 AS q, e[1] - b[1] AS t FROM r UNION ALL
+  SELECT doc_id, b, e, CASE WHEN t + e[q + 1] - b[q + 1] <= 300 THEN p ELSE q + 1 END, q + 1, CASE WHEN t + e[q + 1] - b[q + 1] <= 300 THEN t ELSE 0 END + e[q + 1] - b[q + 1] FROM k WHERE q < len(b)),
+o AS (SELECT doc_id, b[p] AS start, least(max(e[q]), b[p] + 300) AS "end" FROM k GROUP BY doc_id, b[p])
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS seq, start, "end", md5(substr(text, CAST(start + 1 AS BIGINT), CAST("end" - start AS BIGINT))) AS text_md5 FROM o JOIN documents USING (doc_id)""")
+def named_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs, names = table(spark, d, "documents").select("doc_id", "text"), corpus_names(spark, d)
+    rows = M.candidates(docs, "doc_id", "text", names, "name", names, GATE)
+    return M.chunks_of(docs, "doc_id", "text", rows, most=300).select("doc_id", "seq", "start", "end", F.md5("text").alias("text_md5"))
