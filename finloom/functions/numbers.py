@@ -31,6 +31,23 @@ def piecewise(value: Column | str, knots: Sequence[tuple[Column | float, Column
     return out.otherwise(points[-1][1])
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """A double to so many places, as its exact binary value says: 24.95 lies below the middle and gives 24.9; only what is
+    exactly in the middle (0.25) goes to the even digit. For values up to 2^30."""
+    p = float(10**places)
+
+    def nearest(v: Column) -> Column:
+        x = F.abs(v)
+        low = F.floor(x * p).cast("double")
+        # the first 20 binary places and the rest apart, so that no product is rounded
+        high = F.floor(x * 2.0**20).cast("double") / 2.0**20
+        over = (high * (2 * p) - (low * 2 + 1)) + (x - high) * (2 * p)
+        return F.signum(v) * F.when((over > 0) | ((over == 0) & (low % 2 == 1)), low + 1).otherwise(low) / p
+
+    # as an array of one, so that the value stands once in the generated code
+    return F.get(F.transform(F.array(col(value).cast("double")), nearest), F.lit(0))
+
+
 #: Scores at the percentiles 10, 25, 50, 75 and 90 of the peers.
 PEER_PERCENTILES, PEER_SCORES = (0.10, 0.25, 0.50, 0.75, 0.90), (0.0, 25.0, 50.0, 75.0, 100.0)
 
@@ -39,7 +56,7 @@ def peer_score(value: Column | str, profile: Column, higher_is_better: bool = Tr
     """The score of a value among its peers, to one place. profile: an array of the peers' values at PEER_PERCENTILES."""
     scores = PEER_SCORES if higher_is_better else PEER_SCORES[::-1]
     score = piecewise(value, [(F.get(profile, F.lit(i)), y) for i, y in enumerate(scores)])
-    return F.when(profile.isNotNull(), F.bround(score, 1))
+    return F.when(profile.isNotNull(), rounded(score, 1))
 
 
 def classes(value: Column | str, bounds: Sequence[tuple[float, str]], rest: str | None, strict: Sequence[float] = ()) -> Column:
@@ -162,7 +179,7 @@ def issue_amount(text: Column | str) -> Column:
 
 def dilution(issue: Column | str, cap: Column | str) -> Column:
     """An issue in percent of a cap, 4 places; null unless both are positive."""
-    return F.when((col(issue) > 0) & (col(cap) > 0), F.bround(col(issue) / col(cap) * 100, 4))
+    return F.when((col(issue) > 0) & (col(cap) > 0), rounded(col(issue) / col(cap) * 100, 4))
 
 
 def profitability(revenue: str, cogs: str, operating: str, net: str, equity: str, assets: str) -> dict[str, Column]:
@@ -188,7 +205,7 @@ def places(values: Column, unit: Column | str) -> Column:
 def rounded_alike(values: Column, unit: Column | str) -> Column:
     """An array of amounts, all to the places that suit it; no negative zero."""
     n = places(values, unit)
-    by = lambda v: F.when(n == 0, F.bround(v, 0)).when(n == 1, F.bround(v, 1)).when(n == 2, F.bround(v, 2)).otherwise(F.bround(v, 3))
+    by = lambda v: F.when(n == 0, F.bround(v, 0)).when(n == 1, rounded(v, 1)).when(n == 2, rounded(v, 2)).otherwise(rounded(v, 3))
     return F.transform(values, lambda v: by(v) + F.lit(0.0))
 
 

@@ -36,7 +36,7 @@ def mapped(value: Column | str, table: Mapping[str, str], rest: str | None = Non
 
 #: Legal forms at either end of company names, lower-case, and notes that don't belong to a name.
 FORMS = ("주식회사", "(주)", "㈜", "co.,ltd.", "co.,ltd", "co.ltd.", "co.ltd", "co.,", "co.", "co", "ltd.", "ltd", "inc.", "inc", "corporation", "corp.", "corp")
-NOTES = (r"\(\s*주\s*\d+\s*\)", r"\(\s*\*+\s*[\d,\s]*\)", r"※\s*\d*", r"\(\s*구[,.\s][^)]*\)", r"\(\s*(?:비상장|상장)(?:회사|법인)?\s*\)", r"[,\s]*\*+\s*\d*\s*\)?\s*$", r"[,\s]*주\s*[\d,\s]+\s*\)?\s*$", r"^\s*[*※]+\s*")
+NOTES = (r"\(\s*주\s*\d+\s*\)", r"\(\s*\*+\s*[\d,\s]*\)", r"※\s*\d*", r"\(\s*구[,.\s][^)]*\)", r"\(\s*(?:비상장|상장)(?:회사|법인)?\s*\)", r"\(\s*주\s*\d*\s*(?:참조|참고)\s*\)", r"\(\s*(?:보통주|종류주|우선주|의결권\s*없는\s*주식)\s*\)", r"[,\s]*\*+\s*\d*\s*\)?\s*$", r"[,\s]*주\s*[\d,\s]+\s*\)?\s*$", r"^\s*[*※]+\s*")
 
 
 def normal_name(name: Column | str, aliases: Mapping[str, str] | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.industries import is_financial, is_financial_group
-from ..functions.numbers import grade, peer_score, piecewise, ratio
+from ..functions.numbers import grade, peer_score, piecewise, ratio, rounded
 from .peers import profiles, with_profile
 
 #: Knots of the cash-earnings module.
@@ -80,16 +80,16 @@ def calibrated(panel: DataFrame, fewest: int = 20, fewest_financial: int | None
 def mean_of_available(scores: list[Column]) -> Column:
     """The mean of those that aren't null, to one place; null if none is."""
     n = reduce(lambda a, b: a + b, [s.isNotNull().cast("int") for s in scores])
-    return F.bround(ratio(reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scores]), n), 1)
+    return rounded(ratio(reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scores]), n), 1)
 
 
 def _modules(metrics: DataFrame, m2: Column, m3: Column, m4: Column, m5: Column) -> DataFrame:
     """corp, m1 to m5 to one place, total, grade and excluded; equity of 0 or less decides m3 and m5."""
     broke = F.col("equity") <= 0
     scored = metrics.select(
-        "corp", F.bround(piecewise("cash_ratio", CASH_KNOTS), 1).alias("m1"), F.bround(m2, 1).alias("m2"),
-        F.when(broke & F.col("debt_known"), 0.0).otherwise(F.bround(m3, 1)).alias("m3"), F.bround(m4, 1).alias("m4"),
-        F.when(F.col("equity").isNotNull() & F.col("early").isNotNull() & (broke | (F.col("early") <= 0)), 0.0).otherwise(F.bround(m5, 1)).alias("m5"),
+        "corp", rounded(piecewise("cash_ratio", CASH_KNOTS), 1).alias("m1"), rounded(m2, 1).alias("m2"),
+        F.when(broke & F.col("debt_known"), 0.0).otherwise(rounded(m3, 1)).alias("m3"), rounded(m4, 1).alias("m4"),
+        F.when(F.col("equity").isNotNull() & F.col("early").isNotNull() & (broke | (F.col("early") <= 0)), 0.0).otherwise(rounded(m5, 1)).alias("m5"),
     )
     names = [f"m{i}" for i in range(1, 6)]
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in names))), ",")

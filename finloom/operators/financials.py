@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.industries import financial_kind
-from ..functions.numbers import cagr, grade, peer_score, ratio
+from ..functions.numbers import cagr, grade, peer_score, ratio, rounded
 from .earnings import dividend_score, mean_of_available
 from .peers import profiles, with_profile
 
@@ -65,7 +65,7 @@ def financial_scores(inputs: DataFrame, fewest_own: int = 20, fewest_all: int =
     score = peer_score("value", F.col("profile"))
     wide = rows.groupBy("corp").agg(*(F.max(F.when(F.col("metric") == m, score)).alias(f"_{m}") for m in METRICS))
     paid = blended(F.col("_dividend_yield"), F.col("continuity"), YIELD_SHARE)
-    scored = inputs.select("corp", "kind", "continuity").join(wide, "corp").select("corp", "kind", F.bround(paid, 1).alias("f1"), *(F.col(f"_{m}").alias(f"f{i}") for i, m in enumerate(METRICS[1:], 2)))
+    scored = inputs.select("corp", "kind", "continuity").join(wide, "corp").select("corp", "kind", rounded(paid, 1).alias("f1"), *(F.col(f"_{m}").alias(f"f{i}") for i, m in enumerate(METRICS[1:], 2)))
     names = [f"f{i}" for i in range(1, 6)]
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in names))), ",")
     return scored.withColumn("total", mean_of_available([F.col(n) for n in names])).withColumn("grade", grade("total")).withColumn("missing", missing)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.numbers import rounded
+
 
 def group_means(firms: DataFrame, group: str, measures: Sequence[str]) -> DataFrame:
     """firms (rows) and the mean of each measure, nulls left out, by group; rows of no group don't count. Who belongs to a
@@ -21,7 +23,7 @@ def score_summary(scores: DataFrame, total: str, grade: str, modules: Sequence[s
     """One row: firms, scored, unscored, those of each grade, and means of the modules and the total of the scored ones, to
     one place (half to even)."""
     scored = F.col(total).isNotNull()
-    mean = lambda c: F.bround(F.avg(F.when(scored, F.col(c))), 1)
+    mean = lambda c: rounded(F.avg(F.when(scored, F.col(c))), 1)
     return scores.agg(
         F.count("*").alias("firms"), F.count(total).alias("scored"), (F.count("*") - F.count(total)).alias("unscored"),
         *(F.count_if(scored & (F.col(grade) == g)).alias(f"grade_{g}") for g in "ABCDF"), *(mean(m).alias(f"mean_{m}") for m in modules), mean(total).alias("mean_total"),

@@ -16,7 +16,7 @@ from ..operators import financials as B
 from ..operators import keyed as K
 from ..operators import relations as R
 from ..operators import statements as S
-from .tables import EDGES_SQL, PANEL_SQL, cents, edges, firms, panel, table
+from .tables import EDGES_SQL, PANEL_SQL, cents, edges, exactly, firms, panel, rounded_sql, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,15 +70,15 @@ def _knots(value: str, knots) -> str:
 
 
 #: From modules m1 to m5 of t, with e1 and early, to the scores' rows.
-MODULES_SQL = """
+MODULES_SQL = exactly("""
 v AS (SELECT corp, round_even(m1, 1) AS m1, round_even(m2, 1) AS m2, CASE WHEN e1 <= 0 THEN 0 ELSE round_even(m3, 1) END AS m3, round_even(m4, 1) AS m4,
   CASE WHEN e1 IS NOT NULL AND early IS NOT NULL AND (e1 <= 0 OR early <= 0) THEN 0 ELSE round_even(m5, 1) END AS m5 FROM t),
 f AS (SELECT *, round_even(list_avg(list_filter([m1, m2, m3, m4, m5], lambda z: z IS NOT NULL)), 1) AS total FROM v)
 SELECT corp, m1, m2, m3, m4, m5, total, CASE WHEN total IS NULL THEN NULL WHEN total >= 75 THEN 'A' WHEN total >= 60 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 25 THEN 'D' ELSE 'F' END AS grade,
-  array_to_string(list_filter([CASE WHEN m1 IS NULL THEN 'm1' END, CASE WHEN m2 IS NULL THEN 'm2' END, CASE WHEN m3 IS NULL THEN 'm3' END, CASE WHEN m4 IS NULL THEN 'm4' END, CASE WHEN m5 IS NULL THEN 'm5' END], lambda z: z IS NOT NULL), ',') AS excluded FROM f"""
+  array_to_string(list_filter([CASE WHEN m1 IS NULL THEN 'm1' END, CASE WHEN m2 IS NULL THEN 'm2' END, CASE WHEN m3 IS NULL THEN 'm3' END, CASE WHEN m4 IS NULL THEN 'm4' END, CASE WHEN m5 IS NULL THEN 'm5' END], lambda z: z IS NOT NULL), ',') AS excluded FROM f""")
 
 
-@query(METRICS_SQL + f""", s AS (SELECT corp, x.metric, round_even(min_by(CASE WHEN x.metric IN ('margin', 'equity_growth') THEN {_interpolated(True)} ELSE {_interpolated(False)} END, pos), 1) AS score
+@query(METRICS_SQL + f""", s AS (SELECT corp, x.metric, {rounded_sql(f"min_by(CASE WHEN x.metric IN ('margin', 'equity_growth') THEN {_interpolated(True)} ELSE {_interpolated(False)} END, pos)", 1)} AS score
   FROM x JOIN p ON p.grp = x.grp AND p.metric = x.metric WHERE value IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT m.corp, any_value(e1) AS e1, any_value(early) AS early, any_value({_knots("cash_ratio", Q.CASH_KNOTS)}) AS m1, max(score) FILTER (WHERE metric = 'receivable_gap') AS m2, max(score) FILTER (WHERE metric = 'leverage') AS m3,
   max(score) FILTER (WHERE metric = 'margin') * 0.7 + max(score) FILTER (WHERE metric = 'margin_range') * 0.3 AS m4, max(score) FILTER (WHERE metric = 'equity_growth') AS m5
@@ -122,11 +122,11 @@ e AS (SELECT *, unnest([kind, CASE WHEN metric = 'capital' AND kind IN ('bank_ho
 p AS (SELECT grp, metric, quantile_cont(v, 0.1) AS p1, quantile_cont(v, 0.25) AS p2, quantile_cont(v, 0.5) AS p3, quantile_cont(v, 0.75) AS p4, quantile_cont(v, 0.9) AS p5 FROM e WHERE grp IS NOT NULL GROUP BY 1, 2
   HAVING count(*) >= CASE WHEN grp IN ('all', 'banks') OR (grp = 'bank_holding' AND metric = 'capital') THEN 5 ELSE 20 END),
 w AS (SELECT corp, metric, v AS value, unnest(CASE WHEN metric = 'capital' AND kind = 'bank_holding' THEN ['bank_holding', 'banks'] ELSE [kind, 'all'] END) AS grp, unnest([0, 1]) AS pos FROM u),
-s AS (SELECT corp, metric, round_even(min_by({_interpolated(True)}, pos), 1) AS score FROM w JOIN p USING (grp, metric) GROUP BY 1, 2),
+s AS (SELECT corp, metric, {rounded_sql(f"min_by({_interpolated(True)}, pos)", 1)} AS score FROM w JOIN p USING (grp, metric) GROUP BY 1, 2),
 d AS (SELECT corp, greatest(dps, 0) AS dps, year, lag(greatest(dps, 0)) OVER (PARTITION BY corp ORDER BY year) AS d0 FROM y WHERE b <= 3),
 c AS (SELECT corp, CASE WHEN count(*) FILTER (WHERE dps > 0) = 0 THEN 0 ELSE greatest(0, least(100, CASE count(*) FILTER (WHERE dps > 0) WHEN 3 THEN 75 WHEN 2 THEN 60 ELSE 35 END - 20 * count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) + 7.5 * count(*) FILTER (WHERE dps > d0 * 1.05) + CASE WHEN min(dps) > 0 AND count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) = 0 THEN 10 ELSE 0 END)) END AS dc FROM d GROUP BY 1),
 f AS (SELECT l.corp, any_value(kind) AS kind, any_value(dc) AS dc, max(score) FILTER (WHERE metric = 'dividend_yield') AS fy, max(score) FILTER (WHERE metric = 'roe') AS f2, max(score) FILTER (WHERE metric = 'capital') AS f3, max(score) FILTER (WHERE metric = 'income') AS f4, max(score) FILTER (WHERE metric = 'growth') AS f5 FROM l LEFT JOIN s ON s.corp = l.corp LEFT JOIN c ON c.corp = l.corp GROUP BY 1),
-z AS (SELECT *, round_even(coalesce(fy * 0.7 + dc * 0.3, fy, dc), 1) AS f1 FROM f), t AS (SELECT *, round_even(list_avg(list_filter([f1, f2, f3, f4, f5], lambda z: z IS NOT NULL)), 1) AS total FROM z)
+z AS (SELECT *, {rounded_sql("coalesce(fy * 0.7 + dc * 0.3, fy, dc)", 1)} AS f1 FROM f), t AS (SELECT *, {rounded_sql("list_avg(list_filter([f1, f2, f3, f4, f5], lambda z: z IS NOT NULL))", 1)} AS total FROM z)
 SELECT corp, kind, CAST(f1 AS DOUBLE) AS f1, f2, f3, f4, f5, total, CASE WHEN total IS NULL THEN NULL WHEN total >= 75 THEN 'A' WHEN total >= 60 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 25 THEN 'D' ELSE 'F' END AS grade,
   array_to_string(list_filter([CASE WHEN f1 IS NULL THEN 'f1' END, CASE WHEN f2 IS NULL THEN 'f2' END, CASE WHEN f3 IS NULL THEN 'f3' END, CASE WHEN f4 IS NULL THEN 'f4' END, CASE WHEN f5 IS NULL THEN 'f5' END], lambda z: z IS NOT NULL), ',') AS missing FROM t""")
 def financial_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -358,7 +358,7 @@ def direction_confusion(spark: SparkSession, d: str) -> DataFrame:
 WITH v AS (SELECT *, [p_size, NULL, p_retailprice, p_partkey % 9, CASE WHEN p_partkey % 2 = 0 THEN 1.5 END] AS a FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 5 <> 4 THEN p_size * 1000.0 * CASE p_partkey % 5 WHEN 0 THEN 1e6 WHEN 1 THEN 1e8 WHEN 2 THEN 1e3 ELSE 1 END END AS issue, CASE WHEN p_partkey % 6 >= 3 THEN CAST(greatest(1, floor(100 - p_size + 0.5)) AS INTEGER) END AS top,
   p_size < 1 OR CASE WHEN p_size > 1 THEN p_size / 100.0 ELSE p_size END < 0.01 AS small, list_filter(a, lambda z: z IS NOT NULL)[-1] AS last, CASE WHEN len(list_filter(a, lambda z: z IS NOT NULL)) >= 3 THEN CAST(list_position(a, list_min(a)) - 1 AS INTEGER) END AS valley,
-  CASE WHEN p_partkey % 5 <> 4 THEN round_even(p_size * 1000.0 / p_retailprice * 100, 4) END AS dilution, round((p_retailprice - p_size) / p_retailprice * 100, 6) AS gross FROM v""")
+  CASE WHEN p_partkey % 5 <> 4 THEN """ + rounded_sql("p_size * 1000.0 / p_retailprice * 100", 4) + """ END AS dilution, round((p_retailprice - p_size) / p_retailprice * 100, 6) AS gross FROM v""")
 def number_values(spark: SparkSession, d: str) -> DataFrame:
     unit = F.get(F.lit(["백만원", "억원", "천원", "원"]), (F.col("p_partkey") % 5).cast("int"))
     text = F.concat(F.lit("제3자배정 발행 예정 총 금액 : 금 "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" "), unit)

@@ -9,7 +9,7 @@ from ..functions import labels as L
 from ..operators import earnings as Q
 from ..operators import summaries as S
 from .domain import ORACLES as DOMAIN_SQL
-from .tables import EDGES_SQL, PANEL_SQL, edges, panel, table
+from .tables import EDGES_SQL, PANEL_SQL, edges, panel, rounded_sql, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ NAMES = ("CJ제일", "LTD. LG 전자(*3)", "Motor ", "㈜삼성 (주1)", "SK·KT
 
 @query(f"""
 WITH p AS (SELECT p_partkey, {pick_sql(NAMES, "p_partkey")} AS n FROM part), m AS (SELECT MAP {{{", ".join(f"'{k}': '{v}'" for k, v in L.LETTERS.items())}}} AS m),
-s AS (SELECT *, array_to_string(list_transform(regexp_extract_all(n, '[A-Za-z]+|[^A-Za-z]+'), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z]{{1,4}}') THEN array_to_string(list_transform(string_split(upper(x), ''), lambda c: m[c]), '') ELSE x END), '') AS spoken FROM p, m)
+s AS (SELECT *, CASE WHEN n IS NOT NULL THEN list_reduce(list_concat([n], list_filter(regexp_extract_all(n, '[A-Za-z]+'), lambda r: len(r) <= 4)), lambda a, r: replace(a, r, array_to_string(list_transform(string_split(upper(r), ''), lambda c: m[c]), ''))) END AS spoken FROM p, m)
 SELECT p_partkey, CASE WHEN spoken <> n THEN spoken END AS spoken, CASE p_partkey % 9 WHEN 0 THEN 'CJ제일' WHEN 1 THEN 'LG 전자' WHEN 2 THEN 'Motor' WHEN 3 THEN '㈜삼성' WHEN 4 THEN 'SK·KT' WHEN 5 THEN 'Global GS' WHEN 6 THEN '한빛' WHEN 7 THEN 'CO.,가나' ELSE '' END AS shown FROM s""")
 def name_forms(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "part").select("p_partkey", pick(NAMES, "p_partkey").alias("n"))
@@ -131,7 +131,7 @@ def sector_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH q AS ({DOMAIN_SQL["quality_scores"]})
-SELECT count(*) AS firms, count(total) AS scored, count(*) - count(total) AS unscored, {", ".join(f"count(*) FILTER (WHERE total IS NOT NULL AND grade = '{g}') AS grade_{g}" for g in "ABCDF")}, {", ".join(f"round_even(avg(m{i}) FILTER (WHERE total IS NOT NULL), 1) AS mean_m{i}" for i in range(1, 6))}, round_even(avg(total), 1) AS mean_total FROM q""")
+SELECT count(*) AS firms, count(total) AS scored, count(*) - count(total) AS unscored, {", ".join(f"count(*) FILTER (WHERE total IS NOT NULL AND grade = '{g}') AS grade_{g}" for g in "ABCDF")}, {", ".join(rounded_sql(f"avg(m{i}) FILTER (WHERE total IS NOT NULL)", 1) + f" AS mean_m{i}" for i in range(1, 6))}, {rounded_sql("avg(total)", 1)} AS mean_total FROM q""")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     firms_ = panel(spark, d)
     return S.score_summary(Q.quality_scores(firms_, Q.calibrated(firms_, 20, 8)), "total", "grade", [f"m{i}" for i in range(1, 6)])

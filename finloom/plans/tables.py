@@ -17,6 +17,26 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
 
+def rounded_sql(x: str, places: int) -> str:
+    """numbers.rounded() in DuckDB: to the exact binary value's places."""
+    p = f"CAST({10**places} AS DOUBLE)"
+    over = f"((floor(y * 1048576.0) / 1048576.0 * 2 * {p} - (2 * floor(y * {p}) + 1)) + (y - floor(y * 1048576.0) / 1048576.0) * 2 * {p})"
+    up = f"floor(y * {p}) + CASE WHEN {over} > 0 OR ({over} = 0 AND floor(y * {p}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"list_transform([CAST({x} AS DOUBLE)], lambda v: sign(v) * list_transform([abs(v)], lambda y: ({up}) / {p})[1])[1]"
+
+
+def exactly(sql: str, places: int = 1) -> str:
+    """sql with rounded_sql() for each round_even(x, places)."""
+    begin, end = "round_even(", f", {places})"
+    while (a := sql.rfind(begin)) >= 0:  # the last has none inside
+        b, depth = a + len(begin), 0
+        while depth or not sql.startswith(end, b):
+            depth += (sql[b] == "(") - (sql[b] == ")")
+            b += 1
+        sql = sql[:a] + rounded_sql(sql[a + len(begin) : b], places) + sql[b + len(end) :]
+    return sql
+
+
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each supplier and year of shipping, with measures made of its lines, and its peer groups."""
     price, off, tax = cents("l_extendedprice"), cents("l_discount"), cents("l_tax")
