@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic, documents, domain, summaries, upkeep
+from . import basic, documents, domain, silver, summaries, upkeep
 
 FLAGSHIP = "quality_scores"
 
-QUERIES = basic.QUERIES | domain.QUERIES | summaries.QUERIES | upkeep.QUERIES | documents.QUERIES
-ORACLES = basic.ORACLES | domain.ORACLES | summaries.ORACLES | upkeep.ORACLES | documents.ORACLES
+QUERIES = basic.QUERIES | domain.QUERIES | summaries.QUERIES | upkeep.QUERIES | documents.QUERIES | silver.QUERIES
+ORACLES = basic.ORACLES | domain.ORACLES | summaries.ORACLES | upkeep.ORACLES | documents.ORACLES | silver.ORACLES
