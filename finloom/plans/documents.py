@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import core as A
 from ..operators import mentions as M
 from ..operators import notes as N
-from .tables import table
+from .tables import PANEL_SQL, panel, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +149,29 @@ def named_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs, names = table(spark, d, "documents").select("doc_id", "text"), corpus_names(spark, d)
     rows = M.candidates(docs, "doc_id", "text", names, "name", names, GATE)
     return M.chunks_of(docs, "doc_id", "text", rows, most=300).select("doc_id", "seq", "start", "end", F.md5("text").alias("text_md5"))
+
+
+def statements(spark: SparkSession, d: str) -> DataFrame:
+    """corp, year and text: each firm's latest three years as a filing of two statements with units of their own: sales by one
+    of three names, of which the third says nothing, income with a minus as brackets or a mark, and equity without heads."""
+    whole = lambda c: F.floor(F.col(c)).cast("long")
+    years = panel(spark, d).groupBy("corp").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("year")).alias("y"), whole("revenue").alias("r"), whole("operating_income").alias("o"), whole("total_equity").alias("e")))), 1, 3).alias("s"))
+    shown = lambda v: F.when(v >= 0, F.format_number(v, 0)).when(F.col("corp") % 2 == 0, F.concat(F.lit("("), F.format_number(-v, 0), F.lit(")"))).otherwise(F.concat(F.lit("△"), F.format_number(-v, 0)))
+    cells = lambda field: F.array_join(F.transform("s", lambda x: F.concat(F.lit("<TD>"), F.coalesce(shown(x[field]), F.lit("-")), F.lit("</TD>"))), "")
+    row = lambda head, body: F.concat(F.lit("<TR>"), head, body, F.lit("</TR>"))
+    name = F.get(F.array(F.lit("<TD>Ⅰ. 매출액(주6)</TD>"), F.lit("<TD>영업수익</TD>"), F.lit('<TD ACODE="ifrs-full_Revenue">합계</TD>')), (F.col("corp") % 3).cast("int"))
+    heads = F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("<TD>제 "), (F.lit(9) - i).cast("string"), F.lit(" 기</TD>"))), "")
+    note = F.concat(F.lit("<TD>"), (F.col("corp") % 40).cast("string"), F.lit("</TD>"))
+    income = F.concat(F.lit("<TITLE>4-2. 연결 손익계산서</TITLE>(단위: 천원)<TABLE>"), row(F.lit("<TD>과목</TD><TD>주석</TD>"), heads), row(F.concat(name, note), cells("r")), row(F.concat(F.lit("<TD>영업이익</TD>"), note), cells("o")), F.lit("</TABLE>"))
+    balance = F.concat(F.lit("<TITLE>재무상태표</TITLE>"), F.when(F.col("corp") % 2 == 0, "(단위: 백만원)").otherwise("(단위 : 원)"), row(F.lit("<TD>자본총계</TD>"), cells("e")), F.lit("<TITLE>주석</TITLE>"), row(F.lit("<TD>부채총계</TD>"), cells("e")))
+    return years.select("corp", (-F.get("s", F.lit(0))["y"]).alias("year"), F.concat(income, balance).alias("text"))
+
+
+@query(f"""
+WITH p AS (SELECT corp, year, CAST(floor(revenue) AS DOUBLE) AS r, CAST(floor(operating_income) AS DOUBLE) AS o, CAST(floor(total_equity) AS DOUBLE) AS e, row_number() OVER (PARTITION BY corp ORDER BY year DESC) - 1 AS place, max(year) OVER (PARTITION BY corp) AS last, count(*) OVER (PARTITION BY corp) AS n FROM ({PANEL_SQL})),
+u AS (SELECT corp, last, n, place, unnest(['revenue', 'operating_income', 'total_equity']) AS account, unnest([CASE WHEN corp % 3 < 2 THEN r * 1000 END, o * 1000, e * CASE WHEN corp % 2 = 0 THEN 1e6 ELSE 1 END]) AS amount FROM p WHERE place < 3)
+SELECT corp, CASE account WHEN 'total_equity' THEN 'OFS' ELSE 'CFS' END AS kind, place, account, CASE account WHEN 'total_equity' THEN 2 ELSE 3 END AS rank, amount, last - place AS fiscal_year FROM u WHERE amount IS NOT NULL AND (account <> 'revenue' OR amount <> 0) AND (account = 'total_equity' OR n > 1)""")
+def core_accounts(spark: SparkSession, d: str) -> DataFrame:
+    filed = statements(spark, d)
+    rows = A.statement_rows(A.statement_blocks(filed, "corp", "text"), "corp").join(filed.select("corp", "year"), "corp")
+    return A.core_accounts(rows, "corp", "year").select("corp", "kind", "place", "account", "rank", "amount", "fiscal_year")
