@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def micro_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall and f1 (4 places; 0 where undefined) over the rows of two tables of like columns."""
@@ -29,9 +31,9 @@ def hash_order(seed: str, key: str) -> Column:
 
 def stratified(df: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
     """A share of each stratum's rows (rounded down, one at least), the first by hash order."""
-    w = Window.partitionBy(stratum)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(hash_order(seed, key), key))).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_i", "_n")
+    n = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    placed = numbered(df.withColumn("_h", hash_order(seed, key)), stratum, "_h", key, "_i", False).join(n, F.col(stratum).eqNullSafe(F.col("_s")))
+    return placed.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(*df.columns)
 
 
 def direction_confusion(truth: DataFrame, found: DataFrame, keys: list[str], labels: list[str], most: int = 10) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import PEER_PERCENTILES
+from .ranks import numbered, percentiles
 
 
 def profiles(values: DataFrame, groups: Column, metric: str, value: str, fewest: int | Column = 20) -> DataFrame:
@@ -16,7 +17,7 @@ def profiles(values: DataFrame, groups: Column, metric: str, value: str, fewest:
     groups: an array of the groups that a row belongs to. Null values and groups don't count.
     """
     each = values.where(F.col(value).isNotNull()).select(F.explode(groups).alias("group"), F.col(metric).alias("metric"), F.col(value).alias("value"))
-    found = each.where(F.col("group").isNotNull()).groupBy("group", "metric").agg(F.count("*").alias("n"), F.percentile("value", F.lit(list(PEER_PERCENTILES))).alias("profile"))
+    found = percentiles(each.where(F.col("group").isNotNull()), ["group", "metric"], "value", PEER_PERCENTILES)
     return found.where(F.col("n") >= fewest)
 
 
@@ -35,17 +36,15 @@ def with_profile(rows: DataFrame, groups: Column, metric: str, found: DataFrame,
 def rank_percentile(df: DataFrame, group: str, value: str, tie: str, high_is_better: bool = True, fewest: int = 3) -> DataFrame:
     """df with percentile: 100 for the best of the group's values, 0 for the worst, a whole number; null for null values
     and groups of fewer. Ties go by the column tie."""
-    order = F.col(value).desc_nulls_last() if high_is_better else F.col(value).asc_nulls_last()
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order, F.col(tie))) - 1
-    n = F.count(value).over(Window.partitionBy(group))
-    ranked = df.withColumns({"_place": place, "_n": n})
+    n = df.groupBy(F.col(group).alias("_g")).agg(F.count(value).alias("_n"))
+    ranked = numbered(df, group, value, tie, "_place", high_is_better).join(n, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_place", F.col("_place") - 1)
     share = F.bround((F.col("_n") - 1 - F.col("_place")) / (F.col("_n") - 1) * 100, 0).cast("int")
     return ranked.withColumn("percentile", F.when(F.col(value).isNotNull() & (F.col("_n") >= fewest), share)).drop("_place", "_n")
 
 
 def market_tiers(df: DataFrame, market: str, cap: str, tie: str, named: int = 200) -> DataFrame:
     """df with market_rank (by cap, nulls last) and tier: named for the first of each market that have a cap, else dot."""
-    ranked = df.withColumn("market_rank", F.row_number().over(Window.partitionBy(market).orderBy(F.col(cap).desc_nulls_last(), F.col(tie))))
+    ranked = numbered(df, market, cap, tie, "market_rank")
     return ranked.withColumn("tier", F.when((F.col("market_rank") <= named) & F.col(cap).isNotNull(), "named").otherwise("dot"))
 
 
@@ -53,7 +52,7 @@ def market_tiers(df: DataFrame, market: str, cap: str, tie: str, named: int = 20
 GOLDEN_ANGLE = 2.399963229728653
 
 
-def spiral(df: DataFrame, group: str, order: Sequence[Column], step: float = 1.0) -> DataFrame:
-    """df with x and y: the rows of each group on a spiral, the first in the middle."""
-    place = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+def spiral(df: DataFrame, group: str, value: str, tie: str, step: float = 1.0) -> DataFrame:
+    """df with x and y: the rows of each group on a spiral, the one of the highest value in the middle; ties go by tie."""
+    place = numbered(df, group, value, tie, "_i").withColumn("_i", F.col("_i") - 1)
     return place.withColumn("x", F.sqrt("_i") * step * F.cos(F.col("_i") * GOLDEN_ANGLE)).withColumn("y", F.sqrt("_i") * step * F.sin(F.col("_i") * GOLDEN_ANGLE)).drop("_i")

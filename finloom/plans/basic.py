@@ -93,7 +93,7 @@ def market_tiers(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey, round(sqrt(i) * cos(i * 2.399963229728653), 6) AS x, round(sqrt(i) * sin(i * 2.399963229728653), 6) AS y
 FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS i FROM customer)""")
 def sector_spiral(spark: SparkSession, d: str) -> DataFrame:
-    return P.spiral(table(spark, d, "customer"), "c_nationkey", [F.desc("c_acctbal"), F.col("c_custkey")]).select("c_custkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return P.spiral(table(spark, d, "customer"), "c_nationkey", "c_acctbal", "c_custkey").select("c_custkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("""
