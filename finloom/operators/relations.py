@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import spoken_name
 from ..functions.numbers import ownership
+from ..functions.texts import normal_name, short_latin_name
 from .keyed import latest_per_key
 
 #: Shares of common stock count before unknown, these before preferred.
@@ -86,6 +88,25 @@ def ego_documents(edges: DataFrame, a: str, b: str, value: str, most: int = 60)
     return ends.groupBy("node").agg(F.count("*").alias("degree")).join(lists, "node")
 
 
+def name_book(registry: DataFrame, name: str, code: str) -> DataFrame:
+    """name (as it is looked up), code and spoken: of each firm its name, of several with one the largest code; and what it
+    is called when its Latin letters are spelled, unless that is another firm's name, or more than one firm is called so."""
+    listed = registry.where(F.col(code).isNotNull()).select(F.col(name).alias("_n"), F.col(code).alias("code"))
+    real = listed.select(normal_name("_n").alias("name"), "code").where("name <> ''").groupBy("name").agg(F.max("code").alias("code")).withColumn("spoken", F.lit(False))
+    called = listed.select(normal_name(spoken_name("_n")).alias("name"), "code").where("name <> ''")
+    owned = called.groupBy("name").agg(F.min("code").alias("code"), F.max("code").alias("_last")).where("code = _last").drop("_last")
+    return real.unionByName(owned.join(real, "name", "left_anti").withColumn("spoken", F.lit(True)))
+
+
+def resolved(names: DataFrame, name: str, book: DataFrame) -> DataFrame:
+    """names with code and queued: a name's code in the book; a name too short to link by gets that of a firm of just this
+    name alone, never of one that is called so, else none and is queued like every name without a code."""
+    keyed = names.withColumn("_k", normal_name(name)).withColumn("_short", short_latin_name(name))
+    met = keyed.join(book.select(F.col("name").alias("_b"), "code", "spoken"), F.col("_k") == F.col("_b"), "left")
+    sure = F.when(~(F.col("_short") & F.coalesce("spoken", F.lit(False))), F.col("code"))
+    return met.withColumn("code", sure).withColumn("queued", F.col("code").isNull() & (F.coalesce("_k", F.lit("")) != "")).drop("_k", "_b", "_short", "spoken")
+
+
 def linked(names: DataFrame, name: str, sources: Sequence[DataFrame]) -> DataFrame:
     """names with code: of the first of sources (name, code) that has the name, the largest code there."""
     parts = [s.groupBy("name").agg(F.max("code").alias("code")).withColumn("_p", F.lit(i)) for i, s in enumerate(sources)]

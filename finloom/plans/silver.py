@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import LETTERS
+from ..operators import relations as R
 from ..operators import silver as V
 from .tables import EDGES_SQL, edges, table
 
@@ -99,3 +101,30 @@ def silver_counters(spark: SparkSession, d: str) -> DataFrame:
     stored = F.when(F.col("s_suppkey") % 2 == 0, "person").otherwise("private_corp")
     nodes = table(spark, d, "supplier").select(F.concat(F.lit("x_"), "s_suppkey").alias("uid"), F.concat(F.lit("S"), "s_suppkey").alias("anchor"), F.lit("기계상사").alias("name"), F.lit(None).cast("string").alias("relate"), F.lit("note").alias("first_seen"), stored.alias("kind"))
     return V.counters(rows, old, nodes)
+
+
+#: What Latin letters are called, as a map of DuckDB's, and a name spelled by it.
+_CALLED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LETTERS.items()) + "}"
+_spelled = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: {_CALLED}[c]), '')"
+
+
+def listed_firms(spark: SparkSession, d: str) -> DataFrame:
+    """name and code of customers: two letters of the segment and a few of the keys' digits, so that some names are shared;
+    every tenth has the name that another is called by."""
+    latin = F.substring("c_mktsegment", 1, 2)
+    spelled = F.array_join(F.transform(F.split(latin, ""), lambda c: F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))[c]), "")
+    named = F.concat(F.when(F.col("c_custkey") % 10 == 0, spelled).otherwise(latin), (F.col("c_custkey") % 700).cast("string"), F.lit("전자"))
+    return table(spark, d, "customer").select(named.alias("name"), F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("code"))
+
+
+@query(f"""
+WITH f AS (SELECT left(c_mktsegment, 2) AS l, {_spelled("left(c_mktsegment, 2)")} AS s, c_custkey % 700 AS n, c_custkey % 10 = 0 AS k, 'C' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code FROM customer),
+r AS (SELECT lower(CASE WHEN k THEN s ELSE l END) || n || '전자' AS name, max(code) AS code FROM f GROUP BY 1), c AS (SELECT s || n || '전자' AS name, min(code) AS code FROM f WHERE NOT k GROUP BY 1 HAVING min(code) = max(code)),
+b AS (SELECT * FROM r UNION ALL SELECT * FROM c WHERE name NOT IN (SELECT name FROM r)),
+a AS (SELECT o_orderkey, ['au', '에이유', 'ma', '엠에이', 'fu'][CAST(o_orderkey % 5 AS INTEGER) + 1] || o_custkey % 900 || '전자' AS name FROM orders WHERE o_orderkey % 11 > 0)
+SELECT o_orderkey, code, code IS NULL AS queued FROM a LEFT JOIN b USING (name)""")
+def resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names on orders, written in either way, by the book of all firms."""
+    begins = F.get(F.array(*map(F.lit, ("㈜AU", "에이유 ", "Ma", "엠에이", "FU"))), (F.col("o_orderkey") % 5).cast("int"))
+    asked = table(spark, d, "orders").where("o_orderkey % 11 > 0").select("o_orderkey", F.concat(begins, (F.col("o_custkey") % 900).cast("string"), F.lit("전자(주1)")).alias("name"))
+    return R.resolved(asked, "name", R.name_book(listed_firms(spark, d), "name", "code")).select("o_orderkey", "code", "queued")

@@ -75,28 +75,6 @@ def admitted(requests: DataFrame, key: str, at: str, most: int = 20, seconds: fl
     return timed.groupBy(key).applyInPandasWithState(step, schema, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Adds those rows of a micro-batch whose keys the Parquet table at path lacks, one for each key: for foreachBatch.
-
-    A batch that is run again adds nothing.
-    """
-    spark = batch.sparkSession
-    once = batch.dropDuplicates(keys)
-    try:
-        old = spark.read.schema(batch.schema).parquet(path).select(*keys)
-    except Exception as e:  # noqa: BLE001  there is no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], once.select(*keys).schema)
-    once.join(old, keys, "left_anti").write.mode("append").parquet(path)
-
-
-def follow(stream: DataFrame, path: str, checkpoint: str, keys: list[str], every: str | None = None) -> object:
-    """Starts a query that keeps the table at path: each minutes (`every`), or all there is now and then ends."""
-    writer = stream.writeStream.foreachBatch(lambda df, _: append_new(df, path, keys)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
 def event_stream(spark: SparkSession, folder: str, schema: StructType, per_batch: int = 1) -> DataFrame:
     """The Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)

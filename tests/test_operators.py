@@ -10,7 +10,7 @@ from finloom.functions import numbers as N
 from finloom.functions import texts as X
 from finloom.operators import chunks, earnings, events, keyed, relations, statements, tables
 from finloom.sources import files
-from finloom.streaming import feeds
+from finloom.streaming import feeds, ledger
 
 
 def one(spark, **columns):
@@ -153,7 +153,7 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = feeds.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
     for n in range(2):  # a second run adds nothing
-        feeds.follow(feeds.polled_once(stream, "i", "ts"), str(tmp_path / "table"), str(tmp_path / f"state{n}"), ["i"]).awaitTermination()
+        ledger.keep(feeds.polled_once(stream, "i", "ts").withColumn("day", F.to_date("ts")), str(tmp_path / "table"), str(tmp_path / f"state{n}"), ["i"], "day").awaitTermination()
     assert sorted(r["i"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 2, 3]
     spark.createDataFrame([("k", j, moment(s)) for j, s in enumerate((0, 1, 2, 30, 61, 62))], schema).coalesce(1).write.parquet(str(tmp_path / "asked"))
     asked = feeds.event_stream(spark, str(tmp_path / "asked"), spark.createDataFrame([], schema).schema)

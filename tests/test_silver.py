@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from finloom.operators import relations as R
 from finloom.operators import silver as V
 
 RAW = "id long, source_type string, source_name string, target_name string, relate string, ratio double, stock_kind string, year int, raw_response string"
@@ -88,3 +89,14 @@ def test_counters_and_second_run(spark, run):
     assert sorted((r["uid"], r["name"], r["kind"]) for r in kept.collect()) == [("x_1", "가나", "private_corp"), ("x_4", "조달청", "public_org")]
     assert sorted(((r["old"], r["new"]) for r in moves.collect()), key=str) == [("x_2", "x_1"), ("x_3", None)]
     assert V.referenced(nodes, edges).count() == 2 and V.counters(rows.where("false"), one.where("false"), old_nodes.where("false")).first()["kept_ftc"] == 0
+
+
+def test_names_by_ear_never_overwrite(spark):
+    firms = spark.createDataFrame([("CJ제일", "1"), ("씨제이제일", "2"), ("LG전자", "3"), ("SK", "4"), ("KT", "5"), ("㈜KT", "6"), ("Kt", "7"), ("A가", "8"), ("에이가", None), ("AB나", "10"), ("A비나", "11"), (None, "12")], "n string, c string")
+    book = {r["name"]: (r["code"], r["spoken"]) for r in R.name_book(firms, "n", "c").collect()}
+    assert book["씨제이제일"] == ("2", False) and book["엘지전자"] == ("3", True) and book["kt"] == ("7", False)  # of one name the last code
+    assert "케이티" not in book and book["에이가"] == ("8", True)  # called alike by several firms; a firm without a code isn't one
+    assert "에이비나" not in book
+    asked = spark.createDataFrame([(i, n) for i, n in enumerate(["씨제이제일(주)", "엘지 전자", "SK", "KT", "HMA", "없음", "", None])], "i int, n string")
+    got = [(r["code"], r["queued"]) for r in R.resolved(asked, "n", R.name_book(firms, "n", "c")).orderBy("i").collect()]
+    assert got == [("2", False), ("3", False), ("4", False), ("7", False), (None, True), (None, True), (None, False), (None, False)]
