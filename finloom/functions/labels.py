@@ -88,6 +88,12 @@ def edge_detail(share: Column | str, group: Column | str, detail: Column | str,
     return F.coalesce(F.concat(col(share).cast("double").cast("string"), F.lit("%")), grouped, named)
 
 
+def dated_detail(detail: Column | str, year: Column | str) -> Column:
+    """A detail with its year behind a middle dot; the year alone if there is no detail."""
+    known = F.coalesce(col(year), F.lit(0)) != 0
+    return F.when(known & (F.coalesce(col(detail), F.lit("")) != ""), F.concat(col(detail), F.lit(" · "), col(year).cast("string"))).when(known, col(year).cast("string")).otherwise(col(detail))
+
+
 #: Labels of money that goes out to a party and comes in from it, and words of balances and results.
 CAPITAL_OUT = ("자금대여거래", "자금대여", "대여거래", "대여", "현금출자", "출자", "유상증자", "출자금납입")
 CAPITAL_IN = ("자금차입거래", "자금차입", "차입거래", "차입")
@@ -103,17 +109,18 @@ def capital_direction(label: Column | str) -> Column:
     return F.when((out != in_) & ~spoilt, F.when(out, "capital_out").otherwise("capital_in"))
 
 
-#: What the signs of operating, investing and financing flows stand for.
+#: What the signs of operating, investing and financing flows stand for.
 FLOWS = {
-    "+--": "여유 있는 구조 (영업 흑자로 투자도 하고 빚도 갚는다)",
-    "+-+": "성장 투자 단계 (영업 흑자 + 외부자금 끌어 투자 확대)",
-    "++-": "사업 축소 (자산 매각 + 차입 상환)",
-    "+++": "현금 비축 (영업·매각·차입 모두 +, 다음 대형 투자 직전 가능)",
-    "--+": "위태로운 신생/적자 기업 (영업 적자, 외부자금에 의존)",
-    "-++": "구조조정 진행 (자산 팔고 빚 내서 적자 메움 — 위험 신호)",
-    "-+-": "청산 단계 (자산 매각으로 빚 갚는 중)",
-    "---": "전방위 위기 (현금 모두 유출)",
+    "+--": "pays for investments and for debt out of its own earnings",
+    "+-+": "earns, and borrows to invest more than that",
+    "++-": "sells assets and pays debt back while it still earns",
+    "+++": "gathers cash from all three sides",
+    "--+": "lives on outside money: earnings are negative and investing goes on",
+    "-++": "covers a loss with sold assets and new debt",
+    "-+-": "sells assets to pay debt without earning",
+    "---": "loses cash on all three sides",
 }
+OTHER_FLOW = "shows no plain pattern"
 
 
 def _whole(value: Column) -> Column:
@@ -123,23 +130,21 @@ def _whole(value: Column) -> Column:
 def income_words(revenue: Column | str, operating: Column | str, net: Column | str) -> Column:
     """Margins in words, as what is left of 100 won of sales; the net margin only where there is one."""
     margin, last = ratio(operating, revenue, 100.0), ratio(net, revenue, 100.0)
-    more = F.coalesce(F.concat(F.lit(" (세금·이자 등 빼고 최종 "), _whole(last), F.lit("원)")), F.lit(""))
-    return F.when(margin.isNull(), "매출/영업이익 데이터가 부족해 손익을 풀어 설명할 수 없습니다.").otherwise(F.concat(F.lit("100원 팔면 영업으로 "), _whole(margin), F.lit("원이 남습니다"), F.when(last.isNotNull(), more).otherwise(""), F.lit(".")))
+    more = F.when(last.isNotNull(), F.concat(F.lit(", "), _whole(last), F.lit(" after all else"))).otherwise("")
+    return F.when(margin.isNull(), "no margin: sales or operating income missing").otherwise(F.concat(F.lit("of 100 won sold, operations keep "), _whole(margin), more))
 
 
 def balance_words(assets: Column | str, liabilities: Column | str, equity: Column | str) -> Column:
     """Debt and equity in words, as shares of assets."""
     debt, own = ratio(liabilities, assets, 100.0), ratio(equity, assets, 100.0)
-    text = F.concat(F.lit("빚이 전체 자산의 "), _whole(debt), F.lit("%입니다"), F.when(own.isNotNull(), F.concat(F.lit(", 자본은 "), _whole(own), F.lit("%"))).otherwise(""), F.lit("."))
-    without = F.when(F.coalesce(col(assets), F.lit(0)) == 0, "자산총계 정보가 없어 재무상태를 풀어 설명할 수 없습니다.")
-    return without.when(debt.isNull(), "부채 정보가 없어 재무상태를 풀어 설명할 수 없습니다.").otherwise(text)
+    text = F.concat(F.lit("debt "), _whole(debt), F.lit(" %"), F.when(own.isNotNull(), F.concat(F.lit(" and equity "), _whole(own), F.lit(" %"))).otherwise(""), F.lit(" of assets"))
+    return F.when(F.coalesce(col(assets), F.lit(0)) == 0, "no shares: assets missing").when(debt.isNull(), "no shares: debt missing").otherwise(text)
 
 
 def flow_words(operating: Column | str, investing: Column | str, financing: Column | str) -> Column:
     """The kind of firm that the signs of its three flows show."""
     signs = sign_pattern(operating, investing, financing)
-    text = F.concat(F.lit("벌어서 투자하고 — "), mapped(signs, FLOWS, "혼합형 — 추가 검토 필요"), F.lit("."))
-    return F.when(signs.isNull(), "현금흐름 3대 항목 중 일부가 없어 흐름을 설명할 수 없습니다.").otherwise(text)
+    return F.when(signs.isNull(), "no pattern: a flow is missing").otherwise(F.concat(F.lit("the firm "), mapped(signs, FLOWS, OTHER_FLOW)))
 
 
 def guessed_market(code: Column | str) -> Column:

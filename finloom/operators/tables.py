@@ -84,7 +84,7 @@ def _markdown(text: str) -> list[tuple[int, int, int, str]]:
 
 def table_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, table, row, col and text of each cell of a document's HTML or markdown tables. A cell over several rows or
-    columns is there for each. Null texts and texts without tables have none."""
+    columns is there for each (spans over MOST_SPAN count as that). Null texts and texts without tables have none."""
     kind = docs.schema[key].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

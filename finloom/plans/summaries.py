@@ -67,11 +67,12 @@ SHOWN = ("지배기업", "대규모기업집단 (그룹 합산)", "기타", "최
 
 @query(f"""
 WITH s AS (SELECT *, {pick_sql(SHOWN, "s_suppkey")} AS v FROM supplier)
-SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey % 40 AS DOUBLE) / 4 || '%' WHEN s_suppkey % 3 = 0 THEN 'G ' || s_nationkey ELSE v END AS detail FROM s""")
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey % 40 AS DOUBLE) / 4 || '%' WHEN s_suppkey % 3 = 0 THEN 'G ' || s_nationkey ELSE v END || CASE WHEN s_suppkey % 4 > 0 THEN ' · ' || (2020 + s_suppkey % 4) ELSE '' END AS detail FROM s""")
 def edge_details(spark: SparkSession, d: str) -> DataFrame:
     share = F.when(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey") % 40 / 4)
     group = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("G:"), F.col("s_nationkey")))
-    return table(spark, d, "supplier").select("s_suppkey", L.edge_detail(share, group, pick(DETAILS, "s_suppkey"), F.lit(True)).alias("detail"))
+    year = F.when(F.col("s_suppkey") % 4 > 0, F.lit(2020) + F.col("s_suppkey") % 4)
+    return table(spark, d, "supplier").select("s_suppkey", L.dated_detail(L.edge_detail(share, group, pick(DETAILS, "s_suppkey"), F.lit(True)), year).alias("detail"))
 
 
 #: Labels of columns in notes.
@@ -90,9 +91,9 @@ _WHOLE = "CAST(CAST(round_even({}, 0) AS BIGINT) AS VARCHAR)".format
 @query(f"""
 WITH panel AS ({PANEL_SQL}), r AS (SELECT *, operating_income / nullif(revenue, 0) * 100 AS om, net_income / nullif(revenue, 0) * 100 AS nm, total_liabilities / nullif(total_assets, 0) * 100 AS dr, total_equity / nullif(total_assets, 0) * 100 AS er,
   CASE WHEN corp % 4 > 0 THEN concat(CASE WHEN operating_cashflow > 0 THEN '+' WHEN operating_cashflow < 0 THEN '-' ELSE '0' END, CASE WHEN corp % 2 = 0 THEN '-' ELSE '+' END, CASE WHEN year % 3 = 0 THEN '0' WHEN year % 3 = 1 THEN '-' ELSE '+' END) END AS f FROM panel)
-SELECT corp, year, CASE WHEN om IS NULL THEN '매출/영업이익 데이터가 부족해 손익을 풀어 설명할 수 없습니다.' ELSE '100원 팔면 영업으로 ' || {_WHOLE("om")} || '원이 남습니다' || coalesce(' (세금·이자 등 빼고 최종 ' || {_WHOLE("nm")} || '원)', '') || '.' END AS income,
-  CASE WHEN coalesce(total_assets, 0) = 0 THEN '자산총계 정보가 없어 재무상태를 풀어 설명할 수 없습니다.' ELSE '빚이 전체 자산의 ' || {_WHOLE("dr")} || '%입니다' || coalesce(', 자본은 ' || {_WHOLE("er")} || '%', '') || '.' END AS balance,
-  CASE WHEN f IS NULL THEN '현금흐름 3대 항목 중 일부가 없어 흐름을 설명할 수 없습니다.' ELSE '벌어서 투자하고 — ' || CASE f {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.FLOWS.items())} ELSE '혼합형 — 추가 검토 필요' END || '.' END AS flows FROM r""")
+SELECT corp, year, CASE WHEN om IS NULL THEN 'no margin: sales or operating income missing' ELSE 'of 100 won sold, operations keep ' || {_WHOLE("om")} || coalesce(', ' || {_WHOLE("nm")} || ' after all else', '') END AS income,
+  CASE WHEN coalesce(total_assets, 0) = 0 THEN 'no shares: assets missing' ELSE 'debt ' || {_WHOLE("dr")} || ' %' || coalesce(' and equity ' || {_WHOLE("er")} || ' %', '') || ' of assets' END AS balance,
+  CASE WHEN f IS NULL THEN 'no pattern: a flow is missing' ELSE 'the firm ' || CASE f {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.FLOWS.items())} ELSE '{L.OTHER_FLOW}' END END AS flows FROM r""")
 def statement_words(spark: SparkSession, d: str) -> DataFrame:
     investing = F.when(F.col("corp") % 4 > 0, F.when(F.col("corp") % 2 == 0, -1).otherwise(1))
     financing = F.when(F.col("year") % 3 == 0, 0).when(F.col("year") % 3 == 1, -1).otherwise(1)

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from finloom.functions import labels as L
+from finloom.functions import numbers as N
+from finloom.functions import texts as X
 from finloom.operators import summaries as S
+from finloom.operators.earnings import mean_of_available
 
 
 def values(spark, f, cases):
@@ -38,8 +41,29 @@ def test_words_of_statements(spark):
         L.income_words(F.lit(100.0), F.lit(12.5), F.lit(None)).alias("a"), L.income_words(F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("b"), L.balance_words(F.lit(200.0), F.lit(50.0), F.lit(150.0)).alias("c"),
         L.balance_words(F.lit(None), F.lit(1.0), F.lit(1.0)).alias("d"), L.flow_words(F.lit(1), F.lit(0), F.lit(1)).alias("e"), L.flow_words(F.lit(1), F.lit(None), F.lit(1)).alias("f"),
     ).first()
-    assert got["a"] == "100원 팔면 영업으로 12원이 남습니다." and "부족해" in got["b"] and got["c"] == "빚이 전체 자산의 25%입니다, 자본은 75%."
-    assert got["d"].startswith("자산총계") and got["e"] == "벌어서 투자하고 — 혼합형 — 추가 검토 필요." and "일부가 없어" in got["f"]
+    assert got["a"] == "of 100 won sold, operations keep 12" and got["b"].startswith("no margin") and got["c"] == "debt 25 % and equity 75 % of assets"
+    assert got["d"] == "no shares: assets missing" and got["e"] == f"the firm {L.OTHER_FLOW}" and got["f"].startswith("no pattern")
+
+
+def test_dated_details(spark):
+    cases = {("50.5%", 2024): "50.5% · 2024", ("", 2024): "2024", (None, 2024): "2024", ("50.5%", None): "50.5%", ("50.5%", 0): "50.5%", (None, None): None}
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, d string, y int").select("i", L.dated_detail("d", "y").alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in rows] == [*cases.values()]
+
+
+def test_exact_rounding(spark):
+    """As the double itself rounds, not its decimal digits."""
+    values_ = [24.95, 74.65, 0.25, 0.75, 0.35, 2.675, -24.95, 0.0, 49.95, 1e6 + 0.05, 99.949999999999, None]
+    rows = spark.createDataFrame([*enumerate(values_)], "i int, v double").select("i", N.rounded("v", 1).alias("r"), N.rounded("v", 2).alias("s")).orderBy("i").collect()
+    assert [(r["r"], r["s"]) for r in rows] == [(None, None) if v is None else (round(v, 1), round(v, 2)) for v in values_]
+    assert rows[0]["r"] == 24.9 and rows[1]["r"] == 74.7
+    means = spark.range(1).select(mean_of_available([F.lit(24.9), F.lit(25.0), F.lit(None)]).alias("m")).first()["m"]
+    assert means == 24.9 and spark.range(1).select(N.grade(F.lit(means)).alias("g")).first()["g"] == "F"
+
+
+def test_notes_of_names(spark):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(["(주)프로젠(보통주)", "㈜가나 (주1 참조)", "나다(의결권 없는 주식)", "DB(Philippines) Inc.", "코오롱티슈진\n(주1),(주2)"])], "i int, n string")
+    assert [r["v"] for r in rows.select("i", X.normal_name("n").alias("v")).orderBy("i").collect()] == ["프로젠", "가나", "나다", "db(philippines)", "코오롱티슈진"]
 
 
 def test_verdicts(spark):
