@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import LETTERS
+from ..operators import deltas as D
 from ..operators import relations as R
 from ..operators import silver as V
 from .tables import EDGES_SQL, edges, table
@@ -128,3 +129,31 @@ def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     begins = F.get(F.array(*map(F.lit, ("㈜AU", "에이유 ", "Ma", "엠에이", "FU"))), (F.col("o_orderkey") % 5).cast("int"))
     asked = table(spark, d, "orders").where("o_orderkey % 11 > 0").select("o_orderkey", F.concat(begins, (F.col("o_custkey") % 900).cast("string"), F.lit("전자(주1)")).alias("name"))
     return R.resolved(asked, "name", R.name_book(listed_firms(spark, d), "name", "code")).select("o_orderkey", "code", "queued")
+
+
+#: Balances of customers as two runs of scores: some are only in one, some have none.
+_RUNS_SQL = """
+WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 13 > 0 THEN c_acctbal END AS s FROM customer WHERE c_custkey % 9 > 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 17 > 0 THEN c_acctbal + c_custkey % 101 - 40 END AS s FROM customer WHERE c_custkey % 8 > 0),
+b AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, o.s AS old_score, n.s AS new_score, n.s - o.s AS delta, CASE WHEN o.c_custkey IS NULL THEN 'new' WHEN n.c_custkey IS NULL THEN 'gone' WHEN o.s IS NOT NULL AND n.s IS NOT NULL THEN 'common' WHEN n.s IS NOT NULL THEN 'scored' WHEN o.s IS NOT NULL THEN 'lost' ELSE 'unscored' END AS state FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)"""
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    firms = table(spark, d, "customer")
+    old = firms.where("c_custkey % 9 > 0").select("c_custkey", F.when(F.col("c_custkey") % 13 > 0, F.col("c_acctbal")).alias("s"))
+    new = firms.where("c_custkey % 8 > 0").select("c_custkey", F.when(F.col("c_custkey") % 17 > 0, F.col("c_acctbal") + F.col("c_custkey") % 101 - 40).alias("s"))
+    return D.compared_scores(old, new, "c_custkey", "s")
+
+
+@query(_RUNS_SQL + """
+SELECT count(*) FILTER (WHERE state = 'common') AS common, count(*) FILTER (WHERE state = 'new') AS new, count(*) FILTER (WHERE state = 'gone') AS gone, count(*) FILTER (WHERE state = 'scored') AS scored, count(*) FILTER (WHERE state = 'lost') AS lost, count(*) FILTER (WHERE state = 'unscored') AS unscored,
+  round(avg(delta), 4) AS mean_delta, round(quantile_cont(delta, 0.5), 4) AS median_delta, round(max(abs(delta)), 4) AS largest FROM b""")
+def score_deltas(spark: SparkSession, d: str) -> DataFrame:
+    found = D.delta_summary(_runs(spark, d))
+    return found.select(*(F.round(c, 4).alias(c) if c in ("mean_delta", "median_delta", "largest") else F.col(c) for c in found.columns))
+
+
+@query(_RUNS_SQL + """
+SELECT c_custkey, round(delta, 4) AS delta, row_number() OVER (ORDER BY abs(round(delta, 6)) DESC, c_custkey) AS place FROM b WHERE delta IS NOT NULL QUALIFY place <= 20""")
+def largest_moves(spark: SparkSession, d: str) -> DataFrame:
+    rows = _runs(spark, d).withColumn("delta", F.round("delta", 6))
+    return D.largest_moves(rows, "c_custkey").select("c_custkey", F.round("delta", 4).alias("delta"), "place")
