@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import LETTERS
+from ..operators import contracts as K
 from ..operators import deltas as D
 from ..operators import relations as R
 from ..operators import silver as V
@@ -157,3 +158,27 @@ SELECT c_custkey, round(delta, 4) AS delta, row_number() OVER (ORDER BY abs(roun
 def largest_moves(spark: SparkSession, d: str) -> DataFrame:
     rows = _runs(spark, d).withColumn("delta", F.round("delta", 6))
     return D.largest_moves(rows, "c_custkey").select("c_custkey", F.round("delta", 4).alias("delta"), "place")
+
+
+def contract_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as filings of contracts by suppliers: rows in one of two orders, amounts total or confirmed, names as written,
+    strange or absent."""
+    o = F.col("o_orderkey")
+    row = lambda *cells: F.concat(F.lit("<TR>"), *(x for c in cells for x in (F.lit("<TD>"), F.lit(c) if isinstance(c, str) else c, F.lit("</TD>"))), F.lit("</TR>"))
+    price = F.format_number(F.floor("o_totalprice"), 0)
+    amount = F.when(o % 4 == 0, F.concat(row("2. 계약내역", "계약금액 총액 (원)", "-"), row("확정 계약금액", price))).when(o % 4 == 1, row("계약금액 총액(원)", price)).when(o % 4 == 2, row("2. 계약내역", "<B>계약금액 총액</B>(원)", price)).otherwise(row("매출액 대비", "5.0"))
+    name = F.when(o % 7 == 0, "-").when(o % 7 == 1, "방산 솔루션 공급 업체").otherwise(F.concat(F.lit("㈜ Firm"), F.col("o_custkey")))
+    party = F.when(o % 9 == 0, F.lit("")).otherwise(row("3. 계약상대방", name))
+    dates = F.concat(row("5. 계약기간", "시작일", F.date_format("o_orderdate", "yyyy-MM-dd")), row("종료일", F.when(o % 3 > 0, F.date_format(F.date_add("o_orderdate", 90), "yyyy-MM-dd")).otherwise("-")), F.when(o % 5 > 0, row("8. 계약(수주)일자", F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(""))
+    text = F.when(o % 2 == 0, F.concat(amount, party, dates)).otherwise(F.concat(dates, party, amount))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), o % 500 + 1).alias("reporter"), text.alias("text"), F.date_add("o_orderdate", 400).alias("received"))
+
+
+@query("""
+WITH o AS (SELECT *, o_orderkey AS k, 'C' || (o_orderkey % 500 + 1) AS source, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN '-' WHEN o_orderkey % 7 = 1 THEN '방산 솔루션 공급 업체' ELSE '㈜ Firm' || o_custkey END AS counterparty, CASE WHEN o_custkey % 3 > 0 AND o_orderkey % 7 > 1 AND o_orderkey % 9 > 0 THEN 'C' || o_custkey END AS code FROM orders)
+SELECT o_orderkey, source, CASE WHEN code <> source THEN code END AS target, CASE WHEN counterparty IS NULL THEN 'no_counterparty' WHEN code IS NULL THEN 'link_failed' WHEN code = source THEN 'own' ELSE 'kept' END AS fate, CASE WHEN k % 4 < 3 THEN floor(o_totalprice) END AS amount,
+  year(CASE WHEN k % 5 > 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 400 END) AS year, CASE WHEN k % 3 > 0 THEN strftime(CAST(o_orderdate AS DATE) + 90, '%Y-%m-%d') END AS valid_until FROM o""")
+def contract_edges(spark: SparkSession, d: str) -> DataFrame:
+    filed = contract_filings(spark, d)
+    forms = K.contract_forms(filed, "o_orderkey", "text", F.col("received")).join(filed.select("o_orderkey", "reporter"), "o_orderkey")
+    return K.contract_edges(forms, R.name_book(registry(spark, d), "name", "code"), "reporter", "o_orderkey").select("o_orderkey", "source", "target", "fate", "amount", "year", "valid_until")
