@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import core as A
 from ..operators import mentions as M
 from ..operators import notes as N
+from ..operators import tables as T
 from .tables import PANEL_SQL, panel, table
 
 QUERIES: dict = {}
@@ -175,3 +176,37 @@ def core_accounts(spark: SparkSession, d: str) -> DataFrame:
     filed = statements(spark, d)
     rows = A.statement_rows(A.statement_blocks(filed, "corp", "text"), "corp").join(filed.select("corp", "year"), "corp")
     return A.core_accounts(rows, "corp", "year").select("corp", "kind", "place", "account", "rank", "amount", "fiscal_year")
+
+
+#: Quantities that each supplier's lines have by status and flag: two companies with two dealings.
+DEALT_SQL = """SELECT l_suppkey AS s, l_linestatus AS company, CASE l_returnflag WHEN 'R' THEN 'customer' ELSE 'supply' END AS deal, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY 1, 2, 3"""
+
+
+def dealing_notes(spark: SparkSession, d: str) -> DataFrame:
+    """s and text: notes of suppliers with a table in one of four layouts: dealings by companies, companies by dealings, the
+    same as markdown, and companies by dealings with a cell over two rows; before it a table of other things."""
+    lines = table(spark, d, "lineitem").where("l_returnflag IN ('R', 'N')")
+    total = lambda status, flag: F.sum(F.when((F.col("l_linestatus") == status) & (F.col("l_returnflag") == flag), F.col("l_quantity").cast("long")))
+    sums = lines.groupBy(F.col("l_suppkey").alias("s")).agg(*(total(status, flag).alias(f"{status}{flag}") for status in "OF" for flag in "RN"))
+    shown = lambda c: F.coalesce(F.format_number(c, 0), F.lit("-"))
+    html = lambda *cells: F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit("<td>"), F.lit(c) if isinstance(c, str) else c, F.lit("</td>"))), F.lit("</tr>"))
+    mark = lambda *cells: F.concat(F.lit("|"), *(x for c in cells for x in (F.lit(" "), F.lit(c) if isinstance(c, str) else c, F.lit(" |"))), F.lit("\n"))
+    by_company = lambda row: (row("회사", "상품 매출", "원재료 매입", "비고"), row("O", shown("OR"), shown("ON"), "-"), row("F", shown("FR"), shown("FN"), "-"))
+    layouts = (
+        F.concat(F.lit("<table>"), html("구분", "O", "F"), html("매출액", shown("OR"), shown("FR")), html("매입액", shown("ON"), shown("FN")), html("보증", "1", "2"), F.lit("</table>")),
+        F.concat(F.lit("<table>"), *by_company(html), F.lit("</table>")), F.concat(mark("주석", "쪽"), F.lit("\n"), *by_company(mark)),
+        F.concat(F.lit("<table>"), html("회사", "매출", "매입"), F.lit('<tr><td rowspan="2">O</td><td>'), shown("OR"), F.lit("</td><td>"), shown("ON"), F.lit("</td></tr><tr><td>-</td><td>-</td></tr>"), html("F", shown("FR"), shown("FN")), F.lit("</table>")),
+    )
+    return sums.select("s", F.concat(F.when(F.col("s") % 4 == 2, "").otherwise("<table><tr><td>주석</td><td>쪽</td></tr><tr><td>1</td><td>2</td></tr></table>"), F.get(F.array(*layouts), (F.col("s") % 4).cast("int"))).alias("text"))
+
+
+@query(f"SELECT s, company, deal, CAST(q AS DOUBLE) AS amount FROM ({DEALT_SQL})")
+def note_dealings(spark: SparkSession, d: str) -> DataFrame:
+    cells = T.table_cells(dealing_notes(spark, d), "s", "text")
+    return T.dealings(cells, "s").select("s", "company", "deal", "amount")
+
+
+@query("""SELECT DISTINCT l_suppkey AS s, 1 AS "table" FROM lineitem WHERE l_returnflag IN ('R', 'N') AND l_suppkey % 4 > 0""")
+def company_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The table of a note that has a row for each of the two companies."""
+    return T.best_table(T.table_cells(dealing_notes(spark, d), "s", "text"), "s", ["O", "F"])
