@@ -130,24 +130,33 @@ def found(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 
 def found_pairs(keys: np.ndarray, seconds: np.ndarray, wanted: np.ndarray, wanted_seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """found() for keys of 128 bits in two numbers; keys is sorted, and may repeat with other seconds."""
-    is_there, place = np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.searchsorted(keys, wanted)
-    open_ = np.flatnonzero(at < len(keys))
-    while len(open_):
-        open_ = open_[keys[at[open_]] == wanted[open_]]
-        same = seconds[at[open_]] == wanted_seconds[open_]
-        is_there[open_[same]], place[open_[same]] = True, at[open_[same]]
-        open_ = open_[~same]
-        at[open_] += 1
-        open_ = open_[at[open_] < len(keys)]
-    return is_there, place
+    is_there, at = found(keys, wanted)
+    if len(keys):
+        other = np.flatnonzero(is_there & (seconds[at] != wanted_seconds))
+        for i in other.tolist():  # another key of the same first number, which hardly ever is
+            run = np.flatnonzero(seconds[at[i] : np.searchsorted(keys, wanted[i], "right")] == wanted_seconds[i])
+            is_there[i], at[i] = len(run) > 0, at[i] + (run[0] if len(run) else 0)
+    return is_there, at
+
+
+def _pair_order(keys: np.ndarray, seconds: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (key, second, values), and in it which ones begin another pair. Sorted by keys first, by both only where
+    equal keys have other seconds."""
+    order = np.lexsort((*values, keys)) if values else np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    for again in (False, True):
+        k, s = keys[order], seconds[order]
+        new[1:], other = k[1:] != k[:-1], s[1:] != s[:-1]
+        if again or not (other & ~new[1:]).any():
+            break
+        order = np.lexsort((*values, seconds, keys))
+    new[1:] |= other
+    return order, new
 
 
 def distinct_pairs(keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct (key, second), the place of one of each, and which of them each given one is."""
-    order = np.lexsort((seconds, keys))
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[order][1:] != keys[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+    order, new = _pair_order(keys, seconds)
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(new) - 1
     place = order[new]
@@ -156,11 +165,9 @@ def distinct_pairs(keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, n
 
 def first_values(keys: np.ndarray, seconds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct (key, second) and the least value of each."""
-    order = np.lexsort((values, seconds, keys))
-    keys, seconds, values = keys[order], seconds[order], values[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (seconds[1:] != seconds[:-1])
-    return keys[new], seconds[new], values[new]
+    order, new = _pair_order(keys, seconds, values)
+    first = order[new]
+    return keys[first], seconds[first], values[first]
 
 
 def run_starts(flags: Sequence[bool] | np.ndarray) -> np.ndarray:

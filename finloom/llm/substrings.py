@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packed import ROWS, answered, chunked, codes, first_values, found, found_pairs, layout, received, run_starts, send
+from .packed import ROWS, answered, chunked, codes, distinct_pairs, first_values, found, found_pairs, layout, received, run_starts, send
 from .storage import of_group, of_groups
 from .words import blocks, text_buffers, Words
 
@@ -30,15 +30,15 @@ REMOVED = "doc_id long, n_words long, n_removed long, kept string, removed array
 class _Chunk:
     """The documents of a chunk: ids, and for each block of them its words and the row of each word."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, wide: bool = False):
         self.doc_id = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.ids = np.asarray(table.column("doc_id").fill_null(LAST).to_numpy()) if table.num_rows else np.zeros(0, np.int64)
         raw, starts = text_buffers(table.column("text"))
         self.raw, self.starts = raw, starts
-        self.parts = [(a, b, Words(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a])) for a, b in blocks(starts)]
+        self.parts = [(a, b, Words(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], wide=wide)) for a, b in blocks(starts)]
 
-    def runs(self, size: int, second: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each block: (hash, row, position in the row, another 64 bits if second) of each run of size words inside a row."""
+    def runs(self, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block: (hash, row, position in the row, another 64 bits if wide) of each run of size words inside a row."""
         out = []
         for a, _, words in self.parts:
             n = np.diff(words.first)
@@ -46,7 +46,7 @@ class _Chunk:
             place = np.arange(len(row)) - words.first[:-1][row]
             whole = np.flatnonzero(place + size <= n[row])
             whole = whole[whole < max(0, len(words.hash) - size + 1)]
-            out.append((words.runs(size)[whole], row[whole] + a, place[whole], words.runs(size, words.second())[whole] if second else None))
+            out.append((words.runs(size)[whole], row[whole] + a, place[whole], words.runs(size, words.second)[whole] if words.second is not None else None))
         return out
 
 
@@ -100,9 +100,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         none = send(0, np.zeros(0, np.uint64), np.zeros(0, HELD), parts, False)
         if not table.num_rows or not answers.num_rows:
             return none
-        chunk, (known, _) = _Chunk(table), received(answers, np.uint8, True)
+        chunk, (known, _) = _Chunk(table, True), received(answers, np.uint8, True)
         keys, seconds, ids = [], [], []
-        for (key, row, place, _), (whole, whole_row, whole_place, second) in zip(chunk.runs(anchor), chunk.runs(window, True), strict=True):
+        for (key, row, place, _), (whole, whole_row, whole_place, second) in zip(chunk.runs(anchor), chunk.runs(window), strict=True):
             held = np.flatnonzero(in_cover[place % PERIOD])
             held = held[found(known, codes(key[held], parts))[0]]
             if not len(held) or not len(whole):
@@ -131,21 +131,16 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def earlier(at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows whose window another chunk has with a smaller id, with the window's second number."""
-        order = np.lexsort((held["second"], at))
-        second = held["second"][order]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[order][1:] != at[order][:-1]) | (second[1:] != second[:-1])
-        own = np.empty(len(at), np.int64)
-        own[order] = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), LAST)
+        own = distinct_pairs(at, held["second"])[3]
+        least = np.full(int(own.max()) + 1 if len(own) else 0, LAST)
         np.minimum.at(least, own, held["id"])
         told = np.flatnonzero(least[own] < held["id"])
         return told, held["second"][told]
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "removed": []}
-        chunk, (known, known_second) = _Chunk(table), received(answers, np.uint64, False)
-        runs = chunk.runs(window, True)
+        chunk, (known, known_second) = _Chunk(table, True), received(answers, np.uint64, False)
+        runs = chunk.runs(window)
         none = np.zeros(0, np.uint64)
         keys, seconds, least = first_values(np.concatenate([k for k, *_ in runs]), np.concatenate([s for *_, s in runs]), np.concatenate([chunk.ids[r] for _, r, *_ in runs])) if runs else (none, none, np.zeros(0, np.int64))
         for (a, b, words), (key, row, place, second) in zip(chunk.parts, runs, strict=True):

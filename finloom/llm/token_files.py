@@ -71,7 +71,7 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranked, "<u4")[ranks]
 
 
-class _Library:
+class ByteLibrary:
     """Ids of pieces by the tokenizers library: of many pieces that follow each other safely in one call."""
 
     def __init__(self, vocabulary: str):
@@ -85,28 +85,37 @@ class _Library:
         for token, i in held.items():  # a byte-level token has a letter for each byte
             self.bytes[i] = len(token.encode()) if i in added else len(token)
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
+    def each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def spaced(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has. A piece is a blank or line end and then other
+        characters than white space, so that many can be given to the library as one text."""
+        ids, sizes = [], []
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            own = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends, wanted = np.cumsum(self.bytes[own]), np.cumsum([*map(len, part)])
+            edges = np.searchsorted(ends, wanted)
+            if len(own) and ends[-1] == wanted[-1] and (ends[np.minimum(edges, len(ends) - 1)] == wanted).all():
+                sizes.append(np.diff(edges, prepend=-1))
+            else:  # the vocabulary changes the text first
+                each = self.each([p.decode() for p in part])
+                own = np.frombuffer(b"".join(each), "<u4")
+                sizes.append(np.array([len(x) // 4 for x in each], np.int64))
+            ids.append(own)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
     def find(self, pieces: list[str]) -> list[bytes]:
-        safe = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()]
+        safe = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] in " \n" and not any(map(str.isspace, p[1:]))]
         rest = sorted({*range(len(pieces))}.difference(safe))
         out: list[bytes] = [b""] * len(pieces)
-        for i, ids in zip(rest, self._each([pieces[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, self.each([pieces[i] for i in rest]), strict=True):
             out[i] = ids
-        for at in range(0, len(safe), 20_000):
-            part = safe[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.bytes[ids])
-            wanted = np.cumsum([len(pieces[i].encode()) for i in part])
-            edges = np.searchsorted(ends, wanted)
-            if len(ids) and ends[-1] == wanted[-1] and (ends[np.minimum(edges, len(ends) - 1)] == wanted).all():
-                raw, cut = ids.tobytes(), [0, *(4 * (edges + 1)).tolist()]
-                for i, a, b in zip(part, cut, cut[1:], strict=False):
-                    out[i] = raw[a:b]
-            else:  # the vocabulary changes the text first
-                for i, own in zip(part, self._each([pieces[i] for i in part]), strict=True):
-                    out[i] = own
+        ids, sizes = self.spaced([pieces[i].encode() for i in safe])
+        raw, cut = ids.tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
+        for i, a, b in zip(safe, cut, cut[1:], strict=False):
+            out[i] = raw[a:b]
         return out
 
 
@@ -118,19 +127,37 @@ class TextEncoder:
     bits together, in sorted arrays (about 50 bytes for a word); other texts go by pieces (pieces.py).
     """
 
-    def __init__(self, vocabulary: str, most: int = 250_000):
-        self.library, self.most = _Library(vocabulary), most
+    def __init__(self, vocabulary: str, most: int = 200_000):
+        self.library, self.most = ByteLibrary(vocabulary), most
         self.pieces = PieceValues(self.library.find, most // 4)
         self._forget()
 
+    def _age(self) -> None:
+        """Forgets the words that weren't met again since they were learned or this was last done; all, if that leaves many."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > self.most // 2:
+            self._forget()
+            return
+        size = self.size[kept].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.at[kept] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.known, self.second, self.at, self.size = self.known[kept], self.second[kept], ends - size, self.size[kept]
+        self.again = np.zeros(len(kept), bool)
+
     def _forget(self) -> None:
         self.known, self.second, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
         self.ids, self.used = np.zeros(1 << 16, np.uint16 if len(self.library.bytes) <= 1 << 16 else np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, seconds: np.ndarray, words: list[str]) -> None:
-        values = self.library.find(words)
-        sizes = np.array([len(b) // 4 for b in values], np.int32)
-        ids = np.frombuffer(b"".join(values), "<u4")
+    def _learn(self, keys: np.ndarray, seconds: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> None:
+        """Learns the words raw[start:end]; of those spaced, with the byte before them."""
+        ids, sizes = self.library.spaced([raw[s:e] for s, e in zip((start[spaced] - 1).tolist(), end[spaced].tolist(), strict=True)])
+        alone = self.library.find([raw[s:e].decode() for s, e in zip(start[~spaced].tolist(), end[~spaced].tolist(), strict=True)])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(alone), "<u4")])
+        sizes = np.concatenate([sizes, np.array([len(b) // 4 for b in alone], np.int64)]).astype(np.int32)
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+        keys, seconds = keys[order], seconds[order]
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -140,24 +167,24 @@ class TextEncoder:
         order = np.argsort(whole, kind="stable")
         self.known, self.second = whole[order], np.concatenate([self.second, seconds])[order]
         self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(keys), bool)])[order]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of texts without white space but single blanks and line ends between words."""
         out = []
-        for first, last, words in word_blocks(pa.array(texts, pa.string())):
+        for first, last, words in word_blocks(pa.array(texts, pa.string()), wide=True):
             before = np.where(words.start > 0, words.raw[np.maximum(words.start - 1, 0)], 0).astype(np.uint64)
             before[words.first[:-1][words.first[:-1] < len(before)]] = 0  # nothing stands before a text's first word
-            keys, seconds, place, at = distinct_pairs(mix(words.hash + (before << np.uint64(56))), words.second())
-            lacking = np.flatnonzero(~found_pairs(self.known, self.second, keys, seconds)[0])
+            keys, seconds, place, at = distinct_pairs(mix(words.hash + (before << np.uint64(56))), words.second)
+            held, spot = found_pairs(self.known, self.second, keys, seconds)
+            self.again[spot[held]] = True
+            if len(self.known) + len(keys) - int(held.sum()) > self.most:
+                self._age()
+                held = found_pairs(self.known, self.second, keys, seconds)[0]
+            lacking = np.flatnonzero(~held)
             if len(lacking):
-                raw = words.raw.tobytes()
-                mark = ["" if b == 0 else chr(b) for b in before[place[lacking]].tolist()]
-                if len(self.known) + len(lacking) > self.most:
-                    self._forget()
-                    lacking = np.arange(len(keys))
-                    mark = ["" if b == 0 else chr(b) for b in before[place].tolist()]
-                spans = zip(words.start[place[lacking]].tolist(), words.end[place[lacking]].tolist(), strict=True)
-                self._learn(keys[lacking], seconds[lacking], [m + raw[s:e].decode() for m, (s, e) in zip(mark, spans, strict=True)])
+                new = place[lacking]
+                self._learn(keys[lacking], seconds[lacking], words.raw.tobytes(), words.start[new], words.end[new], before[new] > 0)
             spot = found_pairs(self.known, self.second, keys, seconds)[1]
             sizes, begin = self.size[spot][at].astype(np.int64), self.at[spot][at]
             ends = np.cumsum(sizes)
@@ -184,17 +211,18 @@ def _odd(text: str) -> bool:
     return len(words) != marks + 1 or sum(map(len, words)) + marks != len(text) if words else bool(text)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shards: int | None = None) -> None:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shards: int | None = None, remembered: int = 200_000) -> None:
     """Writes the ids of every whole text, each followed by end_id, in ascending doc_id order (null first, ties by text).
 
     vocabulary: path of a byte-level BPE file for the tokenizers library. A null text is empty: its end_id alone.
-    An empty table gives a table without blocks. Repeated rows are all written; other columns aren't read.
+    An empty table gives a table without blocks. Repeated rows are all written; other columns aren't read. remembered: words
+    whose ids a worker keeps, about 60 bytes each.
     Work: one range shuffle of the texts; a task holds a block and a batch at a time. Spark's committer makes a
     task that is run again replace its own files.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number, first = worker_held(("ids", vocabulary), lambda: TextEncoder(vocabulary)), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, number, first = worker_held(("ids", vocabulary, remembered), lambda: TextEncoder(vocabulary, remembered)), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
         size = 0

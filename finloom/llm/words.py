@@ -2,7 +2,7 @@
 
 A word is a run of bytes other than space and \\t \\n \\v \\f \\r; a null text has no words.
 Hashes have 64 bits and depend on the bytes alone, so that they agree between tasks and runs. Where a false match would
-change a result, second() gives 64 more.
+change a result, second has 64 more.
 """
 
 from __future__ import annotations
@@ -40,20 +40,29 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _HELD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def byte_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64 bits of the bytes raw[start:end] of each word: of every eight bytes, mixed with their place in the word before
-    they are added up, and of the length. Another seed gives another hash."""
+def byte_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """64 bits of the bytes raw[start:end] of each word, and 64 more if wide: sums of every eight bytes, mixed with their
+    place in the word before they are added up (weighed by place for the second), and the length."""
     size = end - start
-    blocks_ = np.maximum(1, -(-size // 8))
-    first = np.cumsum(blocks_) - blocks_
-    nth = np.arange(int(blocks_.sum())) - np.repeat(first, blocks_)
-    at = np.repeat(start, blocks_) + 8 * nth
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
-    value = eight[at] & _HELD[np.minimum(np.repeat(end, blocks_) - at, 8)]
     with np.errstate(over="ignore"):
-        mixed = mix(mix(value + np.uint64(seed)) ^ mix((nth.astype(np.uint64) + np.uint64(1 + seed)) * _STEP))
-        return mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * _STEP) if len(start) else np.zeros(0, np.uint64)
+        total = mix(eight[start] & _HELD[np.minimum(size, 8)] ^ _STEP)
+        other = total * _STEP if wide else None
+        longer = np.flatnonzero(size > 8)
+        if len(longer):
+            n = -(-size[longer] // 8) - 1
+            first = np.cumsum(n) - n
+            nth = np.arange(1, int(n.sum()) + 1) - np.repeat(first, n)
+            at = np.repeat(start[longer], n) + 8 * nth
+            value = eight[at] & _HELD[np.minimum(np.repeat(end[longer], n) - at, 8)]
+            place = mix(nth.astype(np.uint64) * _STEP)
+            mixed = mix(value ^ place)
+            total[longer] += np.add.reduceat(mixed, first)
+            if wide:
+                other[longer] += np.add.reduceat(mixed * (place | np.uint64(1)), first)
+        length = size.astype(np.uint64) * _STEP
+        return mix(total + length), mix(other ^ length) if wide else None
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +97,10 @@ class Words:
 
     start, end: byte positions in the block; first: index of each row's first word, with the end of the last row's;
     ends: where each row's text ends;
-    hash: 64 bits of each word's bytes.
+    hash: 64 bits of each word's bytes; second: another 64 bits, if wide.
     """
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, lower: bool = False, wide: bool = False):
         self.raw = _LOWER[raw] if lower else raw
         n = len(raw)
         inside = np.empty(n + 1, bool)
@@ -106,11 +115,7 @@ class Words:
         ends[last] = inside[last]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first, self.ends = np.searchsorted(self.start, starts), starts[1:]
-        self.hash = byte_hashes(self.raw, self.start, self.end)
-
-    def second(self) -> np.ndarray:
-        """Another 64 bits of each word's bytes, which don't follow from its hash."""
-        return byte_hashes(self.raw, self.start, self.end, 1)
+        self.hash, self.second = byte_hashes(self.raw, self.start, self.end, wide)
 
     def runs(self, size: int, hashes: np.ndarray | None = None) -> np.ndarray:
         """A hash of the size words from each word on, over row ends too; of hashes, if given, instead of hash."""
@@ -125,11 +130,11 @@ class Words:
         return mix(out)
 
 
-def word_blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, wide: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, last row, Words) for each block of a text column."""
     raw, starts = text_buffers(column)
     for a, b in blocks(starts):
-        yield a, b, Words(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], lower)
+        yield a, b, Words(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], lower, wide)
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int, lower: bool = True) -> Iterator[np.ndarray]:

@@ -25,8 +25,8 @@ def twins(n):
 
 @pytest.mark.parametrize("n", [1024, 2048, 4096])
 def test_twins_differ(n):
-    (_, _, words), = word_blocks(pa.array([" ".join(twins(n))]))
-    assert words.hash[0] != words.hash[1] and words.second()[0] != words.second()[1]
+    (_, _, words), = word_blocks(pa.array([" ".join(twins(n))]), wide=True)
+    assert words.hash[0] != words.hash[1] and words.second[0] != words.second[1]
 
 
 def test_bytes_alone_decide():
@@ -38,9 +38,9 @@ def test_bytes_alone_decide():
             of.setdefault(raw[s:e], set()).add(int(h))
     assert all(len(h) == 1 for h in of.values()) and len(set.union(*of.values())) == len(of)
     raw = np.frombuffer(b"0123456789abcdef" * 4, np.uint8)
-    a = byte_hashes(raw, np.array([0, 16, 3]), np.array([16, 32, 19]))
-    assert a[0] == a[1] != a[2] and byte_hashes(raw, np.array([0]), np.array([16]), 1)[0] != a[0]
-    assert len(byte_hashes(raw, np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+    a, b = byte_hashes(raw, np.array([0, 16, 3]), np.array([16, 32, 19]), True)
+    assert a[0] == a[1] != a[2] and b[0] == b[1] != b[2] and a[0] != b[0]
+    assert len(byte_hashes(raw, np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
 
 
 def test_pairs_of_numbers():
