@@ -12,8 +12,9 @@ places is aligned once and remembered.
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,18 @@ from .packed import ROWS, answered, found, layout, received, send
 from .pieces import cut_pieces
 from .storage import of_batches, of_group, of_groups, worker_held, written
 from .token_counts import byte_letters
+from .token_files import ByteLibrary
 
 #: Pieces that a Python worker remembers, about 500 bytes each; longer ones than so many characters aren't.
-REMEMBERED, LONGEST = 60_000, 200
+REMEMBERED, LONGEST = 120_000, 200
 #: Texts of a block: so many rows, or characters.
 BLOCK_ROWS, BLOCK_CHARS = 1_000, 1 << 20
 #: Links of a group that are expanded one by one; of more, those of distinct ids with their numbers.
 EXPANDED = 1 << 12
 
+#: A blank or line end and then no white space.
+_PLAIN = re.compile(r"[ \n]\S+\Z").match
+
 #: What stands for a blank in sentencepiece.
 BLANK = "▁"
 
@@ -80,19 +85,21 @@ class Aligner:
     """Alignments of texts, piece by piece."""
 
     def __init__(self, byte_file: str, piece_model: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_file)
-        self.a.encode_special_tokens = True
+        self.a = ByteLibrary(byte_file)
+        tokenizer = self.a.tokenizer
+        tokenizer.encode_special_tokens = True
         of = {letter: b for b, letter in enumerate(byte_letters())}
-        held = self.a.get_vocab(with_added_tokens=True)
-        added = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
+        held = tokenizer.get_vocab(with_added_tokens=True)
+        added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.a_bytes = {i: added[i].encode() if i in added else bytes(of[c] for c in t) for t, i in held.items()}
         self.b = SentencePieceProcessor(model_file=piece_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)}
+        self.a_size, self.b_size = (np.array([len(of.get(i, b"")) for i in range(max(of, default=0) + 1)], np.int64) for of in (self.a_bytes, self.b_bytes))
+        # each id in decimals with the mark after it: of A inside and at the end of its part of a group, of B the same
+        self.a_said, self.b_said = ([np.array([f"{i}{mark}" for i in range(n)], object) for mark in marks] for n, marks in ((len(self.a_size), ",|"), (len(self.b_size), ",;")))
         self._forget()
 
     def _forget(self) -> None:
@@ -100,41 +107,62 @@ class Aligner:
         self.groups: list[str | None] = []
         self.numbers = np.zeros((0, 4), np.int64)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.keys, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.times, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def _ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of pieces, each of which starts with a blank or a line end."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _ids(self, plain: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's and B's ids of pieces, each of which starts with a blank or a line end, and how many each piece has. plain: those
+        without further white space."""
+        a, n_of_a = self.a.spaced([p.encode("utf-8", "surrogatepass") for p in plain])
+        other, n_of_other = _flat([np.frombuffer(x, "<u4") for x in self.a.each(rest)])
         # B puts a blank before what it is given, which no line end joins
-        b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        return a, [ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, b, strict=True)]
+        pieces = plain + rest
+        b, n_of_b = _flat(self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1))
+        own = np.array([p[0] != " " for p in pieces], bool)
+        if own.any():
+            kept = np.ones(len(b), bool)
+            kept[(np.cumsum(n_of_b) - n_of_b)[own]] = False
+            b, n_of_b = b[kept], n_of_b - own
+        return np.concatenate([a.astype(np.int64), other]), np.concatenate([n_of_a, n_of_other]), b, n_of_b
 
     def learn(self, pieces: list[str]) -> None:
         """Aligns pieces; of one whose tokens' bytes aren't its own, groups has None."""
-        a, b = self._ids(pieces)
-        right = [i for i, p in enumerate(pieces) if b"".join([self.a_bytes[x] for x in a[i]]) == (raw := p.encode("utf-8", "surrogatepass")) == b"".join([self.b_bytes[x] for x in b[i]])]
+        plain = [p for p in pieces if _PLAIN(p)]
+        rest = [p for p in pieces if not _PLAIN(p)] if len(plain) < len(pieces) else []
+        pieces = plain + rest
+        flat_a, n_of_a, flat_b, n_of_b = self._ids(plain, rest)
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        sums = lambda values, n: np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(n)])])
+        same = (sums(self.a_size[flat_a], n_of_a) == size) & (sums(self.b_size[flat_b], n_of_b) == size)
+        whole = b"".join(raw)
+        if not same.all() or b"".join(map(self.a_bytes.__getitem__, flat_a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, flat_b.tolist())) != whole:
+            each = zip(np.split(flat_a, np.cumsum(n_of_a)[:-1]), np.split(flat_b, np.cumsum(n_of_b)[:-1]), raw, strict=True)
+            same &= np.array([b"".join([self.a_bytes[x] for x in p.tolist()]) == r == b"".join([self.b_bytes[x] for x in q.tolist()]) for p, q, r in each], bool)
+        flat_a, flat_b = flat_a[np.repeat(same, n_of_a)], flat_b[np.repeat(same, n_of_b)]
+        right = np.flatnonzero(same)
         groups: list[str | None] = [None] * len(pieces)
         numbers, size = np.zeros((len(pieces), 4), np.int64), np.zeros(len(pieces), np.int64)
         keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if right:
-            flat_a, flat_b = np.array([x for i in right for x in a[i]], np.int64), np.array([x for i in right for x in b[i]], np.int64)
-            end_a, end_b = np.cumsum([len(self.a_bytes[x]) for x in flat_a.tolist()]), np.cumsum([len(self.b_bytes[x]) for x in flat_b.tolist()])
+        if len(right):
+            end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
             bits_a, bits_b = (Bits.of(e - 1, int(end_a[-1])) for e in (end_a, end_b))
             cuts = (bits_a & bits_b).select()
             to_a, to_b = bits_a.rank(cuts), bits_b.rank(cuts)
             from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
             # every piece ends in a shared cut
-            piece_end = np.cumsum([len(a[i]) for i in right])
-            owner = np.searchsorted(piece_end, from_a, "right")
+            owner = np.searchsorted(np.cumsum(n_of_a[right]), from_a, "right")
             n_a, n_b = to_a - from_a, to_b - from_b
             n_groups = np.bincount(owner, minlength=len(right))
             numbers[right] = np.stack([np.bincount(owner, n_a, len(right)), np.bincount(owner, n_b, len(right)), n_groups, np.bincount(owner, n_a * n_b, len(right))], 1).astype(np.int64)
-            text_a, text_b = [*map(str, flat_a.tolist())], [*map(str, flat_b.tolist())]
-            said = [",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s]) for p, q, r, s in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True)]
-            at = 0
-            for i, n in zip(right, n_groups.tolist(), strict=True):
-                groups[i] = ";".join(said[at : at + n])
-                at += n
+            said = np.empty(len(flat_a) + len(flat_b), object)
+            for flat, n, at, ends, words in ((flat_a, n_a, from_b, to_a, self.a_said), (flat_b, n_b, to_a, to_b, self.b_said)):
+                own = words[0][flat]
+                own[ends - 1] = words[1][flat[ends - 1]]
+                said[np.arange(len(flat)) + np.repeat(at, n)] = own
+            said = said.tolist()
+            cut = [0, *np.cumsum(numbers[right, 0] + numbers[right, 1]).tolist()]
+            for i, p, q in zip(right.tolist(), cut, cut[1:], strict=False):
+                groups[i] = "".join(said[p:q])[:-1]
             who, keys, times = self._links(owner, flat_a, flat_b, from_a, n_a, from_b, n_b)
             size[right] = np.bincount(who, minlength=len(right))
         self.known.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True))
@@ -165,29 +193,54 @@ class Aligner:
         order = np.argsort(who, kind="stable")
         return who[order], keys[order], times[order]
 
-    def places(self, texts: list[str]) -> list[list[int]]:
-        """Of each text its pieces' places in the tables, which hold until places() is called again."""
-        if len(self.known) > REMEMBERED or len(self.groups) > 2 * REMEMBERED:
-            self._forget()
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all texts' pieces in the tables, which hold until places() is called again, and how many each has."""
+        if len(self.groups) > REMEMBERED:
+            self._age()
         cut = [cut_pieces(" " + t) if t else [] for t in texts]
-        fresh = {p for pieces in cut for p in pieces}.difference(self.known)
+        known, before = self.known, len(self.groups)
+        fresh = {p for pieces in cut for p in pieces}.difference(known)
         if fresh:
-            self.learn(sorted(fresh))
-        out = [[*map(self.known.__getitem__, pieces)] for pieces in cut]
+            self.learn([*fresh])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        self.again = np.concatenate([self.again, np.zeros(len(self.groups) - len(self.again), bool)])
+        self.again[flat[flat < before]] = True
         for p in fresh:
             if len(p) > LONGEST:
-                del self.known[p]
-        return out
+                del known[p]
+        return flat, n
+
+    def _age(self) -> None:
+        """Forgets the pieces that weren't met again since they were learned or this was last done; all, if that leaves many."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > REMEMBERED // 2:
+            self._forget()
+            return
+        place = np.full(len(self.groups), -1)
+        place[kept] = np.arange(len(kept))
+        self.known = {p: to for p, i in self.known.items() if (to := int(place[i])) >= 0}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        size = self.size[kept]
+        link = np.repeat(self.first[kept] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.numbers, self.first, self.size = self.numbers[kept], np.cumsum(size) - size, size
+        self.keys, self.times, self.again = self.keys[link], self.times[link], np.zeros(len(kept), bool)
+
+
+def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of lists, and how many each has."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
 class _Block:
     """The alignments of a few texts: numbers, digests, and each one's distinct pairs by their place among the block's."""
 
     def __init__(self, aligner: Aligner, texts: list[str], whole: bool):
-        places = aligner.places(texts)
-        n = [len(p) for p in places]
-        row, flat = np.repeat(np.arange(len(texts)), n), np.fromiter((x for p in places for x in p), np.int64, sum(n))
-        said = [[aligner.groups[x] for x in p] for p in places]
+        flat, n = aligner.places(texts)
+        row, every = np.repeat(np.arange(len(texts)), n), [*map(aligner.groups.__getitem__, flat.tolist())]
+        cut = [0, *np.cumsum(n).tolist()]
+        said = [every[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         void = np.array([None in s for s in said], bool)
         row, flat = row[~void[row]], flat[~void[row]]
         self.numbers = np.stack([np.bincount(row, aligner.numbers[flat, k], len(texts)) for k in range(4)]).astype(np.int64)
