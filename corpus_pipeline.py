@@ -56,9 +56,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each row of docs, read back from the token files written of them."""
+    """doc_id, start, n_tokens and ids_crc32 of each row of docs, read back from the token files written of them. Workers
+    remember few words: at the end of the pipeline executors have little memory left."""
     small_batches(spark)
-    return token_file_digest(docs)
+    return token_file_digest(docs, 100_000)
 
 
 STAGES = [("language id", languages), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_passages), ("mixing sources", mixture), ("token files", token_ids)]
