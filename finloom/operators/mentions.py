@@ -1,14 +1,18 @@
 """Names of a large list in texts, and chunks of text round sentences that may speak of relations.
 
 Names are found as one alternation of all of them would, longest first: at the leftmost place the longest name, then on
-after its end. A name's first word (up to white space) is looked up among the substrings of the corpus's distinct words, a
-join of strings; so no list and no automaton is held whole anywhere, and a word is looked into once however often it stands.
+after its end. Texts are cut into blocks; the first letters at each place of a block are looked up among the first letters of
+names, a join in which only the names move, so many at once as fit a task, and what is found is compared with the place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ RELATION_WORDS = (
     "발주", "협력사", "벤더", "조달", "경쟁사", "경쟁업체", "경쟁회사", "OEM", "ODM",
 )
 AROUND, MOST_CHARS, SHORTEST = 2, 1500, 2
+#: Letters of a block; letters of a name that are looked up; names that are sent to the tasks at once.
+BLOCK, LOOKED_UP, NAMES_AT_ONCE = 128, 4, 100_000
 
 
 def sentence_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -38,44 +44,51 @@ def names_in_texts(texts: DataFrame, keys: Sequence[str], text: str, names: Data
     several there the longest. Letters count as they are; names are trimmed, null ones and those shorter than SHORTEST
     don't count. Null texts have none.
 
-    Work: distinct words of all texts with their substrings of the lengths that first words of names have; the lengths, a
-    number or so for each, come to the driver.
+    Work: each place of a text with its first SHORTEST to LOOKED_UP letters, looked up among those of names; only names
+    that are found are shuffled. The lengths of names, a number or so for each, come to the driver.
     """
-    words = texts.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(F.col(text), r"\s", -1)).alias("_w", "_word"))
-    before = F.sum(F.length("_word") + 1).over(Window.partitionBy(*keys).orderBy("_w")) - F.length("_word") - 1
-    words = words.withColumn("_at", before.cast("int")).where(F.length("_word") > 0).drop("_w")
     listed = names.select(F.regexp_replace(name, r"^\s+|\s+$", "").alias("name")).where(F.length("name") >= SHORTEST).distinct()
-    listed = listed.withColumn("_first", F.get(F.split("name", r"\s", 2), F.lit(0))).withColumn("_more", F.length("name") > F.length("_first"))
-    firsts = listed.select("_first").distinct()
-    lengths = sorted(r[0] for r in firsts.select(F.length("_first")).distinct().collect())
-    cut = lambda size: F.transform(F.sequence(F.lit(1), F.length("_word") - size + 1), lambda s: F.struct(s.alias("start"), F.substr("_word", s, F.lit(size)).alias("_first")))
-    held = F.flatten(F.array(*(F.when(F.length("_word") >= n, cut(n)).otherwise(F.array().cast("array<struct<start:int,_first:string>>")) for n in lengths)) if lengths else F.array(F.array().cast("array<struct<start:int,_first:string>>")))
-    hits = words.select("_word").distinct().select("_word", F.inline(held)).join(firsts, "_first").join(listed, "_first")
-    hits = hits.where(~F.col("_more") | (F.col("start") + F.length("_first") - 1 == F.length("_word"))).select("_word", F.col("start").alias("_start"), "name", "_more")
-    found = words.join(hits, "_word").select(*keys, (F.col("_at") + F.col("_start") - 1).alias("at"), "name", "_more")
-    longer = found.where("_more").join(texts.select(*keys, F.col(text).alias("_text")), [*keys])
-    longer = longer.where(F.expr("substr(_text, at + 1, length(name)) = name")).select(*keys, "at", "name")
-    every = found.where("NOT _more").select(*keys, "at", "name").unionByName(longer)
-    longest = every.groupBy(*keys, "at").agg(F.max_by("name", F.length("name")).alias("name"))
-    return _apart(longest, keys)
+    sizes = {r["n"]: r["count"] for r in listed.groupBy(F.length("name").alias("n")).count().collect()}
+    most, parts = max(sizes, default=SHORTEST), -(-sum(sizes.values()) // NAMES_AT_ONCE) or 1
+    begins = sorted({min(n, LOOKED_UP) for n in sizes} or {SHORTEST})
+    listed = listed.withColumn("_begin", F.substring("name", 1, LOOKED_UP))
+    # blocks, each with the beginning of the next one, so that no letter is looked for far inside a text
+    size = max(BLOCK, most)
+    blocks = texts.where(F.col(text).isNotNull()).select(*keys, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_b"))
+    blocks = blocks.select(*keys, "_b", F.posexplode("_b").alias("_i", "_block"))
+    blocks = blocks.select(*keys, "_i", F.length("_block").alias("_n"), F.concat("_block", F.coalesce(F.substring(F.get("_b", F.col("_i") + 1), 1, most - 1), F.lit(""))).alias("_text")).repartition(*keys, "_i")  # a long text's blocks, and a file's texts, go to many tasks
+    places = blocks.select(*keys, "_i", "_text", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_s"))
+    places = places.select(*keys, "_i", "_s", F.substring("_text", F.col("_s"), F.lit(most)).alias("_here"))
+    places = places.select(*keys, "_i", "_s", "_here", F.explode(F.array(*(F.substring("_here", 1, n) for n in begins))).alias("_begin"))
+    found = [places.join(F.broadcast(listed.where(F.pmod(F.hash("name"), F.lit(parts)) == part)), "_begin").where(F.col("_here").startswith(F.col("name"))) for part in range(parts)]
+    every = reduce(DataFrame.unionByName, (f.select(*keys, (F.col("_i") * size + F.col("_s") - 1).alias("at"), "name") for f in found))
+    return _apart(every, keys)
 
 
 def _apart(found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """found without what begins inside a kept one before it, from left to right. Only runs of overlaps are folded."""
-    by = Window.partitionBy(*keys).orderBy("at")
-    end = F.col("at") + F.length("name")
-    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    runs = found.withColumn("_run", F.sum(F.when(F.col("at") < reach, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    lists = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("_l"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,name:string>>").alias("kept"))
-
-    def add(state: Column, x: Column) -> Column:
-        more = F.struct((x["at"] + F.length(x["name"])).alias("end"), F.concat(state["kept"], F.array(x)).alias("kept"))
-        return F.when(x["at"] >= state["end"], more).otherwise(state)
-
-    folded = F.aggregate("_l", start, add, lambda s: s["kept"])
-    kept = F.when(F.size("_l") == 1, F.col("_l")).otherwise(folded)
-    return lists.select(*keys, F.inline(kept))
+    """found without what begins inside a kept one before it, from left to right, the longest of a place first; what is found
+    twice is found once. A pass over sorted rows that remembers one end."""
+    rows = found.withColumn("_size", F.length("name")).repartition(*keys).sortWithinPartitions(*keys, "at", F.desc("_size"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, end = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            new[0] = before != (before := [batch.column(k)[0].as_py() for k in keys])
+            for k in keys:
+                a, b = batch.column(k)[1:], batch.column(k)[:-1]
+                other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+                new[1:] |= other.to_numpy(zero_copy_only=False)
+            before, keep = [batch.column(k)[-1].as_py() for k in keys], []
+            for first, at, size in zip(new.tolist(), batch.column("at").to_pylist(), batch.column("_size").to_pylist(), strict=True):
+                keep.append(first or at >= end)
+                if keep[-1]:
+                    end = at + size
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(kept, rows.schema).drop("_size")
 
 
 def candidates(docs: DataFrame, key: str, text: str, names: DataFrame, name: str, own: DataFrame, words: Sequence[str] = RELATION_WORDS) -> DataFrame:
