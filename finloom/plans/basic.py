@@ -120,7 +120,7 @@ def value_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH p AS ({PRICES_SQL})
-SELECT user_id, day, round(close / lag(close) OVER (PARTITION BY user_id ORDER BY day) * 100 - 100, 6) AS change FROM p""")
+SELECT user_id, day, round(close / nullif(lag(close) OVER (PARTITION BY user_id ORDER BY day), 0) * 100 - 100, 6) AS change FROM p""")
 def daily_returns(spark: SparkSession, d: str) -> DataFrame:
     return E.daily_returns(prices(spark, d), "user_id", "day", "close").select("user_id", "day", F.round("change", 6).alias("change"))
 
