@@ -129,7 +129,7 @@ STUDY_SQL = f"""
 WITH p AS ({PRICES_SQL}), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM p),
 e AS (SELECT user_id, event_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error'),
 b AS (SELECT e.user_id, event_id, min(day) AS base_day FROM e JOIN i ON i.user_id = e.user_id AND day > d AND day <= d + INTERVAL 7 DAY GROUP BY 1, 2),
-s AS (SELECT b.user_id, event_id, base_day, z.day AS end_day, z.close / a.close * 100 - 100 AS change
+s AS (SELECT b.user_id, event_id, base_day, z.day AS end_day, z.close / nullif(a.close, 0) * 100 - 100 AS change
       FROM b JOIN i a ON a.user_id = b.user_id AND a.day = base_day JOIN i z ON z.user_id = b.user_id AND z.i = a.i + 5)"""
 
 

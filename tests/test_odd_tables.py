@@ -33,3 +33,7 @@ def test_daily_returns_against_zero(spark, prices):
     assert differences(catalog.QUERIES["daily_returns"](spark, folder), con, catalog.ORACLES["daily_returns"]) == []
 
 
+@pytest.mark.parametrize("name", ["event_study", "label_summary", "label_purity"])
+def test_studies_of_a_base_of_zero(spark, prices, name):
+    folder, con = prices
+    assert differences(catalog.QUERIES[name](spark, folder), con, catalog.ORACLES[name]) == []
