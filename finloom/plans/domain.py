@@ -293,9 +293,9 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return split.select("doc_id", F.size("s").alias("sentences"), F.size(F.filter("s", lambda x: x.rlike("[0-9]"))).alias("candidates"))
 
 
-@query(SPLIT_SQL + """, h AS (SELECT doc_id, len(s) AS n, unnest(list_filter(range(len(s)), lambda i: f[i + 1])) AS i FROM f), w AS (SELECT doc_id, greatest(i - 2, 0) AS a, least(i + 2, n - 1) AS b FROM h),
-g AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM w),
-k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM g)
+@query(SPLIT_SQL + """, h AS (SELECT doc_id, len(s) AS n, unnest(list_filter(range(len(s)), lambda i: f[i + 1])) AS i FROM f), w AS (SELECT doc_id, i, greatest(i - 2, 0) AS a, least(i + 2, n - 1) AS b FROM h),
+g AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM w),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT doc_id, CAST(min(a) AS INTEGER) AS first, CAST(max(b) AS INTEGER) AS last FROM k GROUP BY doc_id, k""")
 def candidate_windows(spark: SparkSession, d: str) -> DataFrame:
     split = table(spark, d, "documents").select("doc_id", C.sentences("text").alias("s")).where(F.size("s") > 0)

@@ -37,3 +37,11 @@ def test_daily_returns_against_zero(spark, prices):
 def test_studies_of_a_base_of_zero(spark, prices, name):
     folder, con = prices
     assert differences(catalog.QUERIES[name](spark, folder), con, catalog.ORACLES[name]) == []
+
+
+def test_windows_of_short_texts():
+    """Texts of two and three sentences have equal windows: whatever their order, they are one."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT i AS doc_id, ['1. 2. 3', '4. 5'][i % 2 + 1] AS text FROM range(300000) t(i)")
+    found = con.execute(f"SELECT count(*), min(first), max(first), sum(last) FROM ({catalog.ORACLES['candidate_windows']})").fetchone()
+    assert found == (300_000, 0, 0, 450_000)
