@@ -10,8 +10,8 @@ from ..functions.numbers import cagr, grade, peer_score, ratio, rounded
 from .earnings import dividend_score, mean_of_available
 from .peers import profiles, with_profile
 
-#: The metrics that are scored among peers, all better high, and the yield's share in the first module.
-METRICS, YIELD_SHARE = ("dividend_yield", "roe", "capital", "income", "growth"), 0.7
+#: The metrics that are scored among peers, all better high, the yield's share in the first module and continuity's.
+METRICS, YIELD_SHARE, REST = ("dividend_yield", "roe", "capital", "income", "growth"), 0.7, 0.3
 
 
 def recent_mean(rows: DataFrame, key: str, year: str, value: str, last: int = 3) -> DataFrame:
@@ -64,13 +64,13 @@ def financial_scores(inputs: DataFrame, fewest_own: int = 20, fewest_all: int =
     rows = with_profile(each, wanted, "metric", fits.where(own), ["corp"])
     score = peer_score("value", F.col("profile"))
     wide = rows.groupBy("corp").agg(*(F.max(F.when(F.col("metric") == m, score)).alias(f"_{m}") for m in METRICS))
-    paid = blended(F.col("_dividend_yield"), F.col("continuity"), YIELD_SHARE)
+    paid = blended(F.col("_dividend_yield"), F.col("continuity"), YIELD_SHARE, REST)
     scored = inputs.select("corp", "kind", "continuity").join(wide, "corp").select("corp", "kind", rounded(paid, 1).alias("f1"), *(F.col(f"_{m}").alias(f"f{i}") for i, m in enumerate(METRICS[1:], 2)))
     names = [f"f{i}" for i in range(1, 6)]
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in names))), ",")
     return scored.withColumn("total", mean_of_available([F.col(n) for n in names])).withColumn("grade", grade("total")).withColumn("missing", missing)
 
 
-def blended(first: Column, second: Column, share: float = 0.7) -> Column:
-    """share of first and the rest of second; whichever there is if one is null."""
-    return F.coalesce(first * share + second * (1 - share), first, second)
+def blended(first: Column, second: Column, share: float = 0.7, rest: float = 0.3) -> Column:
+    """share of first and rest of second; whichever there is if one is null. rest is given, as 1 - 0.7 isn't 0.3."""
+    return F.coalesce(first * share + second * rest, first, second)

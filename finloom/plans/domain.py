@@ -126,7 +126,7 @@ s AS (SELECT corp, metric, {rounded_sql(f"min_by({_interpolated(True)}, pos)", 1
 d AS (SELECT corp, greatest(dps, 0) AS dps, year, lag(greatest(dps, 0)) OVER (PARTITION BY corp ORDER BY year) AS d0 FROM y WHERE b <= 3),
 c AS (SELECT corp, CASE WHEN count(*) FILTER (WHERE dps > 0) = 0 THEN 0 ELSE greatest(0, least(100, CASE count(*) FILTER (WHERE dps > 0) WHEN 3 THEN 75 WHEN 2 THEN 60 ELSE 35 END - 20 * count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) + 7.5 * count(*) FILTER (WHERE dps > d0 * 1.05) + CASE WHEN min(dps) > 0 AND count(*) FILTER (WHERE d0 > 0 AND dps < d0 * 0.9) = 0 THEN 10 ELSE 0 END)) END AS dc FROM d GROUP BY 1),
 f AS (SELECT l.corp, any_value(kind) AS kind, any_value(dc) AS dc, max(score) FILTER (WHERE metric = 'dividend_yield') AS fy, max(score) FILTER (WHERE metric = 'roe') AS f2, max(score) FILTER (WHERE metric = 'capital') AS f3, max(score) FILTER (WHERE metric = 'income') AS f4, max(score) FILTER (WHERE metric = 'growth') AS f5 FROM l LEFT JOIN s ON s.corp = l.corp LEFT JOIN c ON c.corp = l.corp GROUP BY 1),
-z AS (SELECT *, {rounded_sql("coalesce(fy * 0.7 + dc * 0.3, fy, dc)", 1)} AS f1 FROM f), t AS (SELECT *, {rounded_sql("list_avg(list_filter([f1, f2, f3, f4, f5], lambda z: z IS NOT NULL))", 1)} AS total FROM z)
+z AS (SELECT *, {rounded_sql("coalesce(fy * 0.7 + CAST(dc AS DOUBLE) * 0.3, fy, dc)", 1)} AS f1 FROM f), t AS (SELECT *, {rounded_sql("list_avg(list_filter([f1, f2, f3, f4, f5], lambda z: z IS NOT NULL))", 1)} AS total FROM z)
 SELECT corp, kind, CAST(f1 AS DOUBLE) AS f1, f2, f3, f4, f5, total, CASE WHEN total IS NULL THEN NULL WHEN total >= 75 THEN 'A' WHEN total >= 60 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 25 THEN 'D' ELSE 'F' END AS grade,
   array_to_string(list_filter([CASE WHEN f1 IS NULL THEN 'f1' END, CASE WHEN f2 IS NULL THEN 'f2' END, CASE WHEN f3 IS NULL THEN 'f3' END, CASE WHEN f4 IS NULL THEN 'f4' END, CASE WHEN f5 IS NULL THEN 'f5' END], lambda z: z IS NOT NULL), ',') AS missing FROM t""")
 def financial_scores(spark: SparkSession, d: str) -> DataFrame:
