@@ -29,9 +29,14 @@ def query(sql: str | None = None):
 SENTENCES_SQL = r"SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS l FROM documents)"
 
 
+def spread(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and text of documents, by doc_id on all tasks: a file of one row group is read by one, which would search all
+    of its texts; rows that are cut out of them lie together by document then, and aren't shuffled again."""
+    return table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\. ", -1).alias("l"))
-    return docs
+    return spread(spark, d).select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\. ", -1).alias("l"))
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +152,7 @@ k AS (SELECT doc_id, b, e, 1 AS p, 1 AS q, e[1] - b[1] AS t FROM r UNION ALL
 o AS (SELECT doc_id, b[p] AS start, least(max(e[q]), b[p] + 300) AS "end" FROM k GROUP BY doc_id, b[p])
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS seq, start, "end", md5(substr(text, CAST(start + 1 AS BIGINT), CAST("end" - start AS BIGINT))) AS text_md5 FROM o JOIN documents USING (doc_id)""")
 def named_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs, names = table(spark, d, "documents").select("doc_id", "text"), corpus_names(spark, d)
+    docs, names = spread(spark, d), corpus_names(spark, d)
     rows = M.candidates(docs, "doc_id", "text", names, "name", names, GATE)
     return M.chunks_of(docs, "doc_id", "text", rows, most=300).select("doc_id", "seq", "start", "end", F.md5("text").alias("text_md5"))
 

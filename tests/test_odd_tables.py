@@ -45,3 +45,10 @@ def test_windows_of_short_texts():
     con.execute("CREATE VIEW documents AS SELECT i AS doc_id, ['1. 2. 3', '4. 5'][i % 2 + 1] AS text FROM range(300000) t(i)")
     found = con.execute(f"SELECT count(*), min(first), max(first), sum(last) FROM ({catalog.ORACLES['candidate_windows']})").fetchone()
     assert found == (300_000, 0, 0, 450_000)
+
+
+@pytest.mark.parametrize("name", ["filing_notes", "section_health", "body_notes", "named_chunks"])
+def test_texts_of_one_file_go_to_many_tasks(spark, name):
+    """Texts are shuffled by document before they are searched, not in the one task that reads a file of one row group."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
