@@ -1,20 +1,19 @@
 """Names of a large list in texts, and chunks of text round sentences that may speak of relations.
 
 Names are found as one alternation of all of them would, longest first: at the leftmost place the longest name, then on
-after its end. Texts are cut into blocks; the first letters at each place of a block are looked up among the first letters of
-names, a join in which only the names move, so many at once as fit a task, and what is found is compared with the place.
+after its end. Only the names move, so many at once as fit a task: each text is passed over where it lies, its letters
+looked up among the beginnings of names, and what is found stays beside it in its row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
 from .notes import cut_at
 
@@ -26,8 +25,8 @@ RELATION_WORDS = (
     "발주", "협력사", "벤더", "조달", "경쟁사", "경쟁업체", "경쟁회사", "OEM", "ODM",
 )
 AROUND, MOST_CHARS, SHORTEST = 2, 1500, 2
-#: Letters of a block; letters of a name that are looked up; names that are sent to the tasks at once.
-BLOCK, LOOKED_UP, NAMES_AT_ONCE = 128, 4, 100_000
+#: Names that are sent to the tasks at once; rows, and letters of texts, that are passed over before what they hold is handed on.
+NAMES_AT_ONCE, ROWS, LETTERS = 100_000, 500, 1 << 20
 
 
 def sentence_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -39,56 +38,97 @@ def sentence_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, (F.row_number().over(by) - 1).alias("i"), (F.col("end") - F.length("part")).alias("start"), "end", F.col("part").alias("sentence"))
 
 
-def names_in_texts(texts: DataFrame, keys: Sequence[str], text: str, names: DataFrame, name: str) -> DataFrame:
-    """keys, at (characters before it) and name of each name found in a text, none overlapping another: the leftmost, of
-    several there the longest. Letters count as they are; names are trimmed, null ones and those shorter than SHORTEST
-    don't count. Null texts have none.
-
-    Work: each place of a text with its first SHORTEST to LOOKED_UP letters, looked up among those of names; only names
-    that are found are shuffled. The lengths of names, a number or so for each, come to the driver.
+class _Names:
+    """The longest of some names at a place of a text, found by the two letters there and the lengths of names that begin so."""
+
+    def __init__(self, names: list[str]):
+        self.held, sizes = {*names}, {}
+        for n in self.held:
+            sizes.setdefault(n[:SHORTEST], set()).add(len(n))
+        self.sizes = {b: sorted(s, reverse=True) for b, s in sizes.items()}
+
+    def longest(self, text: str, at: int) -> int:
+        for n in self.sizes.get(text[at : at + SHORTEST], ()):
+            if text[at : at + n] in self.held and at + n <= len(text):
+                return n
+        return 0
+
+    def every(self, text: str, before: bytes | None) -> bytes:
+        """The longest at each place, 4 bytes each; before: what other names have there."""
+        own = np.fromiter((self.longest(text, i) for i in range(len(text))), "<i4", len(text))
+        return (own if before is None else np.maximum(own, np.frombuffer(before, "<i4"))).tobytes()
+
+    def leftmost(self, text: str, before: bytes | None) -> Iterator[dict]:
+        """at and name from left to right, none beginning inside another."""
+        others, at, last = None if before is None else np.frombuffer(before, "<i4").tolist(), 0, len(text) - SHORTEST
+        sizes, held = self.sizes.get, self.held
+        while at <= last:
+            size = others[at] if others else 0
+            for n in sizes(text[at : at + SHORTEST], ()):
+                if n <= size:
+                    break
+                if text[at : at + n] in held and at + n <= len(text):
+                    size = n
+                    break
+            if size:
+                yield {"at": at, "name": text[at : at + size]}
+            at += size or 1
+
+
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """batch in parts of ROWS rows and LETTERS letters at most, but for longer texts, which are alone."""
+    first, size = 0, 0
+    for i, t in enumerate(batch.column(text)):
+        n = len(t.as_py() or "")
+        if i > first and (i - first >= ROWS or size + n > LETTERS):
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
+def with_names(rows: DataFrame, text: str, names: DataFrame, name: str, found: str = "found") -> DataFrame:
+    """rows with found: at (characters before it) and name of each name in a text, from left to right, none overlapping
+    another: the leftmost, of several there the longest. Letters count as they are; names are trimmed, null ones and those
+    shorter than SHORTEST don't count. Null texts have none.
+
+    Work: one pass over each text where it lies, for each NAMES_AT_ONCE names; nothing but names moves. All but the last pass
+    leave the length of the longest name at each place beside the text, 4 bytes a letter.
     """
+    spark = rows.sparkSession
     listed = names.select(F.regexp_replace(name, r"^\s+|\s+$", "").alias("name")).where(F.length("name") >= SHORTEST).distinct()
-    sizes = {r["n"]: r["count"] for r in listed.groupBy(F.length("name").alias("n")).count().collect()}
-    most, parts = max(sizes, default=SHORTEST), -(-sum(sizes.values()) // NAMES_AT_ONCE) or 1
-    begins = sorted({min(n, LOOKED_UP) for n in sizes} or {SHORTEST})
-    listed = listed.withColumn("_begin", F.substring("name", 1, LOOKED_UP))
-    # blocks, each with the beginning of the next one, so that no letter is looked for far inside a text
-    size = max(BLOCK, most)
-    blocks = texts.where(F.col(text).isNotNull()).select(*keys, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_b"))
-    blocks = blocks.select(*keys, "_b", F.posexplode("_b").alias("_i", "_block"))
-    blocks = blocks.select(*keys, "_i", F.length("_block").alias("_n"), F.concat("_block", F.coalesce(F.substring(F.get("_b", F.col("_i") + 1), 1, most - 1), F.lit(""))).alias("_text")).repartition(*keys, "_i")  # a long text's blocks, and a file's texts, go to many tasks
-    places = blocks.select(*keys, "_i", "_text", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_s"))
-    places = places.select(*keys, "_i", "_s", F.substring("_text", F.col("_s"), F.lit(most)).alias("_here"))
-    places = places.select(*keys, "_i", "_s", "_here", F.explode(F.array(*(F.substring("_here", 1, n) for n in begins))).alias("_begin"))
-    found = [places.join(F.broadcast(listed.where(F.pmod(F.hash("name"), F.lit(parts)) == part)), "_begin").where(F.col("_here").startswith(F.col("name"))) for part in range(parts)]
-    every = reduce(DataFrame.unionByName, (f.select(*keys, (F.col("_i") * size + F.col("_s") - 1).alias("at"), "name") for f in found))
-    return _apart(every, keys)
-
-
-def _apart(found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """found without what begins inside a kept one before it, from left to right, the longest of a place first; what is found
-    twice is found once. A pass over sorted rows that remembers one end."""
-    rows = found.withColumn("_size", F.length("name")).repartition(*keys).sortWithinPartitions(*keys, "at", F.desc("_size"))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, end = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.zeros(batch.num_rows, dtype=bool)
-            new[0] = before != (before := [batch.column(k)[0].as_py() for k in keys])
-            for k in keys:
-                a, b = batch.column(k)[1:], batch.column(k)[:-1]
-                other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-                new[1:] |= other.to_numpy(zero_copy_only=False)
-            before, keep = [batch.column(k)[-1].as_py() for k in keys], []
-            for first, at, size in zip(new.tolist(), batch.column("at").to_pylist(), batch.column("_size").to_pylist(), strict=True):
-                keep.append(first or at >= end)
-                if keep[-1]:
-                    end = at + size
-            yield batch.filter(pa.array(keep))
-
-    return rows.mapInArrow(kept, rows.schema).drop("_size")
+    parts = -(-listed.count() // NAMES_AT_ONCE) or 1
+    sizes = "_sizes_" + found
+
+    def passed(rows: DataFrame, part: int) -> DataFrame:
+        own = listed.where(F.pmod(F.hash("name"), F.lit(parts)) == part)
+        sent, last, before = spark.sparkContext.broadcast([r["name"] for r in own.collect()]), part == parts - 1, part > 0
+        kept = StructType([f for f in rows.schema if f.name != sizes])
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("name", pa.string())])) if last else pa.binary()
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            book = None
+            for batch in batches:
+                book = book or _Names(sent.value)
+                for some in _slices(batch, text):
+                    texts = some.column(text).to_pylist()
+                    held = some.column(sizes).to_pylist() if before else [None] * len(texts)
+                    find = (lambda t, b: [*book.leftmost(t, b)]) if last else book.every
+                    values = pa.array([[] if last and t is None else None if t is None else find(t, b) for t, b in zip(texts, held, strict=True)], kind)
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept.names), values], [*kept.names, found if last else sizes])
+
+        return rows.mapInArrow(of, StructType([*kept]).add(found if last else sizes, ArrayType(StructType.fromDDL("at int, name string")) if last else BinaryType()))
+
+    for part in range(parts):
+        rows = passed(rows, part)
+    return rows
+
+
+def names_in_texts(texts: DataFrame, keys: Sequence[str], text: str, names: DataFrame, name: str) -> DataFrame:
+    """keys, at and name of each name found in a text, by with_names()."""
+    found = with_names(texts.select(*keys, F.col(text).alias("_text")), "_text", names, name, "_found")
+    return found.select(*keys, F.inline("_found"))
 
 
 def candidates(docs: DataFrame, key: str, text: str, names: DataFrame, name: str, own: DataFrame, words: Sequence[str] = RELATION_WORDS) -> DataFrame:
@@ -96,11 +136,12 @@ def candidates(docs: DataFrame, key: str, text: str, names: DataFrame, name: str
     own (key, name)."""
     rows = sentence_rows(docs, key, text)
     pattern = "|".join("\\Q" + w + "\\E" for w in words)
-    met = names_in_texts(rows, [key, "i"], "sentence", names, name)
-    theirs = own.select(key, F.regexp_replace(name, r"^\s+|\s+$", "").alias("name")).distinct()
-    others = met.join(theirs, [key, "name"], "left_anti").select(key, "i").distinct().withColumn("_met", F.lit(True))
-    flag = F.coalesce(F.col("_met"), F.lit(False))
-    return rows.join(others, [key, "i"], "left").withColumn("candidate", (F.col("sentence").rlike(pattern) | flag) if words else flag).drop("_met")
+    rows = rows.withColumn("_word", F.col("sentence").rlike(pattern) if words else F.lit(False))
+    # sentences with a word aren't searched, and what is found is compared in its row
+    met = with_names(rows.withColumn("_asked", F.when(~F.col("_word"), F.col("sentence"))), "_asked", names, name, "_met")
+    theirs = own.select(key, F.regexp_replace(name, r"^\s+|\s+$", "").alias("name")).groupBy(key).agg(F.collect_set("name").alias("_own"))
+    others = F.exists("_met", lambda m: ~F.coalesce(F.array_contains("_own", m["name"]), F.lit(False)))
+    return met.join(theirs, key, "left").withColumn("candidate", F.col("_word") | others).drop("_word", "_asked", "_met", "_own")
 
 
 def chunks_of(docs: DataFrame, key: str, text: str, rows: DataFrame, around: int = AROUND, most: int = MOST_CHARS) -> DataFrame:

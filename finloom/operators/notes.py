@@ -54,9 +54,10 @@ def note_number(number: Column | str) -> Column:
 def cut_at(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """key, nth, head and part: a text in rows, each a match of pattern (null in row 0) and what follows up to the next.
     Joined in order they are the text. Null texts have no row."""
-    parts, heads = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = docs.where(F.col(text).isNotNull()).select(key, heads.alias("_heads"), F.posexplode(parts).alias("nth", "part"))
-    return rows.select(key, "nth", F.when(F.col("nth") > 0, F.get("_heads", F.col("nth") - 1)).alias("head"), "part")
+    # one struct for each part, so that no row carries all heads of its text
+    heads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.arrays_zip(heads.alias("head"), F.split(text, pattern, -1).alias("part"))).alias("nth", "_p"))
+    return rows.select(key, "nth", "_p.head", "_p.part")
 
 
 def titled_notes(docs: DataFrame, key: str, text: str, pattern: str = CONSOLIDATED, boundary: str = BOUNDARY) -> DataFrame:

@@ -129,7 +129,7 @@ SELECT doc_id, name, count(*) AS n, name IN (SELECT name FROM ({NAMES_SQL}) o WH
   SELECT doc_id, unnest(regexp_extract_all(text, p)) AS name FROM documents, ({PATTERN_SQL})) f GROUP BY doc_id, name""")
 def name_mentions(spark: SparkSession, d: str) -> DataFrame:
     names = corpus_names(spark, d)
-    found = M.names_in_texts(table(spark, d, "documents"), ["doc_id"], "text", names, "name").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    found = M.names_in_texts(spread(spark, d), ["doc_id"], "text", names, "name").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
     own = names.select("doc_id", F.regexp_replace("name", r"^\s+|\s+$", "").alias("name")).distinct().withColumn("own", F.lit(True))
     return found.join(own, ["doc_id", "name"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
 
