@@ -86,7 +86,12 @@ def digits(code: Column | str) -> Column:
 
 def unlisted_uid(anchor: Column | str, name: Column | str) -> Column:
     """The id of a party without a code, by the firm that names it: x_ and 12 places of a hash of both."""
-    return F.concat(F.lit("x_"), F.substring(F.sha1(F.concat_ws("|", col(anchor), normal_name(name))), 1, 12))
+    return plain_uid(anchor, normal_name(name))
+
+
+def plain_uid(anchor: Column | str, plain: Column | str) -> Column:
+    """unlisted_uid of a name that is normal already."""
+    return F.concat(F.lit("x_"), F.substring(F.sha1(F.concat_ws("|", col(anchor), col(plain))), 1, 12))
 
 
 def news_link(base: str, company: Column | str, day: Column | str, around: int = 3) -> Column:

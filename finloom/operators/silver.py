@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import shown_name
 from ..functions.parties import no_party, party_kind, relation_signal
-from ..functions.texts import normal_name, short_latin_name, unlisted_uid
+from ..functions.texts import normal_name, plain_uid, short_latin_name, unlisted_uid
 from .relations import reduced
 
 #: Kinds of sources (holders of a firm, what a firm invests in, groups, filings), those this pass manages, and
@@ -36,6 +36,22 @@ def _settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def named_ends(keys: DataFrame, registry: DataFrame, blocked: DataFrame, overrides: DataFrame) -> DataFrame:
+    """_key (n: and a name, or c: and a code) of keys, once, with code, shown and plain (a name as it is shown, and that as it
+    is looked up, null if it stands for no party), own (the group that overrides says) and against (what is blocked behind
+    it). A name is read once, however many rows have it, and rows meet all of this in one join for each end."""
+    listed = registry.where("code IS NOT NULL")
+    book = listed.select(F.concat(F.lit("n:"), normal_name("name")).alias("_k"), "code").union(listed.select(F.concat(F.lit("c:"), "code"), "code"))
+    book = book.where("_k IS NOT NULL AND _k <> 'n:'").groupBy("_k").agg(F.max("code").alias("code"))
+    own = overrides.groupBy("code").agg(F.max("group_name").alias("own"))
+    against = blocked.groupBy(F.col("source").alias("code")).agg(F.collect_set("target").alias("against"))
+    book = book.join(own, "code", "left").join(against, "code", "left")
+    once, name, is_name = keys.where("_key IS NOT NULL").distinct(), F.substring("_key", 3, 2**31 - 1), F.col("_key").startswith("n:")
+    once = _settled(once, {"_k": F.when(is_name, F.concat(F.lit("n:"), normal_name(name))).otherwise(F.col("_key")), "shown": F.when(is_name, shown_name(name))})
+    once = _settled(once, {"plain": F.when(is_name & no_party("shown").isNull(), normal_name("shown"))})
+    return once.join(book, "_k", "left").drop("_k")
+
+
 def judged(raw: DataFrame, registry: DataFrame, blocked: DataFrame, overrides: DataFrame) -> DataFrame:
     """raw with fate, source and target (codes, or ids of nodes without one), anchor and party (the firm that names such a
     node, and its name as shown), queued (a name too short to link by), kind of stock, and group_name.
@@ -46,35 +62,34 @@ def judged(raw: DataFrame, registry: DataFrame, blocked: DataFrame, overrides: D
     """
     holder, invested = F.col("source_type") == HOLDERS, F.col("source_type") == INVESTED
     named = holder | invested
-    # a code or a name is looked up in one book, so that each end is joined once
-    book = registry.where("code IS NOT NULL").select(F.concat(F.lit("n:"), normal_name("name")).alias("_k"), "code").union(registry.where("code IS NOT NULL").select(F.concat(F.lit("c:"), "code"), "code"))
-    book = book.where("_k IS NOT NULL AND _k <> 'n:'").groupBy("_k").agg(F.max("code").alias("_code"))
-    key = lambda c: F.when(named, F.concat(F.lit("n:"), normal_name(c))).otherwise(F.concat(F.lit("c:"), F.col(c)))
-    rows = raw.withColumn("_ks", key("source_name")).withColumn("_kt", key("target_name"))
-    for end in ("s", "t"):
-        rows = rows.join(book.select(F.col("_k").alias(f"_k{end}"), F.col("_code").alias(f"_{end}")), f"_k{end}", "left")
-    party = shown_name(F.when(holder, F.col("source_name")).otherwise(F.col("target_name")))
-    anchor = F.when(holder, F.col("_t")).when(invested, F.col("_s"))
-    rows = _settled(rows, {"party": F.when(named, party), "anchor": anchor})
-    uid = F.when(no_party("party").isNull(), unlisted_uid("anchor", "party"))
+    key = lambda c: F.concat(F.when(named, "n:").otherwise("c:"), F.col(c))
+    # what rows say alone comes first, so that the joins carry short columns
+    stock = F.when(~holder, "unknown").when(F.col("stock_kind").contains("보통"), "common").when(F.col("stock_kind").rlike("우선|종류"), "preferred").otherwise("unknown")
+    words = F.coalesce(holder & F.trim("source_name").isin(*STOCK_WORDS), F.lit(False))
+    rows = raw.select("*", key("source_name").alias("_ks"), key("target_name").alias("_kt"), stock.alias("stock"), words.alias("_words"), (invested & short_latin_name("target_name")).alias("_short"),
+                      F.when(F.col("source_type") == GROUPS, F.get_json_object("raw_response", "$.group_name")).alias("_group"))
+    book = named_ends(rows.select(F.explode(F.array("_ks", "_kt")).alias("_key")), registry, blocked, overrides)
+    by = lambda c, *columns: book.select(F.col("_key").alias(c), *(F.col(a).alias(b) for a, b in columns))
+    rows = rows.join(by("_ks", ("code", "_s"), ("shown", "_p1"), ("plain", "_q1"), ("against", "_not")), "_ks", "left")
+    rows = rows.withColumns({"_p1": F.when(holder, F.col("_p1")), "_q1": F.when(holder, F.col("_q1")), "_not": F.when(invested, F.col("_not"))})
+    rows = rows.join(by("_kt", ("code", "_t"), ("shown", "_p2"), ("plain", "_q2"), ("own", "_own")), "_kt", "left")
+    party = F.when(named, F.coalesce(F.when(holder, F.col("_p1")).otherwise(F.col("_p2")), F.lit("")))
+    rows = _settled(rows, {"party": party, "_plain": F.when(holder, F.col("_q1")).otherwise(F.col("_q2")), "anchor": F.when(holder, F.col("_t")).when(invested, F.col("_s"))})
+    uid = F.when(F.col("_plain").isNotNull(), plain_uid("anchor", "_plain"))
     found = F.when(holder, F.coalesce("_s", uid)).when(invested, F.coalesce("_t", uid))
     rows = _settled(rows, {"source": F.when(holder, found).otherwise(F.col("_s")), "target": F.when(invested, found).otherwise(F.col("_t"))})
-    pairs = blocked.select(F.col("source").alias("_a"), F.col("target").alias("_b")).distinct().withColumn("_blocked", F.lit(True))
-    rows = rows.join(pairs, (F.col("source") == F.col("_a")) & (F.col("target") == F.col("_b")), "left").drop("_a", "_b")
-    names = overrides.groupBy("code").agg(F.max("group_name").alias("_own"))
-    rows = rows.join(names, F.col("target") == F.col("code"), "left").drop("code")
+    blocks = F.array_contains("_not", F.col("target"))
     both, same = F.col("source").isNotNull() & F.col("target").isNotNull(), F.col("source") == F.col("target")
-    holders = F.when(F.trim("source_name").isin(*STOCK_WORDS), "stock_kind_row").when(~both, "unmatched").when(same, "self_loop").otherwise("kept_ownership")
-    investments = F.when(F.col("_s").isNull(), "unmatched").when(F.col("ratio") > MOST_SHARE, "ratio_invalid").when(~both, "unmatched").when(F.col("_blocked"), "blocklist").when(same, "own").otherwise("kept_ownership")
+    holders = F.when(F.col("_words"), "stock_kind_row").when(~both, "unmatched").when(same, "self_loop").otherwise("kept_ownership")
+    investments = F.when(F.col("_s").isNull(), "unmatched").when(F.col("ratio") > MOST_SHARE, "ratio_invalid").when(~both, "unmatched").when(blocks, "blocklist").when(same, "own").otherwise("kept_ownership")
     fate = F.when(holder, holders).when(invested, investments).when(F.col("source_type") == GROUPS, F.when(both, "kept_ftc").otherwise("unmatched"))
     fate = fate.when((F.col("source_type") == FILINGS) & both, "kept_filing").otherwise("ignored")
     asked = invested & F.col("_s").isNotNull() & ~F.coalesce(F.col("ratio") > MOST_SHARE, F.lit(False))
-    made = (holder & ~F.coalesce(F.trim("source_name").isin(*STOCK_WORDS), F.lit(False)) & F.col("_t").isNotNull() & F.col("_s").isNull()) | (asked & F.col("_t").isNull())
-    stock = F.when(~holder, "unknown").when(F.col("stock_kind").contains("보통"), "common").when(F.col("stock_kind").rlike("우선|종류"), "preferred").otherwise("unknown")
-    group = F.when(F.col("source_type") == GROUPS, F.coalesce("_own", F.get_json_object("raw_response", "$.group_name")))
-    rows = _settled(rows, {"fate": fate, "queued": F.coalesce(asked & F.col("_t").isNull() & short_latin_name("target_name"), F.lit(False)), "stock": stock, "group_name": group})
+    made = (holder & ~F.col("_words") & F.col("_t").isNotNull() & F.col("_s").isNull()) | (asked & F.col("_t").isNull())
+    group = F.when(F.col("source_type") == GROUPS, F.coalesce("_own", "_group"))
+    rows = _settled(rows, {"fate": fate, "queued": F.coalesce(asked & F.col("_t").isNull() & F.col("_short"), F.lit(False)), "group_name": group})
     rows = rows.withColumn("node", F.when(F.coalesce(made, F.lit(False)), F.when(holder, F.col("source")).otherwise(F.col("target"))))
-    return rows.drop("_ks", "_kt", "_s", "_t", "_blocked", "_own")
+    return rows.drop("_ks", "_kt", "_s", "_t", "_p1", "_p2", "_q1", "_q2", "_not", "_own", "_words", "_short", "_group", "_plain")
 
 
 def silver_edges(rows: DataFrame) -> DataFrame:
@@ -141,10 +156,11 @@ def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
 def counters(rows: DataFrame, old_edges: DataFrame, old_nodes: DataFrame) -> DataFrame:
     """All counters of a run in one row: fates; pruned_stale, old edges of managed sources that no row makes any more;
     pruned_orphan_nodes, old and new nodes that no edge names, and old edges elsewhere that name a node which isn't there;
-    kind_reconciled, old nodes whose name, kind or id changes."""
-    edges, nodes = silver_edges(rows), silver_nodes(rows)
+    kind_reconciled, old nodes whose name, kind or id changes. rows are read several times: written() first, they are judged
+    once."""
+    edges, nodes = rows.where("fate LIKE 'kept%'").select(*KEY).distinct(), rows.where("node IS NOT NULL").select(F.col("node").alias("uid"))
     managed = F.col("source_type").isin(*MANAGED)
-    stale = old_edges.where(managed).join(edges.select(*KEY), KEY, "left_anti").agg(F.count("*").alias("pruned_stale"))
+    stale = old_edges.where(managed).join(edges, KEY, "left_anti").agg(F.count("*").alias("pruned_stale"))
     elsewhere = old_edges.where(~managed).select("source", "target")
     kept, moves = reconciled(old_nodes)
     changed = kept.alias("n").join(old_nodes.alias("o"), "uid").where("n.name <> o.name OR NOT n.kind <=> o.kind").select("uid").union(moves.select("old"))
