@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import LETTERS
+from ..llm.storage import written
 from ..operators import contracts as K
 from ..operators import deltas as D
 from ..operators import relations as R
@@ -98,7 +99,7 @@ SELECT {", ".join(f"count(*) FILTER (WHERE fate = '{fate}') AS {name}" for fate,
   (SELECT count(*) FROM (SELECT node FROM j WHERE node IS NOT NULL UNION SELECT 'x_' || s_suppkey FROM supplier EXCEPT (SELECT source FROM k UNION SELECT target FROM k))) AS pruned_orphan_nodes, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS kind_reconciled
 FROM j""")
 def silver_counters(spark: SparkSession, d: str) -> DataFrame:
-    rows = _judged(spark, d)
+    rows = written(_judged(spark, d).select("id", *V.KEY, "stock", "ratio", "group_name", "fate", "queued", "node"), "judged")
     old = V.silver_edges(rows).select("source", "target", "source_type", (F.col("year") + 1).alias("year"))
     stored = F.when(F.col("s_suppkey") % 2 == 0, "person").otherwise("private_corp")
     nodes = table(spark, d, "supplier").select(F.concat(F.lit("x_"), "s_suppkey").alias("uid"), F.concat(F.lit("S"), "s_suppkey").alias("anchor"), F.lit("기계상사").alias("name"), F.lit(None).cast("string").alias("relate"), F.lit("note").alias("first_seen"), stored.alias("kind"))
