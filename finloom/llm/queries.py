@@ -58,7 +58,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
-def token_file_digest(docs: DataFrame, remembered: int = 250_000) -> DataFrame:
+def token_file_digest(docs: DataFrame, remembered: int = 150_000) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "token-files")
     write_token_files(docs, public_tokenizers.path(VOCABULARY), folder, remembered=remembered)
     return read_token_files(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

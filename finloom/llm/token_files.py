@@ -133,21 +133,21 @@ class TextEncoder:
         self._forget()
 
     def _age(self) -> None:
-        """Forgets the words that weren't met again since they were learned or this was last done; all, if that leaves many."""
-        kept = np.flatnonzero(self.again)
-        if len(kept) > self.most // 2:
-            self._forget()
-            return
+        """Forgets the words that weren't met again since they were learned or this was last done; if that leaves more than
+        half of the most, those met least often too."""
+        kept, half = np.flatnonzero(self.again), self.most // 2
+        if len(kept) > half:
+            kept = np.sort(kept[np.argsort(self.again[kept], kind="stable")[len(kept) - half :]])
         size = self.size[kept].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.at[kept] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         self.ids[: len(ids)], self.used = ids, len(ids)
         self.known, self.second, self.at, self.size = self.known[kept], self.second[kept], ends - size, self.size[kept]
-        self.again = np.zeros(len(kept), bool)
+        self.again = self.again[kept] >> np.uint32(1)
 
     def _forget(self) -> None:
         self.known, self.second, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.again = np.zeros(0, bool)
+        self.again = np.zeros(0, np.uint32)  # batches that met a word again
         self.ids, self.used = np.zeros(1 << 16, np.uint16 if len(self.library.bytes) <= 1 << 16 else np.uint32), 0
 
     def _learn(self, keys: np.ndarray, seconds: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> None:
@@ -167,7 +167,7 @@ class TextEncoder:
         order = np.argsort(whole, kind="stable")
         self.known, self.second = whole[order], np.concatenate([self.second, seconds])[order]
         self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
-        self.again = np.concatenate([self.again, np.zeros(len(keys), bool)])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(keys), np.uint32)])[order]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of texts without white space but single blanks and line ends between words."""
@@ -177,7 +177,7 @@ class TextEncoder:
             before[words.first[:-1][words.first[:-1] < len(before)]] = 0  # nothing stands before a text's first word
             keys, seconds, place, at = distinct_pairs(mix(words.hash + (before << np.uint64(56))), words.second)
             held, spot = found_pairs(self.known, self.second, keys, seconds)
-            self.again[spot[held]] = True
+            self.again[spot[held]] += 1
             if len(self.known) + len(keys) - int(held.sum()) > self.most:
                 self._age()
                 held = found_pairs(self.known, self.second, keys, seconds)[0]

@@ -1,5 +1,6 @@
 """Token counts and token files against the tokenizers library."""
 
+import random
 import zlib
 
 import numpy as np
@@ -73,3 +74,14 @@ def test_whole_table(spark, library, name):
         else:
             assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
             start += len(ids) + 1
+
+
+def test_frequent_words_stay_remembered():
+    """Of more words met again than half of those remembered, the most frequent stay: few are asked for twice."""
+    encoder, rng, asked = token_files.TextEncoder(public_tokenizers.path("byte_bpe_50k.json"), 100), random.Random(1), []
+    plain = encoder.library.spaced
+    encoder.library.spaced = lambda pieces: (asked.extend(pieces), plain(pieces))[1]
+    texts = [" ".join(f"h{rng.randrange(20)}" if rng.random() < 0.6 else f"m{rng.randrange(70)}" if rng.random() < 0.8 else f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    got = [ids for t in texts for ids in encoder.of([t])]
+    assert got == encoder.library.each(texts)
+    assert sum(p.startswith(b" h") for p in asked) < 100
