@@ -71,6 +71,14 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranked, "<u4")[ranks]
 
 
+def id_arrays(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """ids cut at ends, 4 bytes each. The array stands on the ids' own bytes: made of memoryviews, pyarrow keeps them for good."""
+    if 4 * len(ids) >= 1 << 31:
+        raise ValueError("a document has 2^29 ids or more")
+    offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+
+
 class ByteLibrary:
     """Ids of pieces by the tokenizers library: of many pieces that follow each other safely in one call."""
 
@@ -261,10 +269,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 start, n, doc_ids, lengths, *packed = (c[r].as_py() for c in batch.columns)
-                raw = memoryview(unpack(n, *packed).astype("<u4").tobytes())
                 ends = np.cumsum(np.array(lengths, np.int64))
                 starts = ends - lengths
-                ids = pa.array([raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())
+                ids = id_arrays(unpack(n, *packed), ends)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + starts), pa.array(lengths, pa.int64()), ids], ["doc_id", "start", "n_tokens", "ids"])
 
     blocks = spark.read.schema(BLOCKS).parquet(folder)

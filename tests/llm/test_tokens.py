@@ -85,3 +85,19 @@ def test_frequent_words_stay_remembered():
     got = [ids for t in texts for ids in encoder.of([t])]
     assert got == encoder.library.each(texts)
     assert sum(p.startswith(b" h") for p in asked) < 100
+
+
+def test_memory_of_ids_is_given_back():
+    """What reads files back keeps nothing of a block when it is done with it."""
+    ids, ends = np.arange(1 << 18, dtype=np.uint32), np.arange(500, (1 << 18) + 500, 500).clip(0, 1 << 18)
+    assert b"".join(token_files.id_arrays(ids, ends).to_pylist()) == ids.tobytes()
+    assert token_files.id_arrays(ids[:0], np.array([0, 0])).to_pylist() == [b"", b""]
+
+    def held() -> int:
+        with open("/proc/self/status") as status:
+            return next(int(line.split()[1]) for line in status if line.startswith("RssAnon")) // 1000
+
+    before = held()
+    for _ in range(300):
+        token_files.id_arrays(token_files.unpack(len(ids), *token_files.pack(ids)), ends)
+    assert held() - before < 150
