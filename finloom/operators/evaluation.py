@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +41,14 @@ def stratified(df: DataFrame, stratum: str, key: str, share: float, seed: str) -
 
 def direction_confusion(truth: DataFrame, found: DataFrame, keys: list[str], labels: list[str], most: int = 10) -> DataFrame:
     """expected, given and n: of found rows that aren't true, how often truth has other labels under the same keys; the
-    most frequent, ties by name. Rows count once; labels are written with / between."""
-    wrong = found.select(*keys, *labels).distinct().join(truth.select(*keys, *labels).distinct(), [*keys, *labels], "left_anti")
+    most frequent, ties by name. Rows count once; labels are written with / between. A row with a null is never true.
+    Both tables are grouped together once, and each side of the join picks its rows of that."""
+    columns = [*keys, *labels]
+    rows = truth.select(*columns, F.lit(1).alias("_in")).unionByName(found.select(*columns, F.lit(2).alias("_in")))
+    once = rows.groupBy(*columns).agg(F.bit_or("_in").alias("_in"))  # 1: true, 2: found, 3: both
+    unknown = reduce(or_, (F.col(c).isNull() for c in columns))
     text = lambda df, name: df.select(*keys, F.concat_ws("/", *labels).alias(name))
-    met = text(wrong, "given").join(text(truth.select(*keys, *labels).distinct(), "expected"), keys)
+    met = text(once.where((F.col("_in") == 2) | ((F.col("_in") == 3) & unknown)), "given").join(text(once.where("_in <> 2"), "expected"), keys)
     return met.groupBy("expected", "given").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "expected", "given").limit(most)
 
 

@@ -38,3 +38,13 @@ def test_direction_confusion(spark):
     found = spark.createDataFrame([(1, "a", "buy", "on"), (1, "b", "buy", "on"), (2, "a", "sell", "on"), (2, "a", "sell", "on"), (2, "c", "sell", "on"), (1, "a", "sell", "on")], schema)
     got = evaluation.direction_confusion(truth, found, ["chunk", "name"], ["d", "s"]).collect()
     assert [tuple(r) for r in got] == [("buy/on", "sell/on", 2), ("buy/off", "sell/on", 1), ("sell/on", "buy/on", 1)]
+
+
+def test_direction_confusion_groups_rows_once(spark):
+    """Rows with a null are never true; one join is left, that of wrong rows with true ones."""
+    schema = "k long, d string, s string"
+    truth = spark.createDataFrame([(1, "in", "a"), (1, "in", "a"), (1, "out", None), (2, "in", "a"), (None, "in", "a")], schema)
+    found = spark.createDataFrame([(1, "in", "a"), (1, "out", "a"), (1, "out", "a"), (1, "out", None), (2, "in", "b"), (3, "in", "a"), (None, "in", "b")], schema)
+    wrong = evaluation.direction_confusion(truth, found, ["k"], ["d", "s"])
+    assert [tuple(r) for r in wrong.collect()] == [("in/a", "in/b", 1), ("in/a", "out", 1), ("in/a", "out/a", 1), ("out", "out", 1), ("out", "out/a", 1)]
+    assert wrong._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
