@@ -79,13 +79,16 @@ def with_incoming(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def ego_documents(edges: DataFrame, a: str, b: str, value: str, most: int = 60) -> DataFrame:
     """node, degree, and neighbours: a list of (other, direction, value), the largest values first, then by name, most at
-    most. The list is cut by rank before it is gathered, so a hub's document is bounded."""
-    ends = directed_both_ways(edges, a, b).groupBy("node", "other", "direction").agg(F.max(value).alias("value"))
+    most. The list is cut by rank before it is gathered, so a hub's document is bounded. Edges of the same ends are one
+    before they are seen from both."""
+    ends = directed_both_ways(edges.groupBy(a, b).agg(F.max(value).alias("value")), a, b).select("node", "other", "direction", "value")
     w = Window.partitionBy("node").orderBy(F.col("value").desc_nulls_last(), "other", "direction")
     kept = ends.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most)
     lists = kept.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_i", "other", "direction", "value"))).alias("_l"))
     lists = lists.select("node", F.transform("_l", lambda x: F.struct(x["other"].alias("other"), x["direction"].alias("direction"), x["value"].alias("value"))).alias("neighbours"))
-    return ends.groupBy("node").agg(F.count("*").alias("degree")).join(lists, "node")
+    # counted by value, so that both branches ask for the same columns and share what is shuffled for ends
+    degree = (F.count_if(F.col("value").isNull()) + F.count_if(F.col("value").isNotNull())).alias("degree")
+    return ends.groupBy("node").agg(degree).join(lists, "node")
 
 
 def name_book(registry: DataFrame, name: str, code: str) -> DataFrame:

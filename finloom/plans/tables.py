@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.industries import peer_groups
@@ -81,8 +81,8 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     """src (a supplier), dst (a customer), year, share: the percent of the customer's year that it spends there."""
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     spent = lines.groupBy(F.col("l_suppkey").alias("src"), F.col("o_custkey").alias("dst"), F.year("o_orderdate").alias("year")).agg(F.sum(cents("l_extendedprice")).alias("cents"))
-    whole = spent.groupBy("dst", "year").agg(F.sum("cents").alias("whole"))
-    return spent.join(whole, ["dst", "year"]).select("src", "dst", "year", (F.col("cents") / F.col("whole") * 100).alias("share"))
+    whole = F.sum("cents").over(Window.partitionBy("dst", "year"))  # lines are joined once, and not summed where no share is asked for
+    return spent.select("src", "dst", "year", (F.col("cents") / whole * 100).alias("share"))
 
 
 EDGES_SQL = """

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from finloom.functions import parties as P
+from finloom.operators import relations
 from finloom.operators import upkeep as U
+from finloom.plans.tables import edges
 
 
 def test_no_party(spark):
@@ -48,3 +50,13 @@ def test_stale_and_basis(spark):
     arrays = spark.range(1).select(*(F.array(*map(F.lit, v)).cast("array<double>").alias(k) for k, v in {"x": [1.0, 2.0], "y": [0.5, None], "z": [1.0]}.items()))
     got = arrays.select(U.derived_series(F.col("x"), F.col("x"), -1).alias("a"), U.derived_series(F.col("x"), F.col("y"), 1).alias("b"), U.derived_series(F.col("x"), F.col("z"), 1).alias("c")).first()
     assert (got["a"], got["b"], got["c"]) == ([0.0, 0.0], None, None)
+
+
+def test_edges_join_lines_once(spark):
+    """Shares come of one join of lines and orders; where none is asked for, edges aren't summed by customer."""
+    found = edges(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(found).count("Join ") == 1
+    assert "Window" not in plan(found.select("src", "dst", "year"))
+    ego = plan(relations.ego_documents(found, "src", "dst", "share"))
+    assert ego.count("max(share") == 2  # both branches have the same ends, which are shuffled once
