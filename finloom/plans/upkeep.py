@@ -48,11 +48,14 @@ WITH e AS (SELECT DISTINCT src AS reporter, dst AS target, year FROM ({EDGES_SQL
 n AS (SELECT * FROM m WHERE reporter % 4 > 0), o AS (SELECT e.reporter, target FROM e JOIN n USING (reporter) GROUP BY e.reporter, target HAVING max(year) < any_value(newest))
 SELECT e.reporter, e.target, e.year, CASE WHEN o.target IS NULL THEN NULL WHEN e.target % 7 = 0 THEN 'undecidable' WHEN e.target % 10 = e.reporter % 10 THEN 'kept' ELSE 'terminated' END AS verdict FROM e LEFT JOIN o USING (reporter, target)""")
 def absent_relations(spark: SparkSession, d: str) -> DataFrame:
-    rows = edges(spark, d).where("(src + dst + year) % 3 > 0").select(F.col("src").alias("reporter"), F.col("dst").alias("target"), "year").distinct()
-    text = F.when(F.col("reporter") % 4 > 0, F.concat(F.lit("PARTY"), (F.col("reporter") % 10).cast("string"), F.lit("X")))
-    notes = rows.groupBy("reporter").agg(F.max("year").alias("year")).select("reporter", "year", text.alias("text"))
+    # edges are one for each src, dst and year; all that follows reads the one shuffle by their ends
+    rows = edges(spark, d).where("(src + dst + year) % 3 > 0").select(F.col("src").alias("reporter"), F.col("dst").alias("target"), "year").repartition("reporter", "target")
+    key = F.max("reporter")  # of its group, so that what asks for a text isn't pushed into the scan of lines
+    text = F.when(key % 4 > 0, F.concat(F.lit("PARTY"), (key % 10).cast("string"), F.lit("X")))
+    notes = rows.groupBy("reporter").agg(F.max("year").alias("year"), text.alias("text"))
     name = F.when(F.col("target") % 7 > 0, F.concat(F.lit("PARTY"), (F.col("target") % 10).cast("string")))
-    return U.absent_from_notes(rows, notes, rows.select("target", name.alias("name")))
+    names = table(spark, d, "orders").select(F.col("o_custkey").alias("target")).select("target", name.alias("name"))  # every target has orders
+    return U.absent_from_notes(rows, notes, names)
 
 
 @query(f"""

@@ -1,11 +1,14 @@
 """Small cases of parties and upkeep: nulls, empty tables, repeated rows and names that say two things."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from finloom.functions import parties as P
 from finloom.operators import relations
 from finloom.operators import upkeep as U
 from finloom.plans.tables import edges
+from finloom.plans.upkeep import absent_relations
 
 
 def test_no_party(spark):
@@ -33,6 +36,33 @@ def test_absent_from_notes(spark):
     assert U.absent_from_notes(edges, notes, names).count() == 9 and U.absent_from_notes(edges.where("false"), notes, names).count() == 0
 
 
+def test_absent_from_notes_by_brute_force(spark):
+    """Several texts and names, repeated rows and nulls on all sides: each edge stays one row, with the verdict of the rule."""
+    rng = random.Random(3)
+    edges = [(rng.choice(["r", "s", "t", None]), rng.choice(["a", "b", "c", "d", None]), rng.choice([2019, 2020, 2021, None]), i) for i in range(120)]
+    notes = [(rng.choice(["r", "s", None]), rng.choice([2019, 2020, None]), rng.choice(["xAx", "By", "CC", "", None])) for _ in range(12)] + [("r", 2021, "xAx"), ("r", 2021, "zCz"), ("s", 2021, "AB"), ("t", 2022, None), ("t", 2021, "A")]
+    names = [("a", "A"), ("a", "A"), ("a", "Q"), ("b", "Q"), ("b", "C"), ("c", "Q"), ("c", ""), ("d", None), (None, "A")]
+    want = {}
+    for r, t, _, i in edges:
+        newest = max((y or 0 for n, y, _ in notes if n == r), default=None)
+        texts = [x for n, y, x in notes if n == r and (y or 0) == newest and x]
+        known = {n for k, n in names if k == t and n}
+        old = texts and max(y or 0 for a, b, y, _ in edges if (a, b) == (r, t)) < newest
+        want[i] = None if None in (r, t) or not old else "undecidable" if not known else "kept" if any(n in x for n in known for x in texts) else "terminated"
+    got = U.absent_from_notes(spark.createDataFrame(edges, "reporter string, target string, year int, i int"), spark.createDataFrame(notes, "reporter string, year int, text string"), spark.createDataFrame(names, "target string, name string"))
+    assert got.columns == ["reporter", "target", "year", "i", "verdict"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(r[3] for r in rows) == [*range(120)] and {r[3]: r[4] for r in rows} == want and {r[3]: r[:3] for r in rows} == {e[3]: e[:3] for e in edges}
+
+
+def test_absent_relations_reads_lines_once(spark):
+    """Edges and notes share one shuffle of what lines and orders give, so that the two are read and joined once."""
+    found = absent_relations(spark, "/root/testdata/sf0.001")
+    assert found.count() == len(found.collect()) > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 1
+
+
 def test_repointed(spark):
     edges = spark.createDataFrame([("a", "b", 1, "x"), ("a", "c", 1, "y"), ("b", "c", 2, "z"), ("d", "d", 3, "w"), (None, "c", 4, "n")], "a string, b string, y int, v string")
     moves = spark.createDataFrame([("c", "b"), ("d", "d"), ("q", None)], "old string, new string")
