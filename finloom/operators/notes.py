@@ -51,12 +51,16 @@ def note_number(number: Column | str) -> Column:
     return F.struct(F.regexp_extract(flat, r"^(\d+)", 1).try_cast("int").alias("major"), value.alias("minor"))
 
 
+def parts(text: str, pattern: str) -> Column:
+    """A text as an array of head and part; one struct for each part, so that no row carries all heads of its text."""
+    heads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.arrays_zip(heads.alias("head"), F.split(text, pattern, -1).alias("part"))
+
+
 def cut_at(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """key, nth, head and part: a text in rows, each a match of pattern (null in row 0) and what follows up to the next.
     Joined in order they are the text. Null texts have no row."""
-    # one struct for each part, so that no row carries all heads of its text
-    heads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.arrays_zip(heads.alias("head"), F.split(text, pattern, -1).alias("part"))).alias("nth", "_p"))
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts(text, pattern)).alias("nth", "_p"))
     return rows.select(key, "nth", "_p.head", "_p.part")
 
 
@@ -83,13 +87,19 @@ def titled_notes(docs: DataFrame, key: str, text: str, pattern: str = CONSOLIDAT
     return notes.select(key, "place", "_f.number", "_f.title", F.when(F.col("place") == last, F.substring("body", 1, MOST_LAST)).otherwise(F.col("body")).alias("body"))
 
 
-def heads_of(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """key, at (characters before), head and the groups number and title of each match of pattern."""
-    before = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = cut_at(docs, key, text, pattern).select(key, "nth", "head", F.length("part").alias("_n"))
+def heads_of(docs: DataFrame, key: str, text: str, patterns: tuple[str, ...]) -> DataFrame:
+    """key, kind, at (characters before), head and the groups number and title of each match of each pattern; kind is the
+    pattern's place. Each text is cut once for each pattern where it lies, not in a union of cuts: of texts that are dealt out
+    by key Spark 4.1 takes a union to be so too and shuffles it no more, but where its sides come to read one shuffle, it may
+    lay them one after the other, and rows of a key no longer meet."""
+    each = lambda f: F.coalesce(*(F.when(F.col("kind") == i, f(p)) for i, p in enumerate(patterns)))
+    kinds = docs.where(F.col(text).isNotNull()).select(key, text, F.explode(F.array(*map(F.lit, range(len(patterns))))).alias("kind"))
+    rows = kinds.select(key, "kind", F.posexplode(each(lambda p: parts(text, p))).alias("nth", "_p")).select(key, "kind", "nth", "_p.head", F.length("_p.part").alias("_n"))
     # what stands before head n: all parts before it, and the heads before it
+    before = Window.partitionBy(key, "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("at", F.sum(F.col("_n") + F.coalesce(F.length("head"), F.lit(0))).over(before) - F.col("_n") - F.coalesce(F.length("head"), F.lit(0)))
-    return rows.where("nth > 0").select(key, F.col("at").cast("int").alias("at"), "head", F.regexp_extract("head", pattern, 1).cast("int").alias("number"), F.regexp_extract("head", pattern, 2).alias("title"))
+    group = lambda i: each(lambda p: F.regexp_extract("head", p, i))
+    return rows.where("nth > 0").select(key, "kind", F.col("at").cast("int").alias("at"), "head", group(1).cast("int").alias("number"), group(2).alias("title"))
 
 
 def longest_chain(numbers: Column, step: int = MOST_STEP) -> Column:
@@ -112,10 +122,9 @@ def chained_notes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, place, number, title and body of the notes whose heads stand in the body of a section: of all that look like
     heads, the longest rising chain (longest_chain). A head that is a section's own title, or that the text begins with, is
     none; numbers from 1 to 99."""
-    elements = heads_of(docs, key, text, IN_BODY).where("at > 0")
+    heads = heads_of(docs, key, text, (IN_BODY, MID_BODY)).where("number BETWEEN 1 AND 99")
     plain = F.trim(F.regexp_replace(F.regexp_replace("title", "<[^>]+>", ""), r"\s+", " "))
-    elements = elements.where(~plain.rlike(CONSOLIDATED_SECTION) & ~plain.rlike(SEPARATE_SECTION)).withColumn("kind", F.lit(0))
-    heads = elements.unionByName(heads_of(docs, key, text, MID_BODY).withColumn("kind", F.lit(1))).where("number BETWEEN 1 AND 99")
+    heads = heads.where((F.col("kind") == 1) | ((F.col("at") > 0) & ~plain.rlike(CONSOLIDATED_SECTION) & ~plain.rlike(SEPARATE_SECTION)))
     lists = heads.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "number", clean_title("title").alias("title")))).alias("h"))
     chains = lists.select(key, F.transform(longest_chain(F.col("h.number")), lambda i: F.get("h", i)).alias("c"))
     met = docs.select(key, text).join(chains, key)

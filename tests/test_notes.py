@@ -1,5 +1,6 @@
 """Notes of filings: markups of heads, numbers that fall back or repeat, chains in a body, and splits gone stale."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from finloom.operators import notes as N
@@ -92,6 +93,22 @@ def test_chained_notes_and_the_fallback(spark):
     assert joined[0] == chain[len(head):]
 
 
+@pytest.mark.parametrize("most", ["-1", "10m"])
+def test_chained_notes_of_texts_dealt_out_before(spark, tmp_path, most):
+    """Heads of both kinds meet by text, though the texts are dealt out by key already and all read one shuffle."""
+    text = "x<P>1. 가</P>a끝입니다.2. 나<P>3. 다</P>b끝입니다.4. 라"
+    spark.createDataFrame([(k, text) for k in range(40)] + [(None, text), (40, None)], "k long, t string").write.parquet(f"{tmp_path}/texts")
+    df = spark.read.parquet(f"{tmp_path}/texts").repartition("k").select("k", F.coalesce("t", F.lit("")).alias("t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        found = by_key(N.chained_notes(df, "k", "t"), "place", "number", "title", "body")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    notes = [(1, "1", "가", "<P>1. 가</P>a끝입니"), (2, "2", "나", "다.2. 나"), (3, "3", "다", "<P>3. 다</P>b끝입니"), (4, "4", "라", "다.4. 라")]
+    assert found == {k: notes for k in range(40)}
+
+
 def test_health(spark):
     rows = lambda k, numbers, n=10: [(k, str(x), n) for x in numbers]
     schema = "k long, number string, n int"
