@@ -6,6 +6,8 @@ texts are shuffled once and lie together by document. Row 0 is what stands befor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ TITLE_CUT = r"\(\s*\d+\s*\)|\(\s*단위|보고기간|당기말|전기말|당기
 MOST_LAST, LEAST_BLOCK, MOST_STEP = 300_000, 20_000, 4
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tidy_title(title: Column | str) -> Column:
     """A note's title without punctuation at its ends, a kind of statements after a dash, and numbers before it."""
     edge = lambda c: F.regexp_replace(c, r"^[ :·\-—.,]+|[ :·\-—.,]+$", "")
@@ -39,7 +46,7 @@ def clean_title(title: Column | str) -> Column:
     """The title of a head whose element goes on with text: up to where that begins, 60 characters at most."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(title, "<[^>]+>", ""), r"\s+", " "))
     cut = tidy_title(F.get(F.split(plain, TITLE_CUT, 2), F.lit(0)))
-    return F.substring(F.when(cut != "", cut).otherwise(tidy_title(plain)), 1, 60)
+    return F.substring(bound(cut, lambda c: F.when(c != "", c).otherwise(tidy_title(plain))), 1, 60)
 
 
 def note_number(number: Column | str) -> Column:
@@ -52,9 +59,14 @@ def note_number(number: Column | str) -> Column:
 
 
 def parts(text: str, pattern: str) -> Column:
-    """A text as an array of head and part; one struct for each part, so that no row carries all heads of its text."""
-    heads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.arrays_zip(heads.alias("head"), F.split(text, pattern, -1).alias("part"))
+    """A text as an array of head and part; one struct for each part, so that no row carries all heads of its text. A text
+    without heads is searched once."""
+
+    def zipped(heads: Column) -> Column:
+        cut = F.when(F.size(heads) == 0, F.array(text)).otherwise(F.split(text, pattern, -1))
+        return F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), heads).alias("head"), cut.alias("part"))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped)
 
 
 def cut_at(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -111,7 +123,9 @@ def longest_chain(numbers: Column, step: int = MOST_STEP) -> Column:
         before = F.slice(state, F.greatest(x["number"] - step, F.lit(1)), F.least(F.lit(step), x["number"] - 1))
         rated = F.transform(before, lambda c: F.struct(F.size(c), -F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0)), c.alias("chain")))
         chain = F.concat(F.coalesce(F.array_max(rated)["chain"], F.array().cast("array<int>")), F.array(x["place"]))
-        return F.transform(state, lambda c, i: F.when((i + 1 == x["number"]) & (F.size(chain) > F.size(c)), chain).otherwise(c))
+        longer = lambda c: F.size(c) > F.size(F.get(state, x["number"] - 1))
+        put = lambda c: F.concat(F.slice(state, F.lit(1), x["number"] - 1), F.array(c), F.slice(state, x["number"] + 1, F.lit(100)))
+        return bound(chain, lambda c: F.when(longer(c), put(c)).otherwise(state))
 
     places = F.transform(numbers, lambda n, i: F.struct(n.alias("number"), i.alias("place")))
     rated = F.transform(F.aggregate(places, none, add), lambda c: F.struct(F.size(c), -F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0)), c.alias("chain")))
