@@ -165,14 +165,14 @@ def note_block(docs: DataFrame, key: str, text: str, consolidated: bool = True)
 def split_notes(docs: DataFrame, key: str, text: str, least_block: int = LEAST_BLOCK) -> DataFrame:
     """key, place, number, title and body of a filing's consolidated notes: those with titles of their own if they begin with
     number 1 or are 12 at least; else those in the body of its section of notes, if they are more."""
-    titled = titled_notes(docs, key, text).withColumn("way", F.lit("titled"))
+    held = lambda df, name: df.groupBy(key).agg(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), "number", "title", "body")).alias(name))
     blocks = note_block(docs, key, text).where(F.length("block") > least_block)
-    chained = chained_notes(blocks, key, "block").withColumn("way", F.lit("chained"))
-    both = titled.unionByName(chained)
-    n = lambda way: F.count(F.when(F.col("way") == way, 1))
-    opens = F.max(F.when((F.col("way") == "titled") & (F.col("place") == 1), note_number("number")["major"] == 1))
-    rule = F.when(F.coalesce(opens, F.lit(False)) | (n("titled") >= 12) | (n("chained") <= n("titled")), "titled").otherwise("chained")
-    return both.join(both.groupBy(key).agg(rule.alias("rule")), key).where("way = rule").drop("way", "rule")
+    # a join, as a union of both may not keep a filing's notes together (see heads_of)
+    both = held(titled_notes(docs, key, text), "_t").join(held(chained_notes(blocks, key, "block"), "_c"), key, "full").where(F.col(key).isNotNull())
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    opens = F.exists("_t", lambda x: (x["place"] == 1) & (note_number(x["number"])["major"] == 1))
+    rule = F.coalesce(opens, F.lit(False)) | (n("_t") >= 12) | (n("_c") <= n("_t"))
+    return both.select(key, F.inline(F.when(rule, F.col("_t")).otherwise(F.col("_c"))))
 
 
 def section_issues(notes: DataFrame, key: str, n_chars: Column, fewest: int = 12, most_chars: int = 200_000, share: float = 0.3) -> DataFrame:

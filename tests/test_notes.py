@@ -109,6 +109,20 @@ def test_chained_notes_of_texts_dealt_out_before(spark, tmp_path, most):
     assert found == {k: notes for k in range(40)}
 
 
+def test_split_of_texts_dealt_out_before(spark, tmp_path):
+    """The two ways of a filing are weighed against each other, though its text is dealt out by key already."""
+    title = "<TITLE>3. 연결재무제표 주석</TITLE>"
+    body = title + "".join(f"<P>{n}. 가</P>" + "z" * 200 for n in range(1, 7))
+    few = "".join(TITLE.format(f"{n}. 나 (연결)", "b") for n in range(2, 5))
+    texts = [few + body, "".join(TITLE.format(f"{n}. 나 (연결)", "b") for n in range(1, 4)) + body, few + title, body] * 10
+    rows = [*enumerate(texts), (None, texts[0]), (99, None)]
+    spark.createDataFrame(rows, "k long, t string").write.parquet(f"{tmp_path}/texts")
+    df = spark.read.parquet(f"{tmp_path}/texts").repartition("k")
+    found = by_key(N.split_notes(df, "k", "t", 1000), "place", "number")
+    chained, titled = [(n, str(n)) for n in range(1, 7)], [(1, "1"), (2, "2"), (3, "3")]
+    assert found == {k: [chained, titled, [(1, "2"), (2, "3"), (3, "4")], chained][k % 4] for k in range(40)}
+
+
 def test_health(spark):
     rows = lambda k, numbers, n=10: [(k, str(x), n) for x in numbers]
     schema = "k long, number string, n int"
