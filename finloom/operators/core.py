@@ -76,17 +76,18 @@ def statement_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     name = lambda c: F.regexp_replace(c, r"\s+", "")
     of = lambda c: F.coalesce(*(F.when(c.contains(w), F.lit(v)) for w, v in STATEMENTS))
 
-    def blocks(rows: DataFrame, title: Column, body: Column, way: int) -> DataFrame:
-        found = rows.select(key, F.col("nth").alias("block"), name(title).alias("_name"), body.alias("body"), F.lit(way).alias("_way"))
-        return found.select("*", of(F.col("_name")).alias("statement"), F.when(F.col("_name").contains("연결"), "CFS").otherwise("OFS").alias("kind")).where("statement IS NOT NULL")
+    def blocks(rows: DataFrame, title: Column, body: Column, way: str) -> DataFrame:
+        found = rows.select(key, F.col("nth").alias("block"), name(title).alias("_name"), body.alias("body"))
+        found = found.select("*", of(F.col("_name")).alias("statement"), F.when(F.col("_name").contains("연결"), "CFS").otherwise("OFS").alias("kind")).where("statement IS NOT NULL")
+        return found.groupBy(key).agg(F.collect_list(F.struct("block", "kind", "statement", "body")).alias(way))
 
     titled = cut_at(docs, key, text, r"(?i)<TITLE[^>]*>").where("nth > 0").withColumn("_all", F.concat("head", "part"))
-    titled = blocks(titled.where(F.col("_all").rlike(TITLE)), F.regexp_extract("_all", TITLE, 1), F.regexp_replace("_all", TITLE, ""), 0)
+    titled = blocks(titled.where(F.col("_all").rlike(TITLE)), F.regexp_extract("_all", TITLE, 1), F.regexp_replace("_all", TITLE, ""), "_titled")
     grouped = cut_at(docs, key, text, GROUP).where("nth > 0").withColumn("_body", F.get(F.split("part", r"(?i)</TABLE-GROUP>|<TABLE-GROUP\b", 2), F.lit(0)))
-    grouped = blocks(grouped, F.regexp_extract("_body", CELL, 3), F.col("_body"), 1)
-    both = titled.unionByName(grouped)
-    way = both.groupBy(key).agg(F.min("_way").alias("_first"))
-    return both.join(way, key).where("_way = _first").select(key, "block", "kind", "statement", "body")
+    grouped = blocks(grouped, F.regexp_extract("_body", CELL, 3), F.col("_body"), "_grouped")
+    # a join, as a union of both may not keep a filing's blocks together (see notes.heads_of)
+    both = titled.join(grouped, key, "full").where(F.col(key).isNotNull())
+    return both.select(key, F.inline(F.coalesce("_titled", "_grouped")))
 
 
 def statement_rows(blocks: DataFrame, key: str) -> DataFrame:

@@ -58,3 +58,14 @@ def test_filings(spark):
         (1, "CFS", "total_assets", 0, 1e9), (1, "CFS", "total_assets", 1, 9e8), (1, "OFS", "net_income", 0, 7e3), (1, "OFS", "revenue", 0, 5e3), (1, "OFS", "revenue", 1, -4e3),
         (2, "CFS", "total_assets", 0, 3.0), (2, "OFS", "revenue", 0, 8.0),
     ]
+
+
+def test_blocks_of_texts_dealt_out_before(spark, tmp_path):
+    """A filing has titled statements or groups of tables, not both, though its text is dealt out by key already."""
+    table = "<TR><TD>손익계산서</TD></TR><TR><TD>매출액</TD><TD>8</TD></TR>"
+    group, title = f'<TABLE-GROUP ACLASS="{{XBRL}}IS2">{table}</TABLE-GROUP>', f"<TITLE>4-2. 연결 손익계산서</TITLE>{table}"
+    rows = [(k, [group + title, group, title, "no statements"][k % 4]) for k in range(40)] + [(None, group + title), (99, None)]
+    spark.createDataFrame(rows, "k long, t string").write.parquet(f"{tmp_path}/texts")
+    df = spark.read.parquet(f"{tmp_path}/texts").repartition("k")
+    found = sorted((r["k"], r["kind"]) for r in C.statement_blocks(df, "k", "t").collect())
+    assert found == [(k, ["CFS", "OFS", "CFS"][k % 4]) for k in range(40) if k % 4 < 3]
